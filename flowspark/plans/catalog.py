@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_core", "q_scalars"]
+MODULES = ["q_core", "q_scalars", "q_clean"]
 
 
 def load() -> None:

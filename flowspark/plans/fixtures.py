@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from flowspark.functions import time as tm
 from flowspark.functions.geo import GridSpec
+from flowspark.functions.num import rnd
 from flowspark.plans.oracle import cte
+from flowspark.plans.oracle import rnd as _rnd
 from flowspark.sources.tables import Tables
 
 GRID = GridSpec("bj", 116.25, 116.75, 39.75, 40.25, 8, 8, 8)
@@ -282,7 +284,7 @@ def weather_source(t: Tables, kind: str) -> DataFrame:
         t.events.where(F.col("event_type") == kind)
         .groupBy(F.lit("bj").alias("city"), hour.alias("hour"))
         .agg(
-            F.round(F.avg("value"), 6).alias("temp"),
+            rnd(F.avg("value")).alias("temp"),
             F.round(F.max("value"), 2).alias("wind_speed"),
             F.count("*").alias("clouds_all"),
         )
@@ -291,7 +293,7 @@ def weather_source(t: Tables, kind: str) -> DataFrame:
 
 for _n, _k in (("wa", "view"), ("wb", "click")):
     cte(_n, f"""
-    SELECT step // 2 AS hour, round(avg(value), 6) AS temp, round(max(value), 2) AS wind_speed,
+    SELECT step // 2 AS hour, {_rnd("avg(value)", "temp")}, round(max(value), 2) AS wind_speed,
       count(*) AS clouds_all FROM ev WHERE event_type = '{_k}' GROUP BY ALL
     """, ["ev"])
 

@@ -28,6 +28,6 @@ def sql(needs: list[str], body: str) -> str:
 
 def rnd(expr: str, name: str | None = None, digits: int = 6) -> str:
     """Twin of ``functions.num.rnd``."""
-    e = f"CAST(({expr}) AS DOUBLE)"
+    e = f"(CAST(({expr}) AS DOUBLE) + 1.7e-9::DOUBLE)"
     out = f"CASE WHEN abs({e}) < {0.5 * 10.0**-digits:.{digits + 2}f} THEN 0.0::DOUBLE ELSE round({e}, {digits}) END"
     return f"{out} AS {name}" if name else out
