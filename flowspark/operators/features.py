@@ -58,10 +58,10 @@ def road_pieces(ways: DataFrame, g: GridSpec) -> DataFrame:
     dx, dy = x1 - x0, y1 - y0
 
     def bounds(p: Column, delta: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+        # a segment along one axis has a single candidate on the other one: nothing to clip
         ta, tb = (lo - p) / delta, (hi - p) / delta
-        inside = (p >= lo) & (p < hi)
-        enter = F.when(delta != 0, F.least(ta, tb)).when(inside, F.lit(0.0)).otherwise(F.lit(2.0))
-        leave = F.when(delta != 0, F.greatest(ta, tb)).when(inside, F.lit(1.0)).otherwise(F.lit(-1.0))
+        enter = F.when(delta != 0, F.least(ta, tb)).otherwise(F.lit(0.0))
+        leave = F.when(delta != 0, F.greatest(ta, tb)).otherwise(F.lit(1.0))
         return enter, leave
 
     ex, lx = bounds(x0, dx, west, west + g.d_lon)

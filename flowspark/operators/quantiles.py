@@ -34,9 +34,11 @@ def exact_quantiles(
     )
 
     def edge(i: int, p: float):
+        # a group smaller than the sketch is ranked whole: its bracket is its range
+        small = F.col("_n") < accuracy
         if i % 2 == 0:
-            return F.col("_min") if p - eps <= 0 else F.col("_e")[i]
-        return F.col("_max") if p + eps >= 1 else F.col("_e")[i]
+            return F.col("_min") if p - eps <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_e")[i])
+        return F.col("_max") if p + eps >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_e")[i])
 
     brackets = sketch.select(
         *keys,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_core", "q_scalars", "q_clean"]
+MODULES = ["q_core", "q_scalars", "q_clean", "q_features"]
 
 
 def load() -> None:

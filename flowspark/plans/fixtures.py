@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions import time as tm
-from flowspark.functions.geo import GridSpec
+from flowspark.functions.geo import GridSpec, cell_id
 from flowspark.functions.num import rnd
 from flowspark.plans.oracle import cte
 from flowspark.plans.oracle import rnd as _rnd
@@ -167,12 +167,13 @@ def osm_nodes(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     key = F.create_map(*[F.lit(x) for kv in TAG_KEYS.items() for x in kv])[F.col("event_type")]
     tags = F.map_from_arrays(
-        F.array(F.lit("name"), key, F.lit("building"), F.lit("station")),
+        F.array(F.lit("name"), key, F.lit("building"), F.lit("station"), F.lit("railway")),
         F.array(
             F.concat(F.lit("n"), F.col("event_type")),
             F.element_at(F.array(*[F.lit(v) for v in TAG_VALUES]), k % len(TAG_VALUES) + 1),
             F.element_at(F.array(*[F.lit(v) for v in SIDE_VALUES]), k % len(SIDE_VALUES) + 1),
             F.when(k % 5 == 0, "subway").otherwise("none"),
+            F.when(k % 7 == 0, "subway_entrance").otherwise("none"),
         ),
     )
     i = F.col("event_id")
@@ -186,7 +187,7 @@ cte("nodes", f"""
 SELECT event_id AS id, {lon_sql('event_id')} AS lon, {lat_sql('event_id')} AS lat, k, event_type, value, ts,
   CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in TAG_KEYS.items())} END AS key1,
   {TAG_VALUES!r}[k % {len(TAG_VALUES)} + 1] AS val1, {SIDE_VALUES!r}[k % {len(SIDE_VALUES)} + 1] AS val2,
-  k % 5 = 0 AS is_station, {cell_sql(lon_sql('event_id'), lat_sql('event_id'))} AS grid_id
+  k % 5 = 0 AS is_station, k % 7 = 0 AS is_entrance, {cell_sql(lon_sql('event_id'), lat_sql('event_id'))} AS grid_id
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
 """)
 
@@ -235,26 +236,24 @@ def stops(t: Tables) -> DataFrame:
     return t.part.select(p.alias("stop_id"), point_lon(p).alias("stop_lon"), point_lat(p).alias("stop_lat"))
 
 
-# stations: one per customer; the line is the nation, the first train follows the account balance
+# stations: three customers share one; the line is the nation, the first train follows the balance
 def stations(t: Tables) -> DataFrame:
     c = F.col("c_custkey")
+    place = F.floor(c / 3)
+    lon, lat = point_lon(place * 11), point_lat(place * 11)
     return t.customer.select(
-        F.lit("bj").alias("city"),
         F.col("c_nationkey").cast("long").alias("line"),
         F.col("c_mktsegment").alias("direction"),
-        F.col("c_name").alias("station"),
-        F.format_string(
-            "%02d:%02d", F.pmod(F.floor("c_acctbal"), F.lit(24)), F.pmod(c * 7, F.lit(60))
-        ).alias("first_train"),
-        point_lon(c * 11).alias("lon"),
-        point_lat(c * 11).alias("lat"),
+        F.format_string("S%08d", place).alias("station"),
+        F.format_string("%02d:%02d", F.pmod(F.floor("c_acctbal"), F.lit(24)), F.pmod(c * 7, F.lit(60))).alias("first_train"),
+        cell_id(lon, lat, GRID).alias("grid_id"),
     )
 
 
 cte("stations", f"""
-SELECT CAST(c_nationkey AS BIGINT) AS line, c_mktsegment AS direction, c_name AS station,
+SELECT CAST(c_nationkey AS BIGINT) AS line, c_mktsegment AS direction, printf('S%08d', c_custkey // 3) AS station,
   ((CAST(floor(c_acctbal) AS BIGINT) % 24) + 24) % 24 * 60 + (c_custkey * 7) % 60 AS minutes,
-  {cell_sql(lon_sql('(c_custkey * 11)'), lat_sql('(c_custkey * 11)'))} AS grid_id
+  {cell_sql(lon_sql('(c_custkey // 3 * 11)'), lat_sql('(c_custkey // 3 * 11)'))} AS grid_id
 FROM customer
 """)
 
@@ -329,3 +328,33 @@ SELECT l_orderkey % 64 AS "row", l_partkey % 64 AS col, l_linenumber * 1000 + l_
   round(l_extendedprice / 10) AS dn4, round(l_discount * 200000) AS dn5, round(l_tax * 200000) AS dn6
 FROM lineitem
 """)
+
+
+# relations: one per order, its lineitems are the members
+ROLES = ["platform_entry", "stop", "forward"]
+
+
+def osm_relations(t: Tables) -> DataFrame:
+    role = F.element_at(F.array(*[F.lit(x) for x in ROLES]), F.col("l_linenumber") % len(ROLES) + 1)
+    kind = F.when(F.col("l_quantity") % 10 == 0, "w").otherwise("n")
+    member = F.struct(kind.alias("type"), F.col("l_partkey").alias("ref"), role.alias("role"))
+    # an order has a handful of lineitems
+    members = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(member).alias("members"))
+    o = t.orders
+    tags = F.map_from_arrays(
+        F.array(F.lit("route"), F.lit("ref"), F.lit("name")),
+        F.array(
+            F.when(F.col("o_orderpriority").startswith("1"), "subway").otherwise("bus"),
+            F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("R"), F.col("o_custkey").cast("string"))),
+            F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("N"), F.col("o_custkey").cast("string"))),
+        ),
+    )
+    return members.join(o.select(F.col("o_orderkey").alias("id"), tags.alias("tags")), "id")
+
+
+cte("relation_members", f"""
+SELECT DISTINCT CASE WHEN o_orderpriority LIKE '1%' THEN 'subway' ELSE 'bus' END AS route,
+  coalesce(CASE WHEN o_orderstatus != 'P' THEN 'R' || o_custkey END, CASE WHEN o_orderstatus != 'O' THEN 'N' || o_custkey END,
+    'route_' || o_orderkey) AS line, l_partkey AS node_id, {ROLES!r}[l_linenumber % {len(ROLES)} + 1] AS role
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity % 10 != 0
+""")
