@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Affixes of station and stop names.
 STATION_SUFFIXES = ["站", "地铁站"]
@@ -35,7 +36,7 @@ def levenshtein_score(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio; used on candidate pairs only."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
