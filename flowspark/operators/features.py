@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions import codes, geo, num
+from flowspark.functions import time as tm
 from flowspark.functions.geo import GridSpec
 from flowspark.operators.grid import grid_table, landmark_distances, onto_grid
-from flowspark.operators.quantiles import exact_quantiles
 from flowspark.operators.scale import scale
 from flowspark.session import bounded
 
@@ -132,10 +132,12 @@ def raster_features(bands: DataFrame, g: GridSpec, px: float, width: int, height
 # ---- flow history -----------------------------------------------------------------------
 
 
-def history_features(flow: DataFrame, keys: list[str], tz_hours: int, keys_bound: int) -> DataFrame:
-    """Eight statistics of each cell's inflow (A-09), scaled per city. ``keys[0]`` is the city."""
-    from flowspark.functions import time as tm
+def history_features(flow: DataFrame, keys: list[str], tz_hours: int) -> DataFrame:
+    """Eight statistics of each cell's inflow (A-09), scaled per city. ``keys[0]`` is the city.
 
+    The flow has one row per cell and half-hour (17,520 a year), so the exact percentile of a
+    cell holds that many values at most and needs no second pass.
+    """
     step = F.col("step")
     hour = F.floor(tm.slot_of(step, tz_hours) / 2)
     workday = tm.weekday_of(step, tz_hours) < 5
@@ -145,9 +147,8 @@ def history_features(flow: DataFrame, keys: list[str], tz_hours: int, keys_bound
         F.avg(x).alias("mean"), F.avg((x == 0).cast("double")).alias("zero_rate"),
         mean_if(workday).alias("wd"), mean_if(workday & hour.isin(7, 8)).alias("peak"),
         mean_if(~workday).alias("we"), mean_if(hour < 6).alias("night"),
-        F.avg(net).alias("net"), F.stddev_pop(x).alias("sd"),
+        F.avg(net).alias("net"), F.stddev_pop(x).alias("sd"), F.percentile(x, 0.99).alias("p99"),
     )
-    stats = stats.join(bounded(exact_quantiles(flow, keys, "inflow", {"p99": 0.99}, keys_bound), keys_bound), keys)
     top = stats.groupBy(keys[0]).agg(F.max("p99").alias("top"))
     d = stats.join(F.broadcast(top), keys[0])
     wd, we = F.coalesce("wd", "mean"), F.coalesce("we", "mean")

@@ -9,7 +9,7 @@ from flowspark.functions import num
 from flowspark.functions.geo import GridSpec
 from flowspark.operators import grid as gr
 from flowspark.operators.similarity import cosine_neighbours, pearson_neighbours, positive
-from flowspark.session import bounded
+from flowspark.session import bounded, cut_lineage
 
 
 def spatial_graph(
@@ -22,10 +22,10 @@ def spatial_graph(
     return n.select(F.col("grid_id").alias("src"), "dst", w.alias("weight"))
 
 
-def poi_graph(features: DataFrame, columns: list[str], k: int = 10, least: float | None = None) -> DataFrame:
-    """Cosine neighbours of the log densities (G-02)."""
+def poi_graph(features: DataFrame, columns: list[str], n_cells: int, k: int = 10, least: float | None = None) -> DataFrame:
+    """Cosine neighbours of the log densities (G-02); ``features`` has one row per cell."""
     v = features.select(F.col("grid_id").alias("id"), F.array(*[F.log1p(c) for c in columns]).alias("vec"))
-    return cosine_neighbours(v, k=None if least is not None else k, least=least)
+    return cosine_neighbours(v, k=None if least is not None else k, least=least, n_rows=n_cells)
 
 
 def flow_graph(flow: DataFrame, g: GridSpec, k: int = 15, least: float | None = None) -> DataFrame:
@@ -123,6 +123,8 @@ def chebyshev(x: DataFrame, edges: DataFrame, value: str, order: int, edges_boun
 def fuse(graphs: DataFrame, weights: dict[str, float], n_nodes: int) -> DataFrame:
     """One edge list for a weighted mean over graphs (G-10): normalised per graph, then summed.
     A single ``propagate`` over it equals the weighted mean of one pass per graph."""
+    # few rows, costly to derive, read three times per graph: written once
+    graphs = cut_lineage(graphs.select("graph", "src", "dst", "weight"))
     parts = [
         sym_normalised(graphs.where(F.col("graph") == name), n_nodes).withColumn("weight", F.col("weight") * w)
         for name, w in weights.items()

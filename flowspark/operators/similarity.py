@@ -45,18 +45,23 @@ def _top_k(edges: DataFrame, k: int | None) -> DataFrame:
 
 
 def cosine_neighbours(
-    vectors: DataFrame, k: int | None = 10, least: float | None = None, block_rows: int = 1024
+    vectors: DataFrame,
+    k: int | None = 10,
+    least: float | None = None,
+    block_rows: int = 1024,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """(src, dst, weight) by cosine of ``vec`` per ``id``: the k nearest, or all above ``least``.
 
-    Vectors are divided by their norm + 1e-8. Ties go to the smaller id.
+    Vectors are divided by their norm + 1e-8. Ties go to the smaller id. ``n_rows`` saves the
+    count that sizes the blocks, where the caller knows it.
     """
     spark = vectors.sparkSession
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)) + 1e-8
     unit = vectors.select(F.col("id").cast("long").alias("id"), norm.alias("_n"), "vec").select(
         "id", F.transform("vec", lambda x: x / F.col("_n")).alias("unit")
     )
-    n = unit.count()
+    n = unit.count() if n_rows is None else n_rows
     spread = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
     n_blocks = max(1, math.ceil(n / block_rows), min(spread, n // 64))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")

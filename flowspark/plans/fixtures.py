@@ -13,7 +13,7 @@ from flowspark.functions.geo import GridSpec, cell_id
 from flowspark.functions.num import rnd
 from flowspark.plans.oracle import cte
 from flowspark.plans.oracle import rnd as _rnd
-from flowspark.sources.tables import Tables
+from flowspark.sources.tables import Tables, view
 
 GRID = GridSpec("bj", 116.25, 116.75, 39.75, 40.25, 8, 8, 8)
 TZ = GRID.tz_hours
@@ -30,6 +30,7 @@ def _amount(types: list[str]) -> Column:
     return F.when(F.col("event_type").isin(types), F.col("value")).otherwise(F.lit(0.0))
 
 
+@view
 def flow_events(t: Tables) -> DataFrame:
     return t.events.select(
         F.lit(GRID.city).alias("city"),
@@ -46,6 +47,7 @@ def _sum_flow(df: DataFrame) -> DataFrame:
     )
 
 
+@view
 def flow_sparse(t: Tables) -> DataFrame:
     """One row per (cell, step) that has an event."""
     return _sum_flow(flow_events(t))
@@ -77,10 +79,12 @@ def dense_flow(ev: DataFrame, n_cells: int) -> DataFrame:
     return _sum_flow(ev.unionByName(zero))
 
 
+@view
 def flow(t: Tables) -> DataFrame:
     return dense_flow(flow_events(t), N_CELLS)
 
 
+@view
 def flow_null(t: Tables) -> DataFrame:
     """Dense calendar, null where no event was seen."""
     ev = flow_events(t)
@@ -98,6 +102,7 @@ def with_split(df: DataFrame, ev: DataFrame, share: float = TRAIN_SHARE) -> Data
     return df.join(F.broadcast(cut), "city").withColumn("is_train", F.col("step") < F.col("_cut")).drop("_cut")
 
 
+@view
 def flow_split(t: Tables) -> DataFrame:
     """Dense flow with ``slot`` (local) and ``is_train``."""
     return with_split(flow(t), flow_events(t)).withColumn("slot", tm.slot_of(F.col("step"), TZ))
@@ -162,6 +167,7 @@ TAG_VALUES = [
 SIDE_VALUES = ["house", "yes", "terrace"]
 
 
+@view
 def osm_nodes(t: Tables) -> DataFrame:
     """One tagged node per event."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -199,6 +205,7 @@ WAY_TYPES = [
 ]
 
 
+@view
 def osm_ways(t: Tables) -> DataFrame:
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     x0, y0 = point_lon(p), point_lat(p)
@@ -223,20 +230,24 @@ FROM (SELECT *, x0 + (l_suppkey % 7 - 3) * 0.011::DOUBLE AS x1, y0 + (l_linenumb
 
 
 # transit timetable: trips, stop times and stops
+@view
 def trips(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("trip_id"), F.col("o_custkey").alias("route_id"))
 
 
+@view
 def stop_times(t: Tables) -> DataFrame:
     return t.lineitem.select(F.col("l_orderkey").alias("trip_id"), F.col("l_partkey").alias("stop_id"))
 
 
+@view
 def stops(t: Tables) -> DataFrame:
     p = F.col("p_partkey")
     return t.part.select(p.alias("stop_id"), point_lon(p).alias("stop_lon"), point_lat(p).alias("stop_lat"))
 
 
 # stations: three customers share one; the line is the nation, the first train follows the balance
+@view
 def stations(t: Tables) -> DataFrame:
     c = F.col("c_custkey")
     place = F.floor(c / 3)

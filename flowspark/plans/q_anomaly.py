@@ -20,7 +20,7 @@ from flowspark.plans.q_clean import merged_weather, weather_steps
 from flowspark.plans.q_core import LEVELS, count_alerts, scored
 from flowspark.plans.q_features import parking
 from flowspark.session import bounded
-from flowspark.sources.tables import Tables
+from flowspark.sources.tables import Tables, view
 
 G, KEYS = fx.GRID, fx.KEYS
 Z_CLUSTER = 2.0
@@ -42,11 +42,13 @@ FROM labelled GROUP BY ALL HAVING count(*) >= 2
 """, ["labelled"])
 
 
+@view
 def labelled(t: Tables) -> DataFrame:
     hot = scored(t).where(F.col("z") > Z_CLUSTER).select(*BY, "grid_id", "z")
     return cc.label_components(hot, BY, G)
 
 
+@view
 def clusters(t: Tables) -> DataFrame:
     return cc.cluster_summary(labelled(t), BY, G)
 
@@ -82,6 +84,7 @@ FROM (SELECT step, CAST(sum(cell_count) AS BIGINT) AS clustered_cells, count(*)
 """, ["clusters"])
 
 
+@view
 def cluster_alerts(t: Tables) -> DataFrame:
     return an.cluster_levels(clusters(t), BY, LEVELS)
 
@@ -256,6 +259,7 @@ def _scores(d: DataFrame) -> DataFrame:
 cte("judged", "SELECT * FROM count_alerts JOIN weak_labels USING (step)", ["count_alerts", "weak_labels"])
 
 
+@view
 def judged(t: Tables) -> DataFrame:
     return count_alerts(t).join(weak_labels(t), BY)
 
@@ -273,6 +277,7 @@ FROM scored s JOIN log_base l USING (grid_id, slot), (SELECT avg(inflow) AS m, s
 _SWEEP = [0.1, 0.25, 0.4, 0.6, 0.75, 0.9]
 
 
+@view
 def votes(t: Tables) -> DataFrame:
     """Weighted vote of slot z, log slot z and global three-sigma per cell-step."""
     d = scored(t).withColumn("_t", F.round((F.col("outflow") - F.col("mu")) / F.col("sigma"), 9) > 2)

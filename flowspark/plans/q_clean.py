@@ -13,7 +13,7 @@ from flowspark.plans.oracle import cte, rnd, sql
 from flowspark.plans.registry import query
 from flowspark.plans.q_scalars import _TCOLS, segmented
 from flowspark.sources import tables as src
-from flowspark.sources.tables import Tables
+from flowspark.sources.tables import Tables, view
 
 KEYS = fx.KEYS
 
@@ -122,6 +122,7 @@ LEFT JOIN wa ON wa.hour * 2 = s.step""", ["wa"])
 cte("wa_half_known", known_sql("wa_half", "step", ["temp", "clouds_all"]), ["wa_half"])
 
 
+@view
 def weather_steps(t: Tables) -> DataFrame:
     return wx.upsample(fx.weather_source(t, "view").drop("wind_speed"), ["city"], ["temp", "clouds_all"])
 
@@ -146,6 +147,7 @@ FULL JOIN (SELECT hour, clouds_all AS clouds_b FROM wb) b USING (hour)""", ["wa"
 cte("merged_known", known_sql("merged", "hour", ["temp", "wind_speed", "clouds_b"]), ["merged"])
 
 
+@view
 def merged_weather(t: Tables) -> DataFrame:
     a = fx.weather_source(t, "view").drop("clouds_all")
     b = fx.weather_source(t, "click").withColumnRenamed("clouds_all", "clouds_b")

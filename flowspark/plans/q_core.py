@@ -10,21 +10,24 @@ from flowspark.operators import baseline as bl
 from flowspark.plans import fixtures as fx
 from flowspark.plans.oracle import cte, rnd, sql
 from flowspark.plans.registry import query
-from flowspark.sources.tables import Tables
+from flowspark.sources.tables import Tables, view
 from flowspark.functions.num import rnd as r
 
 # The fixture grid has 64 cells, so the cell counts of the levels are scaled down.
 LEVELS = [an.Level(1, 3.0, 2), an.Level(2, 3.0, 3), an.Level(3, 3.5, 3), an.Level(4, 4.0, 5)]
 
 
+@view
 def scored(t: Tables) -> DataFrame:
     return bl.slot_zscore(fx.flow_split(t), F.col("inflow"), fx.KEYS, fx.SLOT_BOUND)
 
 
+@view
 def step_counts(t: Tables) -> DataFrame:
     return an.cells_over(scored(t), ["city", "step"], an.TRIGGER_THRESHOLDS)
 
 
+@view
 def count_alerts(t: Tables) -> DataFrame:
     return step_counts(t).withColumn("level", an.level_by_count(LEVELS))
 

@@ -15,7 +15,7 @@ from flowspark.plans.oracle import cte, rnd, sql
 from flowspark.plans.registry import query
 from flowspark.plans.q_scalars import _TCOLS  # noqa: F401  (registers the shared fragments)
 from flowspark.sources import tables as src
-from flowspark.sources.tables import Tables
+from flowspark.sources.tables import Tables, view
 
 G = fx.GRID
 PX, SIZE = 0.5 / 60, 64
@@ -25,6 +25,7 @@ def _rounded(df: DataFrame, cols: list[str], keep: list[str] = ("grid_id",)) ->
     return df.select(*keep, *[r(F.col(c)).alias(c) for c in cols])
 
 
+@view
 def classified(t: Tables) -> DataFrame:
     n = src.tagged_points(fx.osm_nodes(t), G, F.lit(True))
     return n.withColumns({
@@ -78,6 +79,7 @@ def transit_density(t: Tables) -> DataFrame:
     return _counts(ft.class_counts(classified(t), G, "transit", ft.TRANSIT_CLASSES), ft.TRANSIT_CLASSES)
 
 
+@view
 def parking(t: Tables) -> DataFrame:
     p = src.tagged_points(fx.osm_nodes(t), G, F.col("tags")["amenity"] == "parking")
     p = p.select(geo.cell_id(F.col("lon"), F.col("lat"), G).alias("grid_id"), F.lit("parking").alias("kind"))
@@ -119,6 +121,7 @@ FROM cells c LEFT JOIN roads USING (grid_id) GROUP BY 1
 """, ["cells", "roads"])
 
 
+@view
 def road(t: Tables) -> DataFrame:
     ways = src.polylines(fx.osm_ways(t), G, codes.ROAD_TYPES)
     return ft.road_features(ft.road_pieces(ways, G), G)
@@ -149,6 +152,7 @@ FROM cells c LEFT JOIN bands p ON {_HOLD.format(a='col', px=PX)} AND {_HOLD.form
 """, ["cells", "bands"])
 
 
+@view
 def raster(t: Tables) -> DataFrame:
     return ft.raster_features(ft.pixel_bands(fx.pixels(t), fx.scenes(t)), G, PX, SIZE, SIZE)
 
@@ -173,8 +177,9 @@ FROM (SELECT grid_id, avg(inflow) AS mean, quantile_cont(inflow, 0.99::DOUBLE) A
 """, ["flow"])
 
 
+@view
 def history(t: Tables) -> DataFrame:
-    return ft.history_features(fx.flow(t), fx.KEYS, fx.TZ, fx.N_CELLS)
+    return ft.history_features(fx.flow(t), fx.KEYS, fx.TZ)
 
 
 @query("cell_hist_stats", sql(["hist"], f"SELECT grid_id, {', '.join(rnd(c, c) for c in ft.HISTORY)} FROM hist"))
@@ -200,6 +205,7 @@ WHERE l_partkey IN (SELECT stop_id FROM stops)""", ["stops"])
 cte("bus", "SELECT grid_id, count(DISTINCT route_id) AS num_bus_routes FROM stop_routes JOIN stops USING (stop_id) GROUP BY 1", ["stops", "stop_routes"])
 
 
+@view
 def stops_in_grid(t: Tables) -> DataFrame:
     s = src.numeric_or_drop(fx.stops(t), ["stop_lon", "stop_lat"])
     return tr.stop_cells(s, geo.cell_id(F.col("stop_lon"), F.col("stop_lat"), G))
@@ -210,6 +216,7 @@ def stop_routes(t: Tables) -> DataFrame:
     return tr.routes_per_stop(tr.stop_route_pairs(fx.stop_times(t), fx.trips(t), stops_in_grid(t)))
 
 
+@view
 def bus_routes(t: Tables) -> DataFrame:
     s = stops_in_grid(t)
     return tr.routes_per_cell(tr.stop_route_pairs(fx.stop_times(t), fx.trips(t), s), s)
@@ -239,6 +246,7 @@ def relation_station_cells(t: Tables) -> DataFrame:
     return tr.cell_lines(members.join(nodes, "node_id").withColumnRenamed("node_id", "station"))
 
 
+@view
 def node_features(t: Tables) -> DataFrame:
     points = classified(t)
     blocks = [

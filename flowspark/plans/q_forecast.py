@@ -14,7 +14,7 @@ from flowspark.plans import fixtures as fx
 from flowspark.plans.oracle import cte, rnd, sql
 from flowspark.plans.registry import query
 from flowspark.plans.q_scalars import metric_cols, metric_sql, predictions
-from flowspark.sources.tables import Tables
+from flowspark.sources.tables import Tables, view
 
 G, KEYS = fx.GRID, fx.KEYS
 
@@ -44,11 +44,12 @@ def sliding_windows_guarded(t: Tables) -> DataFrame:
 cte("lagged", "SELECT *, lag(inflow) OVER (PARTITION BY grid_id ORDER BY step) AS prev FROM flow", ["flow"])
 cte("ar1", """
 SELECT grid_id, phi, my - phi * mx AS c, n FROM (
-  SELECT grid_id, coalesce(regr_slope(inflow, prev), 0) AS phi, avg(inflow) AS my, avg(prev) AS mx, count(*) AS n
+  SELECT grid_id, CASE WHEN regr_sxx(inflow, prev) > 0 THEN regr_slope(inflow, prev) ELSE 0 END AS phi, avg(inflow) AS my, avg(prev) AS mx, count(*) AS n
   FROM lagged WHERE is_train AND prev IS NOT NULL GROUP BY 1)
 """, ["lagged"])
 
 
+@view
 def ar1(t: Tables) -> DataFrame:
     return fc.ar1_fit(fx.flow_split(t).where("is_train"), "inflow", KEYS, "step")
 
@@ -66,6 +67,7 @@ JOIN flow o ON o.grid_id = f.grid_id AND o.step = f.origin JOIN ar1 a ON a.grid_
 """, ["flow", "ar1"])
 
 
+@view
 def rolling(t: Tables) -> DataFrame:
     flow = fx.flow_split(t)
     cut = fx.full_days(fx.flow_events(t)).select(
@@ -125,13 +127,14 @@ def unit_root(t: Tables) -> DataFrame:
     return d.select("grid_id", "d", r(F.col("stat")).alias("stat"))
 
 
+@view
 def orders(t: Tables) -> DataFrame:
     return fc.ar_orders(fx.flow_split(t).where("is_train"), "inflow", KEYS, "step", 3)
 
 
 # AR(0) and AR(1) on the rows with three lags have closed forms
 @query("ar_aic", sql(["flow"], f"""
-SELECT grid_id, {rnd('n * ln(syy / n) + 2', 'aic0')}, {rnd('n * ln((syy - sxy * sxy / sxx) / n) + 4', 'aic1')} FROM (
+SELECT grid_id, {rnd('n * ln(greatest(syy, 1e-12::DOUBLE) / n) + 2', 'aic0')}, {rnd('n * ln(greatest(CASE WHEN sxx > 0 THEN syy - sxy * sxy / sxx ELSE syy END, 1e-12::DOUBLE) / n) + 4', 'aic1')} FROM (
   SELECT grid_id, regr_count(l0, l1) AS n, regr_syy(l0, l1) AS syy, regr_sxy(l0, l1) AS sxy, regr_sxx(l0, l1) AS sxx FROM (
     SELECT grid_id, inflow AS l0, lag(inflow) OVER w AS l1, lag(inflow, 3) OVER w AS l3 FROM flow WHERE is_train WINDOW w AS (PARTITION BY grid_id ORDER BY step))
   WHERE l3 IS NOT NULL GROUP BY 1)"""))
@@ -250,11 +253,10 @@ def ablation_summary(t: Tables) -> DataFrame:
 
 
 @query("forecast_lookup", sql(["preds"], f"""
-SELECT grid_id, step, {rnd('y_hat', 'y_hat')} FROM preds WHERE grid_id IN (3, 11, 42)
-  AND step BETWEEN (SELECT min(step) FROM preds) AND (SELECT min(step) FROM preds) + 11"""))
+SELECT grid_id, step, {rnd('y_hat', 'y_hat')} FROM preds WHERE step BETWEEN (SELECT min(step) FROM preds) AND (SELECT min(step) FROM preds) + 11"""))
 def forecast_lookup(t: Tables) -> DataFrame:
-    """Twelve steps from a start time for a list of cells, unfolded from the lookup's map form."""
-    d = pooled.lookup(predictions(t), "city", "step", "y_hat", horizon=12, grid_ids=[3, 11, 42])
+    """Twelve steps for every cell, unfolded from the lookup's map form."""
+    d = pooled.lookup(predictions(t), "city", "step", "y_hat", horizon=12)
     out = d.select(F.explode("predictions").alias("grid_id", "values"), "steps")
     pair = F.explode(F.arrays_zip("steps", "values"))
     return out.select("grid_id", pair.alias("_p")).select("grid_id", F.col("_p.steps").alias("step"), r(F.col("_p.values")).alias("y_hat"))

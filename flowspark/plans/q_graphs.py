@@ -17,7 +17,7 @@ from flowspark.plans.oracle import cte, rnd, sql
 from flowspark.plans.registry import query
 from flowspark.plans.q_features import classified
 from flowspark.sources import tables as src
-from flowspark.sources.tables import Tables
+from flowspark.sources.tables import Tables, view
 
 G = fx.GRID
 _EDGE = f"src, dst, {rnd('weight', 'weight')}"
@@ -35,6 +35,7 @@ WHERE a.grid_id IN (SELECT grid_id FROM occupied)
 """, ["cells", "occupied"])
 
 
+@view
 def occupied(t: Tables) -> DataFrame:
     return classified(t).where("grid_id >= 0").select("grid_id").distinct()
 
@@ -80,8 +81,9 @@ cte("poi_sim", cosine_sql("poi_vecs"), ["poi_vecs"])
 cte("poi_graph", top_sql("poi_sim", 10), ["poi_sim"])
 
 
+@view
 def poi_graph(t: Tables) -> DataFrame:
-    return gp.poi_graph(ft.class_counts(classified(t), G, "category", codes.POI_CLASSES), ft.POI)
+    return gp.poi_graph(ft.class_counts(classified(t), G, "category", codes.POI_CLASSES), ft.POI, G.n_cells)
 
 
 @query("poi_graph", sql(["poi_graph"], f"SELECT {_EDGE} FROM poi_graph"))
@@ -100,10 +102,12 @@ FROM unit_flow a JOIN unit_flow b USING (step) WHERE a.grid_id != b.grid_id GROU
 cte("flow_graph", f"SELECT * FROM ({top_sql('flow_sim', 15)}) WHERE weight > 0", ["flow_sim"])
 
 
+@view
 def train_flow(t: Tables) -> DataFrame:
     return fx.flow_split(t).where("is_train").select("grid_id", "step", "inflow")
 
 
+@view
 def flow_graph(t: Tables) -> DataFrame:
     return gp.flow_graph(train_flow(t), G)
 

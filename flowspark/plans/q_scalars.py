@@ -16,7 +16,7 @@ from flowspark.operators.scale import scale
 from flowspark.plans import fixtures as fx
 from flowspark.plans.oracle import cte, rnd, sql
 from flowspark.plans.registry import query
-from flowspark.sources.tables import Tables
+from flowspark.sources.tables import Tables, view
 
 G, TZ = fx.GRID, fx.TZ
 
@@ -102,6 +102,7 @@ def us_holidays(t: Tables) -> DataFrame:
     )
 
 
+@view
 def cell_points(t: Tables) -> DataFrame:
     """Events at their location, with the cell."""
     n = fx.osm_nodes(t)
@@ -195,6 +196,7 @@ def ring_bucket(t: Tables) -> DataFrame:
 cte("cell_means", "SELECT grid_id, avg(inflow) AS m_in, avg(outflow) AS m_out FROM flow GROUP BY 1", ["flow"])
 
 
+@view
 def cell_means(t: Tables) -> DataFrame:
     return fx.flow(t).groupBy(*fx.KEYS).agg(F.avg("inflow").alias("m_in"), F.avg("outflow").alias("m_out"))
 
@@ -261,6 +263,7 @@ def segment_split(t: Tables) -> DataFrame:
     return d.groupBy("segment", "split").agg(F.count("*").alias("n_rows"))
 
 
+@view
 def predictions(t: Tables) -> DataFrame:
     """Historical average on the test rows, with the step inside 48-step blocks."""
     d = fc.historical_average(fx.flow_split(t), "inflow", fx.KEYS, fx.SLOT_BOUND)

@@ -3,6 +3,9 @@ Parquet, CSV, JSON or text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +14,34 @@ from flowspark.functions.geo import GridSpec, in_bbox
 
 
 class Tables:
-    """Parquet tables of one folder, as attributes."""
+    """Parquet tables of one folder, as attributes, and the views derived from them.
+
+    A table or view is planned once per instance; nothing is computed or kept here.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.plans: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.plan(name, lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
+    def plan(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.plans:
+            self.plans[name] = build()
+        return self.plans[name]
+
+
+def view(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Plan a derived view once per ``Tables``."""
+
+    @wraps(fn)
+    def planned(t: Tables) -> DataFrame:
+        return t.plan(f"{fn.__module__}.{fn.__qualname__}", lambda: fn(t))
+
+    return planned
 
 
 def read_segments(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
