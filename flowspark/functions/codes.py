@@ -122,16 +122,24 @@ def tag_rules() -> dict[str, str]:
 
 def poi_class(tags: Column) -> Column:
     """Class of a tag map (P-28): the first tag that matches decides, and for one tag
-    the exact value goes before the any-value rule."""
-    rules = lookup(tag_rules())
-    hits = F.transform(
-        F.map_entries(tags),
-        lambda e: F.coalesce(
-            rules[F.concat(e["key"], F.lit("="), e["value"])],
-            rules[F.concat(e["key"], F.lit("=*"))],
-        ),
-    )
-    return F.get(F.filter(hits, lambda h: h.isNotNull()), F.lit(0))
+    the exact value goes before the any-value rule. One set test per class and tag."""
+    by_class: dict[str, list[str]] = {}
+    for tag, cls in tag_rules().items():
+        by_class.setdefault(cls, []).append(tag)
+    keys = sorted({tag.split("=")[0] for tag in tag_rules()})
+
+    def classify(e: Column) -> Column:
+        tag = F.concat(e["key"], F.lit("="), e["value"])
+        out = F.when(F.lit(False), F.lit(""))
+        for cls, listed in by_class.items():
+            out = out.when(tag.isin([x for x in listed if not x.endswith("=*")]), cls)
+        for x, cls in tag_rules().items():
+            if x.endswith("=*"):
+                out = out.when(e["key"] == x[:-2], cls)
+        return out
+
+    ruled = F.filter(F.map_entries(tags), lambda e: e["key"].isin(keys))
+    return F.get(F.filter(F.transform(ruled, classify), lambda h: h.isNotNull()), F.lit(0))
 
 
 def road_group(kind: Column) -> Column:

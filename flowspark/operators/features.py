@@ -12,7 +12,7 @@ from flowspark.functions import time as tm
 from flowspark.functions.geo import GridSpec
 from flowspark.operators.grid import grid_table, landmark_distances, onto_grid
 from flowspark.operators.scale import scale
-from flowspark.session import bounded
+from flowspark.session import bounded, cut_lineage
 
 
 def class_counts(points: DataFrame, g: GridSpec, cls: str, classes: list[str]) -> DataFrame:
@@ -237,6 +237,7 @@ def poi_supernodes(bins: DataFrame, classes: list[str], k: int = 500, seed: int
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    d = VectorAssembler(inputCols=classes, outputCol="features").transform(bins)
+    # one row per bin, read in every round: written once
+    d = VectorAssembler(inputCols=classes, outputCol="features").transform(cut_lineage(bins))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="supernode").fit(d)
     return model.transform(d).drop("features")
