@@ -38,12 +38,8 @@ def road_pieces(ways: DataFrame, g: GridSpec) -> DataFrame:
     A segment meets only the cells of its own bounding box, found by arithmetic. It is
     clipped to each of them by the parameter interval [t0, t1] along the segment.
     """
-    seg = F.explode(
-        F.transform(
-            F.sequence(F.lit(1), F.size("coords") - 1),
-            lambda i: F.struct(F.get("coords", i - 1).alias("a"), F.get("coords", i).alias("b")),
-        )
-    )
+    n = F.size("coords") - 1
+    seg = F.explode(F.arrays_zip(F.slice("coords", 1, n).alias("a"), F.slice("coords", 2, n).alias("b")))
     d = ways.select("id", F.col("tags")["highway"].alias("kind"), seg.alias("s"))
     x0, y0, x1, y1 = F.col("s.a.lon"), F.col("s.a.lat"), F.col("s.b.lon"), F.col("s.b.lat")
     d = d.select("id", "kind", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
@@ -111,16 +107,15 @@ def raster_features(bands: DataFrame, g: GridSpec, px: float, width: int, height
     on a boundary may count in two cells; each pixel finds its cells by arithmetic.
     """
 
-    def holders(p: Column, n: int, d: float, size: int) -> Column:
-        mid = F.floor((p + 0.5) * px / d)
-        first = lambda i: F.floor(i * d / px)
-        last = lambda i: F.least(F.ceil((i + 1) * d / px), F.lit(size))
-        return F.filter(
-            F.sequence(mid - 1, mid + 1), lambda i: (i >= 0) & (i < n) & (first(i) <= p) & (p < last(i))
-        )
+    def into_cells(d: DataFrame, p: str, n: int, size_deg: float, size: int, name: str) -> DataFrame:
+        mid = F.floor((F.col(p) + 0.5) * px / size_deg)
+        i = F.col(name)
+        first, last = F.floor(i * size_deg / px), F.least(F.ceil((i + 1) * size_deg / px), F.lit(size))
+        d = d.withColumn(name, F.explode(F.array(mid - 1, mid, mid + 1)))
+        return d.where((i >= 0) & (i < n) & (first <= F.col(p)) & (F.col(p) < last))
 
-    d = bands.withColumn("_c", F.explode(holders(F.col("col"), g.cols, g.d_lon, width)))
-    d = d.withColumn("_r", F.explode(holders(F.col("row"), g.rows, g.d_lat, height)))
+    d = into_cells(bands, "col", g.cols, g.d_lon, width, "_c")
+    d = into_cells(d, "row", g.rows, g.d_lat, height, "_r")
     stats = d.groupBy((F.col("_r") * g.cols + F.col("_c")).alias("grid_id")).agg(
         F.avg("ndvi").alias("ndvi"), F.avg("ndbi").alias("ndbi"), F.avg("mndwi").alias("mndwi"),
         F.avg("b4").alias("b4_mean"), F.stddev_pop("b4").alias("b4_std"),

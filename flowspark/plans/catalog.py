@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_core", "q_scalars", "q_clean", "q_features", "q_graphs", "q_forecast", "q_anomaly", "q_match", "q_stream"]
+MODULES = ["q_core", "q_scalars", "q_clean", "q_features", "q_graphs", "q_forecast", "q_anomaly", "q_match", "q_stream", "q_sources"]
 
 
 def load() -> None:
