@@ -38,17 +38,13 @@ def _local_labels(g: GridSpec):
         a, b = np.concatenate(a), np.concatenate(b)
         parent = np.arange(len(flat))
         while len(a):
-            least = np.minimum(parent[a], parent[b])
-            np.minimum.at(parent, parent[a], least)
-            np.minimum.at(parent, parent[b], least)
-            parent = parent[parent]
+            # parents are roots here: the larger root of an edge hooks to the smaller one
+            ra, rb = parent[a], parent[b]
+            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+            while not (parent[parent] == parent).all():
+                parent = parent[parent]
             open_ = parent[a] != parent[b]
             a, b = a[open_], b[open_]
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
         return pd.Series(np.split(flat[parent], np.cumsum(sizes)[:-1]))
 
     return labels
@@ -80,13 +76,17 @@ def _merge_tiles(local: DataFrame, by: list[str], g: GridSpec, tile: int) -> Dat
     )
     root = links.select(*by, F.col("u").alias("label"), F.col("u").alias("root")).distinct()
     while not links.isEmpty():
-        # every root hooks to its smallest smaller neighbour, then the hooks are shortened
-        hook = links.where("v < u").groupBy(*by, "u").agg(F.min("v").alias("p"))
-        hook = cut_lineage(hook)
-        for _ in range(2):
+        # every root hooks to its smallest smaller neighbour; hooks are then shortened to the end
+        hook = cut_lineage(links.where("v < u").groupBy(*by, "u").agg(F.min("v").alias("p")))
+        while True:
             up = hook.select(*by, F.col("u").alias("p"), F.col("p").alias("_pp"))
-            hook = hook.join(up, [*by, "p"], "left").select(*by, "u", F.coalesce("_pp", "p").alias("p"))
-        hook = cut_lineage(hook)
+            jumped = hook.join(up, [*by, "p"], "left").select(
+                *by, "u", F.coalesce("_pp", "p").alias("p"), F.col("_pp").isNotNull().alias("_moved")
+            )
+            jumped = cut_lineage(jumped)
+            hook = jumped.drop("_moved")
+            if jumped.where("_moved").isEmpty():
+                break
         move = lambda d, c: d.join(hook.withColumnsRenamed({"u": c, "p": f"_{c}"}), [*by, c], "left").withColumn(
             c, F.coalesce(f"_{c}", c)
         ).drop(f"_{c}")

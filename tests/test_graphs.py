@@ -92,7 +92,7 @@ def brute_components(cells, rows_, cols):
     return label
 
 
-@pytest.mark.parametrize("tile", [32, 5, 1])
+@pytest.mark.parametrize("tile", [32, 5, 2])
 def test_components_match_flood_fill(spark, tile):
     g = GridSpec("t", 0, 1, 0, 1, 12, 17, 0)
     rng = np.random.default_rng(5)
