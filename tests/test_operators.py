@@ -43,7 +43,7 @@ def test_scale(spark):
 
 def test_outliers_are_repaired(spark):
     v = [1.0, 2.0] * 30
-    v[0], v[25], v[59] = 500.0, 900.0, 700.0
+    v[0], v[25], v[59] = 900.0, 900.0, 900.0
     df = spark.createDataFrame([("bj", 1, i, x) for i, x in enumerate(v)], "city string, grid_id int, step long, inflow double")
     got = clean.repair_outliers(df, ["city", "grid_id"], "step", ["inflow"], 1, threshold=3.0).orderBy("step").toPandas().inflow.tolist()
     assert got[25] == 1.0 and got[0] == 2.0 and got[59] == 1.0 and got[24] == 1.0
@@ -216,7 +216,7 @@ def test_pooled_regression_recovers_a_linear_rule(spark):
     rng = np.random.default_rng(9)
     x = rng.random((400, 3))
     y = 2 * x[:, 0] - x[:, 2] + 1
-    pdf = pd.DataFrame({"is_train": np.arange(400) < 300, "x_a": x.tolist(), "y": [[v, -v] for v in y]})
+    pdf = pd.DataFrame({"is_train": np.arange(400) < 300, "x_a": x.tolist(), "y": [[v, -v] for v in y.tolist()]})
     got = pooled.fit_predict(spark.createDataFrame(pdf, "is_train boolean, x_a array<double>, y array<double>"), ["x_a"], [1, 2]).toPandas()
     assert len(got) == 200 and np.abs(got.y - got.y_hat).max() < 1e-3
 

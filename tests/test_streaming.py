@@ -1,6 +1,9 @@
 import datetime as dt
+import os
 import tempfile
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -8,12 +11,17 @@ from flowspark.streaming import jobs
 
 
 def write_files(spark, batches):
+    """One file per batch, in time order."""
     folder = tempfile.mkdtemp(prefix="flowspark-test-")
+    schema = pa.schema(
+        [("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()), ("event_type", pa.string()), ("value", pa.float64()), ("props", pa.string())]
+    )
     for i, b in enumerate(batches):
-        data = [(e, t, u, "view", v, None) for e, t, u, v in b]
-        df = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
-        df.coalesce(1).write.parquet(f"{folder}/events{i}.parquet")
-    return f"{folder}/*"
+        data = [dict(zip(schema.names, (e, t, u, "view", v, None))) for e, t, u, v in b]
+        path = f"{folder}/events{i}.parquet"
+        pq.write_table(pa.Table.from_pylist(data, schema), path)
+        os.utime(path, (1_700_000_000 + 60 * i,) * 2)
+    return folder
 
 
 def at(h, m):
@@ -28,11 +36,12 @@ def test_late_rows_are_dropped_and_windows_emitted_once(spark):
     batches = [
         [(1, at(1, 5), 7, 1.0), (2, at(1, 20), 7, 2.0), (3, at(1, 40), 7, 4.0)],
         [(4, at(3, 0), 7, 8.0)],
-        [(5, at(1, 10), 7, 100.0), (6, at(5, 0), 7, 1.0)],  # event 5 is far behind the watermark
+        [(7, at(3, 5), 7, 1.0)],
+        [(5, at(1, 10), 7, 100.0), (6, at(5, 0), 7, 1.0)],  # event 5 comes after its window was emitted
     ]
     events = jobs.read_events(spark, write_files(spark, batches), files_per_trigger=1)
     out = jobs.run_available(jobs.with_step(flow(events), 0).select("grid_id", "slot", "inflow"), "test-flow")
-    assert rows(out) == [(7, 2, 3.0), (7, 3, 4.0), (7, 6, 8.0)]
+    assert rows(out) == [(7, 2, 3.0), (7, 3, 4.0), (7, 6, 9.0)]
 
 
 def test_dedup_across_files(spark):
