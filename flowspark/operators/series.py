@@ -125,7 +125,9 @@ def interpolate(
         lerp = p["v"] + (n["v"] - p["v"]) * ((o - p["at"]) / (n["at"] - p["at"]))
         head = {"nearest": n["v"], "zero": F.lit(0.0), "null": F.lit(None).cast("double")}[leading]
         out[c] = (
-            F.when(F.col(c).isNotNull(), F.col(c))
+            # a known row is its own neighbour: the plain column is not read, so both uses of
+            # the neighbours share one shuffle
+            F.when(p["at"] == o, p["v"])
             .when(p.isNotNull() & n.isNotNull(), lerp)
             .when(p.isNotNull(), p["v"])
             .otherwise(head)
