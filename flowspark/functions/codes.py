@@ -87,11 +87,6 @@ ROAD_GROUPS = {
 }
 ROAD_TYPES = [t for types in ROAD_GROUPS.values() for t in types]
 
-# Node feature groups, for contribution sums.
-FEATURE_GROUPS = {
-    "geo": 6, "road": 5, "poi": 11, "satellite": 5, "history": 8, "transit": 6,
-}
-
 
 def lookup(table: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.functions import time as tm
 from flowspark.operators import series
 from flowspark.operators.baseline import slot_baseline
 from flowspark.session import bounded

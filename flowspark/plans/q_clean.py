@@ -201,7 +201,7 @@ cte("fc3_known", known_sql("fc3_grid", "step", ["temp", "wind_speed", "weather_c
 
 @query("forecast_json", sql(["fc3"], """
 SELECT step, temp AS temperature, CAST(n AS DOUBLE) AS humidity, wind_speed, 200 + (n * 97) % 700 AS weather_code,
-  CASE WHEN n % 2 = 0 THEN 0.5 ELSE 0.0 END AS pop FROM fc3"""))
+  CASE WHEN n % 2 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS pop FROM fc3"""))
 def forecast_json(t: Tables) -> DataFrame:
     d = src.forecast_records(forecast_documents(t))
     return d.select(tm.step_of(F.col("ts")).alias("step"), "temperature", "humidity", "wind_speed", "weather_code", "pop")
