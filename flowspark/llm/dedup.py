@@ -64,3 +64,14 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return local.join(merged, ["text_sha256", "salt"]).select(
         "doc_id", "keep_id", "group_size", (F.col("best") & (F.col("rank") == 1)).alias("kept"), "text_sha256"
     )
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns."""
+    stay = copies(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.withColumn("_own", F.sha2(normalised(body), 256)).withColumn("_chars", F.length(body))
+    met = rows.join(stay, rows["_own"].eqNullSafe(stay["_sha"]) & rows[doc_id].eqNullSafe(stay["_id"]))
+    # rows of one id and one normalised text: the longest stays, one of equals
+    first = F.row_number().over(Window.partitionBy("_own", doc_id).orderBy(F.desc("_chars")))
+    return met.withColumn("_first", first).where("_first = 1").select(*docs.columns)
