@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.session import bounded
 
 
 def slot_baseline(train: DataFrame, value: Column, keys: list[str], floor: float = 1.0) -> DataFrame:
@@ -19,7 +18,6 @@ def slot_zscore(
     df: DataFrame,
     value: Column,
     keys: list[str],
-    rows_bound: int,
     baseline_value: Column | None = None,
     floor: float = 1.0,
     baseline: DataFrame | None = None,
@@ -27,13 +25,13 @@ def slot_zscore(
 ) -> DataFrame:
     """Add ``mu``, ``sigma`` and the z-score against the baseline of the training rows.
 
-    The baseline has at most cells x 48 rows: within the broadcast bound the flow itself
-    is not shuffled. ``baseline_value`` scores one channel with another one's baseline.
+    The baseline has at most cells x 48 rows; whether it is broadcast is left to Spark, which
+    knows its bytes. ``baseline_value`` scores one channel with another one's baseline.
     """
     source = value if baseline_value is None else baseline_value
     base = baseline if baseline is not None else slot_baseline(df.where("is_train"), source, keys, floor)
     z = (value - F.col("mu")) / F.col("sigma")
-    return df.join(bounded(base, rows_bound), [*keys, "slot"]).withColumn(name, F.round(z, 9))
+    return df.join(base, [*keys, "slot"]).withColumn(name, F.round(z, 9))
 
 
 def log_value(c: str) -> Column:

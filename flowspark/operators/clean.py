@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.operators import series
-from flowspark.session import bounded
 
 
 def cell_stats(df: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
@@ -21,19 +20,19 @@ def cell_stats(df: DataFrame, keys: list[str], channels: list[str]) -> DataFrame
 
 
 def outlier_flags(
-    df: DataFrame, keys: list[str], channels: list[str], keys_bound: int, threshold: float = 5.0
+    df: DataFrame, keys: list[str], channels: list[str], threshold: float = 5.0
 ) -> DataFrame:
     """Add ``out_c``: |z| beyond the threshold. At most one statistics row per cell is broadcast."""
-    d = df.join(bounded(cell_stats(df, keys, channels), keys_bound), keys)
+    d = df.join(cell_stats(df, keys, channels), keys)
     z = {c: F.round(F.abs((F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}")), 9) for c in channels}
     return d.select(*df.columns, *[(z[c] > threshold).alias(f"out_{c}") for c in channels])
 
 
 def repair_outliers(
-    df: DataFrame, keys: list[str], order: str, channels: list[str], keys_bound: int, threshold: float = 5.0
+    df: DataFrame, keys: list[str], order: str, channels: list[str], threshold: float = 5.0
 ) -> DataFrame:
     """Flagged values become the line between their neighbours; ``order`` is the position."""
-    d = outlier_flags(df, keys, channels, keys_bound, threshold)
+    d = outlier_flags(df, keys, channels, threshold)
     d = d.withColumns({c: F.when(~F.col(f"out_{c}"), F.col(c)) for c in channels})
     return series.interpolate(d, keys, order, channels)
 

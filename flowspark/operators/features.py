@@ -12,7 +12,7 @@ from flowspark.functions import time as tm
 from flowspark.functions.geo import GridSpec
 from flowspark.operators.grid import grid_table, landmark_distances, onto_grid
 from flowspark.operators.scale import scale
-from flowspark.session import bounded, cut_lineage
+from flowspark.session import cut_lineage
 
 
 def class_counts(points: DataFrame, g: GridSpec, cls: str, classes: list[str]) -> DataFrame:
@@ -23,7 +23,7 @@ def class_counts(points: DataFrame, g: GridSpec, cls: str, classes: list[str]) -
         .groupBy("grid_id")
         .agg(*[F.count_if(F.col(cls) == c).alias(f"{c}_count") for c in classes])
     )
-    d = onto_grid(grid_table(points.sparkSession, g), counts, ["grid_id"], g.n_cells)
+    d = onto_grid(grid_table(points.sparkSession, g), counts, ["grid_id"])
     density = {f"{c}_density": F.col(f"{c}_count") / F.col("area_km2") for c in classes}
     cols = [x for c in classes for x in (f"{c}_count", f"{c}_density")]
     return d.withColumns(density).select("grid_id", *cols)
@@ -75,7 +75,7 @@ def road_features(pieces: DataFrame, g: GridSpec) -> DataFrame:
     sums = d.groupBy("grid_id").agg(
         F.sum("km").alias("total_km"), *[F.sum(F.when(F.col("grp") == x, F.col("km"))).alias(x) for x in groups]
     )
-    out = onto_grid(grid_table(pieces.sparkSession, g), sums, ["grid_id"], g.n_cells)
+    out = onto_grid(grid_table(pieces.sparkSession, g), sums, ["grid_id"])
     cols = {"road_density_km_km2": F.col("total_km") / F.col("area_km2")}
     cols |= {f"{x}_density": F.col(x) / F.col("area_km2") for x in groups}
     return out.withColumns(cols).select("grid_id", *cols)
@@ -86,7 +86,7 @@ def road_features(pieces: DataFrame, g: GridSpec) -> DataFrame:
 
 def pixel_bands(pixels: DataFrame, scenes: DataFrame) -> DataFrame:
     """Reflectance and indices of every pixel; scene calibration is one row per scene (SRC-11)."""
-    d = pixels.join(F.broadcast(scenes), "scene")
+    d = pixels.join(scenes, "scene")
     rho = {
         f"b{b}": num.reflectance(F.col(f"dn{b}"), F.col("mult"), F.col("add"), F.col("sun_elev")) for b in (3, 4, 5, 6)
     }
@@ -121,7 +121,7 @@ def raster_features(bands: DataFrame, g: GridSpec, px: float, width: int, height
         F.avg("b4").alias("b4_mean"), F.stddev_pop("b4").alias("b4_std"),
     )
     grid = grid_table(bands.sparkSession, g).select("grid_id")
-    return onto_grid(grid, stats, ["grid_id"], g.n_cells)
+    return onto_grid(grid, stats, ["grid_id"])
 
 
 # ---- flow history -----------------------------------------------------------------------
@@ -130,6 +130,8 @@ def raster_features(bands: DataFrame, g: GridSpec, px: float, width: int, height
 def history_features(flow: DataFrame, keys: list[str], tz_hours: int) -> DataFrame:
     """Eight statistics of each cell's inflow (A-09), scaled per city. ``keys[0]`` is the city.
 
+    Pass training rows only: the features describe what a model may know.
+
     The flow has one row per cell and half-hour (17,520 a year), so the exact percentile of a
     cell holds that many values at most and needs no second pass.
     """
@@ -145,7 +147,7 @@ def history_features(flow: DataFrame, keys: list[str], tz_hours: int) -> DataFra
         F.avg(net).alias("net"), F.stddev_pop(x).alias("sd"), F.percentile(x, 0.99).alias("p99"),
     )
     top = stats.groupBy(keys[0]).agg(F.max("p99").alias("top"))
-    d = stats.join(F.broadcast(top), keys[0])
+    d = stats.join(top, keys[0])
     wd, we = F.coalesce("wd", "mean"), F.coalesce("we", "mean")
     d = d.select(
         *keys,
@@ -189,7 +191,7 @@ def node_features(spark, g: GridSpec, landmarks: dict, blocks: list[DataFrame],
         "city", "grid_id", F.col("center_lat").alias("lat_norm"), F.col("center_lon").alias("lon_norm"),
         "dist_center_km", (geo.ring_of(F.col("dist_center_km")) / 5.0).alias("ring"), *DISTANCE,
     )
-    attach = lambda d, b: d.join(bounded(b, g.n_cells), "grid_id", "left")
+    attach = lambda d, b: d.join(b, "grid_id", "left")
     d = reduce(attach, [*blocks, history.drop("city")], grid)
     d = d.fillna(0, subset=[c for c in NODE_FEATURES if c not in GEO and c not in DISTANCE])
     d = scale(

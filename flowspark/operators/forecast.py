@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 
 from flowspark.operators import series
 from flowspark.operators.baseline import slot_baseline
-from flowspark.session import bounded
 
 T_OUT = 48
 
 
-def historical_average(df: DataFrame, value: str, keys: list[str], rows_bound: int) -> DataFrame:
+def historical_average(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Predict the non-training rows by the training mean of their slot (FC-01)."""
     base = slot_baseline(df.where("is_train"), F.col(value), keys).select(*keys, "slot", F.col("mu").alias("y_hat"))
-    return df.where("NOT is_train").join(bounded(base, rows_bound), [*keys, "slot"]).withColumn("y", F.col(value))
+    return df.where("NOT is_train").join(base, [*keys, "slot"]).withColumn("y", F.col(value))
 
 
 def recent_mean(train: DataFrame, value: str, keys: list[str], order: str, n: int = T_OUT) -> DataFrame:
@@ -49,7 +48,7 @@ def ar1_fit(train: DataFrame, value: str, keys: list[str], order: str) -> DataFr
 
 
 def ar1_rolling(
-    df: DataFrame, fit: DataFrame, value: str, keys: list[str], order: str, keys_bound: int, block: int = T_OUT
+    df: DataFrame, fit: DataFrame, value: str, keys: list[str], order: str, block: int = T_OUT
 ) -> DataFrame:
     """Forecast the test rows in blocks; each block starts from the true value before it.
 
@@ -63,17 +62,17 @@ def ar1_rolling(
     test = df.where(F.col("test_pos") >= 0).withColumns(
         {"block": F.floor(F.col("test_pos") / block), "h": F.col("test_pos") % block + 1}
     )
-    d = test.join(origin, [*keys, "block"]).join(bounded(fit, keys_bound), keys)
+    d = test.join(origin, [*keys, "block"]).join(fit, keys)
     p, c, h = F.col("phi"), F.col("c"), F.col("h")
     grow = F.pow(p, h)
     drift = F.when(F.abs(1 - p) < 1e-9, c * h).otherwise(c * (1 - grow) / (1 - p))
     return d.withColumns({"y": F.col(value), "y_hat": drift + grow * F.col("_x0")}).drop("_x0")
 
 
-def autocorrelation(df: DataFrame, value: str, keys: list[str], order: str, lags: int, keys_bound: int) -> DataFrame:
+def autocorrelation(df: DataFrame, value: str, keys: list[str], order: str, lags: int) -> DataFrame:
     """ACF at lags 1..n (W-18): centred lag products from one halo pass, no self-join."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count("*").alias("n"))
-    d = df.select(*keys, order, value).join(bounded(stats, keys_bound), keys)
+    d = df.select(*keys, order, value).join(stats, keys)
     d = d.withColumn("_d", F.col(value) - F.col("_m"))
     d = series.lagged(d, keys, order, {f"_d{k}": ("_d", k) for k in range(1, lags + 1)})
     sums = d.groupBy(*keys).agg(
@@ -213,7 +212,7 @@ def fourier_fit(train: DataFrame, value: str, keys: list[str], order: str, tz_ho
     span = train.groupBy(keys[0]).agg(F.min(order).alias("_o"), (F.max(order) - F.min(order) + 1).alias("_s"))
     d = (
         train.select(*keys, order, F.col(value).alias("_y"))
-        .join(F.broadcast(span), keys[0])
+        .join(span, keys[0])
         .withColumn("_chunk", F.floor(F.col(order) / chunk))
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema if f.name in keys)
@@ -240,9 +239,9 @@ def fourier_fit(train: DataFrame, value: str, keys: list[str], order: str, tz_ho
     return parts.groupBy(*keys).applyInPandas(solve, f"{schema}, o double, s double, beta array<double>")
 
 
-def fourier_predict(df: DataFrame, fit: DataFrame, keys: list[str], order: str, tz_hours: int, keys_bound: int) -> DataFrame:
+def fourier_predict(df: DataFrame, fit: DataFrame, keys: list[str], order: str, tz_hours: int) -> DataFrame:
     """Evaluate the fitted terms with column expressions."""
-    d = df.join(bounded(fit, keys_bound), keys)
+    d = df.join(fit, keys)
     local = F.col(order) + 2 * tz_hours
     beta = F.col("beta")
     y = beta[0] + beta[1] * (F.col(order) - F.col("o")) / F.col("s")

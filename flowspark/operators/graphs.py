@@ -9,7 +9,7 @@ from flowspark.functions import num
 from flowspark.functions.geo import GridSpec
 from flowspark.operators import grid as gr
 from flowspark.operators.similarity import cosine_neighbours, pearson_neighbours, positive
-from flowspark.session import bounded, cut_lineage
+from flowspark.session import cut_lineage
 
 
 def spatial_graph(
@@ -22,15 +22,15 @@ def spatial_graph(
     return n.select(F.col("grid_id").alias("src"), "dst", w.alias("weight"))
 
 
-def poi_graph(features: DataFrame, columns: list[str], n_cells: int, k: int = 10, least: float | None = None) -> DataFrame:
+def poi_graph(features: DataFrame, columns: list[str], k: int = 10, least: float | None = None) -> DataFrame:
     """Cosine neighbours of the log densities (G-02); ``features`` has one row per cell."""
     v = features.select(F.col("grid_id").alias("id"), F.array(*[F.log1p(c) for c in columns]).alias("vec"))
-    return cosine_neighbours(v, k=None if least is not None else k, least=least, n_rows=n_cells)
+    return cosine_neighbours(v, k=None if least is not None else k, least=least)
 
 
 def flow_graph(flow: DataFrame, g: GridSpec, k: int = 15, least: float | None = None) -> DataFrame:
     """Positive correlation neighbours of the inflow (G-03)."""
-    e = pearson_neighbours(flow, "inflow", k=None if least is not None else k, least=least, nodes_bound=g.n_cells)
+    e = pearson_neighbours(flow, "inflow", k=None if least is not None else k, least=least)
     return positive(e)
 
 
@@ -66,31 +66,33 @@ def with_self_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(loops)
 
 
-def sym_normalised(edges: DataFrame, n_nodes: int, weighted: bool = True) -> DataFrame:
+def sym_normalised(edges: DataFrame, weighted: bool = True) -> DataFrame:
     """Weights divided by the root of both degrees."""
     e = edges if weighted else edges.withColumn("weight", F.lit(1.0))
     deg = e.groupBy("src").agg(F.sum("weight").alias("deg"))
-    d = e.join(bounded(deg, n_nodes), "src").join(
-        bounded(deg.select(F.col("src").alias("dst"), F.col("deg").alias("deg_d")), n_nodes), "dst", "left"
+    d = e.join(deg, "src").join(
+        deg.select(F.col("src").alias("dst"), F.col("deg").alias("deg_d")), "dst", "left"
     )
     w = F.col("weight") / F.sqrt(F.col("deg") * F.coalesce(F.col("deg_d"), F.lit(1.0)))
     return d.select("src", "dst", w.alias("weight"))
 
 
-def propagate(x: DataFrame, edges: DataFrame, values: list[str], edges_bound: int) -> DataFrame:
+def propagate(x: DataFrame, edges: DataFrame, values: list[str]) -> DataFrame:
     """One hop: value of a cell = weighted sum over its neighbours, per step (G-08).
 
     Rows are placed by step first, so that the sums over neighbours need no second shuffle;
-    the fan-out along the edges happens inside the task.
+    the fan-out along the edges happens inside the task. The graph is written first: Spark then
+    knows its bytes, and broadcasts it or not by its own threshold.
     """
+    edges = cut_lineage(edges.select("src", "dst", "weight"))
     d = x.select("step", F.col("grid_id").alias("dst"), *values).repartition("step")
-    j = d.join(bounded(edges, edges_bound), "dst")
+    j = d.join(edges, "dst")
     return j.groupBy("step", "src").agg(*[F.sum(F.col("weight") * F.col(v)).alias(v) for v in values]).withColumnRenamed(
         "src", "grid_id"
     )
 
 
-def chebyshev(x: DataFrame, edges: DataFrame, value: str, order: int, edges_bound: int) -> DataFrame:
+def chebyshev(x: DataFrame, edges: DataFrame, value: str, order: int) -> DataFrame:
     """T_0..T_{order-1} of the scaled Laplacian applied to a value (G-09).
 
     ``edges`` are symmetrically normalised without loops, so the scaled Laplacian is their
@@ -100,11 +102,12 @@ def chebyshev(x: DataFrame, edges: DataFrame, value: str, order: int, edges_boun
     """
     d = x.select("step", "grid_id", F.col(value).alias("t0")).repartition("step")
     e = edges.groupBy("dst").agg(F.collect_list(F.struct("src", "weight")).alias("_to")).withColumnRenamed("dst", "grid_id")
+    e = cut_lineage(e)
     for k in range(1, order):
         newest, keep = f"t{k - 1}", [f"t{i}" for i in range(k)]
         scale = 1.0 if k == 1 else 2.0
         own = -F.col(f"t{k - 2}") if k > 1 else F.lit(0.0)
-        j = d.join(bounded(e, edges_bound), "grid_id", "left")
+        j = d.join(e, "grid_id", "left")
         to = F.transform(
             F.coalesce("_to", F.array().cast("array<struct<src:bigint,weight:double>>")),
             lambda t: F.struct(
@@ -120,13 +123,13 @@ def chebyshev(x: DataFrame, edges: DataFrame, value: str, order: int, edges_boun
     return d
 
 
-def fuse(graphs: DataFrame, weights: dict[str, float], n_nodes: int) -> DataFrame:
+def fuse(graphs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """One edge list for a weighted mean over graphs (G-10): normalised per graph, then summed.
     A single ``propagate`` over it equals the weighted mean of one pass per graph."""
     # few rows, costly to derive, read three times per graph: written once
     graphs = cut_lineage(graphs.select("graph", "src", "dst", "weight"))
     parts = [
-        sym_normalised(graphs.where(F.col("graph") == name), n_nodes).withColumn("weight", F.col("weight") * w)
+        sym_normalised(graphs.where(F.col("graph") == name)).withColumn("weight", F.col("weight") * w)
         for name, w in weights.items()
     ]
     out = parts[0]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from flowspark.functions import geo
 from flowspark.functions.geo import GridSpec
-from flowspark.session import bounded
 
 
 def grid_table(spark: SparkSession, g: GridSpec) -> DataFrame:
@@ -31,11 +30,11 @@ def grid_table(spark: SparkSession, g: GridSpec) -> DataFrame:
     )
 
 
-def onto_grid(grid: DataFrame, features: DataFrame, keys: list[str], rows_bound: int) -> DataFrame:
+def onto_grid(grid: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
     """Features on every cell, zero where a cell has none (J-01). ``features`` has at most one
     row per cell."""
     cols = [c for c in features.columns if c not in keys]
-    return grid.join(bounded(features, rows_bound), keys, "left").fillna(0, subset=cols)
+    return grid.join(features, keys, "left").fillna(0, subset=cols)
 
 
 def landmark_distances(cells: DataFrame, g: GridSpec, landmarks: dict[str, list[tuple[float, float]]]) -> DataFrame:

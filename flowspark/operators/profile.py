@@ -14,7 +14,7 @@ def share(flag: Column) -> Column:
     return F.avg(flag.cast("double"))
 
 
-def channel_profile(df: DataFrame, by: list[str], channels: list[str], by_bound: int) -> DataFrame:
+def channel_profile(df: DataFrame, by: list[str], channels: list[str]) -> DataFrame:
     """Count, range, mean, population deviation, zero share and exact quantiles per channel."""
     pairs = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in channels])
     d = df.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.*")
@@ -23,7 +23,7 @@ def channel_profile(df: DataFrame, by: list[str], channels: list[str], by_bound:
         F.count("*").alias("n_rows"), F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.avg("v").alias("mean"),
         F.stddev_pop("v").alias("std"), share(F.col("v") == 0).alias("zero_share"),
     )
-    return stats.join(exact_quantiles(d, keys, "v", QUANTILES, by_bound * len(channels)), keys)
+    return stats.join(exact_quantiles(d, keys, "v", QUANTILES), keys)
 
 
 def segment_profile(df: DataFrame, by: list[str]) -> DataFrame:

@@ -5,83 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.session import bounded
+from flowspark.session import cut_lineage
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: dict[str, float],
-    keys_bound: int,
-    accuracy: int = 10_000,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles, one column per entry of ``probs``.
 
-    Pass 1 brackets each quantile with a mergeable sketch whose rank error is known. Pass 2
-    counts the rows below a bracket and ranks the few distinct values inside it. A rank that
-    fell outside its bracket stops the job: no approximate value is ever returned.
+    Equal values are counted first. The counts are dealt out by ranges of (key, value), so one
+    key with very many values covers many ranges. The total of each range tells which one holds
+    a rank; only the values of those ranges are ranked, and a range is never larger than a
+    partition of the shuffle.
     """
-    eps = 4.0 / accuracy
-    names = list(probs)
-    edges = [e for p in probs.values() for e in (max(0.0, p - eps), min(1.0, p + eps))]
-    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sketch = d.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-    )
-
-    def edge(i: int, p: float):
-        # a group smaller than the sketch is ranked whole: its bracket is its range
-        small = F.col("_n") < accuracy
-        if i % 2 == 0:
-            return F.col("_min") if p - eps <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_e")[i])
-        return F.col("_max") if p + eps >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_e")[i])
-
-    brackets = sketch.select(
-        *keys,
-        "_n",
-        F.array(
-            *[
-                F.struct(
-                    F.lit(q).alias("q"),
-                    F.lit(p).alias("p"),
-                    edge(2 * q, p).alias("lo"),
-                    edge(2 * q + 1, p).alias("hi"),
-                )
-                for q, p in enumerate(probs.values())
-            ]
-        ).alias("_b"),
-    )
-    # rows above a bracket say nothing about the rank; rows below it fold into one null value
-    rows = d.join(bounded(brackets, keys_bound), keys).select(
-        *keys, "_n", "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["hi"])).alias("_b")
-    )
-    counts = rows.groupBy(
-        *keys,
-        F.col("_b.q").alias("_q"),
-        F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_x"),
-    ).agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first("_b.p").alias("_p"))
-    upto = Window.partitionBy(*keys, "_q").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    ranked = counts.withColumns({"_cum": F.sum("_c").over(upto), "_h": (F.col("_n") - 1) * F.col("_p")})
-
-    def at(rank):
-        hit = F.when(F.col("_cum") > rank, F.struct("_cum", "_x"))
-        return F.min(hit)["_x"]
-
-    picked = ranked.groupBy(*keys, "_q").agg(
-        at(F.floor("_h")).alias("_lo"), at(F.ceil("_h")).alias("_hi"), F.first("_h").alias("_h")
-    )
-    value_of = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h"))
-    checked = F.when(
-        F.col("_lo").isNull() | F.col("_hi").isNull(), F.raise_error(F.lit("quantile outside its bracket"))
-    ).otherwise(value_of)
-    return (
-        picked.select(*keys, "_q", checked.alias("_val"))
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("_q") == i, F.col("_val"))).alias(n) for i, n in enumerate(names)])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    placed = cut_lineage(counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()))
+    over = Window.partitionBy(*keys).orderBy("_p")
+    ranges = placed.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
+    ranges = ranges.withColumns(
+        {
+            "_before": F.sum("_s").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"),
+            "_n": F.sum("_s").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        }
     )
+    h = [(F.col("_n") - 1) * F.lit(p) for p in probs.values()]
+    ranks = [
+        F.struct(F.lit(q).alias("q"), F.lit(side).alias("side"), side_of(x).cast("long").alias("rank"), x.alias("h"))
+        for q, x in enumerate(h)
+        for side, side_of in enumerate((F.floor, F.ceil))
+    ]
+    want = ranges.select(*keys, "_p", "_before", "_s", F.explode(F.array(*ranks)).alias("_r"))
+    want = want.where((F.col("_r.rank") >= F.col("_before")) & (F.col("_r.rank") < F.col("_before") + F.col("_s")))
+    upto = Window.partitionBy(*keys, "_p", "_r.q", "_r.side").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(want, [*keys, "_p"]).withColumn("_cum", F.col("_before") + F.sum("_c").over(upto))
+    hit = ranked.where(F.col("_cum") > F.col("_r.rank")).groupBy(*keys, "_r.q", "_r.side").agg(F.min("_v").alias("_v"), F.first("_r.h").alias("_h"))
+
+    def at(q: int, side: int, c: str = "_v"):
+        return F.max(F.when((F.col("q") == q) & (F.col("side") == side), F.col(c)))
+
+    def between(q: int):
+        low, high, x = at(q, 0), at(q, 1), at(q, 0, "_h")
+        return low + (high - low) * (x - F.floor(x))
+
+    return hit.groupBy(*keys).agg(*[between(q).alias(name) for q, name in enumerate(probs)])

@@ -17,7 +17,7 @@ def scale(df: DataFrame, by: list[str], minmax: list[str] = (), zscore: list[str
         for c in [*zscore, *log_zscore]
         for a in (F.avg(base[c]).alias(f"_a_{c}"), F.stddev_pop(base[c]).alias(f"_b_{c}"))
     ]
-    d = df.join(F.broadcast(df.groupBy(*by).agg(*aggs)), by)
+    d = df.join(df.groupBy(*by).agg(*aggs), by)
     out = {c: (F.col(c) - F.col(f"_a_{c}")) / (F.col(f"_b_{c}") - F.col(f"_a_{c}") + EPS) for c in minmax}
     out |= {c: (base[c] - F.col(f"_a_{c}")) / (F.col(f"_b_{c}") + EPS) for c in [*zscore, *log_zscore]}
     return d.withColumns(out).select(*df.columns)

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.operators.series import CHUNK
-from flowspark.session import bounded
 
 DIGITS = 9  # weights are rounded here, so ties are broken by id and not by noise
 
@@ -49,19 +48,18 @@ def cosine_neighbours(
     k: int | None = 10,
     least: float | None = None,
     block_rows: int = 1024,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """(src, dst, weight) by cosine of ``vec`` per ``id``: the k nearest, or all above ``least``.
 
-    Vectors are divided by their norm + 1e-8. Ties go to the smaller id. ``n_rows`` saves the
-    count that sizes the blocks, where the caller knows it.
+    Vectors are divided by their norm + 1e-8. Ties go to the smaller id. A task multiplies
+    one pair of blocks.
     """
     spark = vectors.sparkSession
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)) + 1e-8
     unit = vectors.select(F.col("id").cast("long").alias("id"), norm.alias("_n"), "vec").select(
         "id", F.transform("vec", lambda x: x / F.col("_n")).alias("unit")
     )
-    n = unit.count() if n_rows is None else n_rows
+    n = unit.count()
     spread = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
     n_blocks = max(1, math.ceil(n / block_rows), min(spread, n // 64))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
@@ -72,8 +70,7 @@ def cosine_neighbours(
         F.explode(F.sequence(F.col("b"), F.lit(n_blocks - 1))).alias("j"),
     )
     right = blocks.select(F.col("b").alias("j"), F.col("ids").alias("ids_j"), F.col("flat").alias("flat_j"))
-    n_tasks = min(n_blocks * (n_blocks + 1) // 2, 4 * spark.sparkContext.defaultParallelism)
-    pairs = left.join(right, "j").repartition(n_tasks, "i", "j")
+    pairs = left.join(right, "j").repartition(n_blocks * (n_blocks + 1) // 2, "i", "j")
 
     def multiply(batches):
         for pdf in batches:
@@ -94,7 +91,6 @@ def pearson_neighbours(
     value: str,
     k: int | None = 15,
     least: float | None = None,
-    nodes_bound: int = 1024,
     block_nodes: int = 128,
     chunk: int = CHUNK,
 ) -> DataFrame:
@@ -106,7 +102,7 @@ def pearson_neighbours(
     stats = series.groupBy("grid_id").agg(
         F.avg(value).alias("_m"), (F.stddev_pop(value) + 1e-8).alias("_s"), F.count("*").alias("_n")
     )
-    d = series.select("grid_id", "step", value).join(bounded(stats, nodes_bound), "grid_id")
+    d = series.select("grid_id", "step", value).join(stats, "grid_id")
     d = d.select(
         F.floor(F.col("step") / chunk).alias("tc"),
         F.floor(F.col("grid_id") / block_nodes).cast("int").alias("b"),

@@ -25,7 +25,7 @@ def chrono_cuts(
     pos = positions(df, keys, order)
     n = pos.groupBy(*keys).agg(F.count("*").alias("_n"))
     cut = lambda share: F.min(F.when(F.col("pos") >= F.floor(F.col("_n") * F.lit(share)), F.col(order)))
-    return pos.join(F.broadcast(n), keys).groupBy(*keys).agg(
+    return pos.join(n, keys).groupBy(*keys).agg(
         cut(train).alias("val_from"), cut(train + val).alias("test_from")
     )
 
@@ -39,7 +39,7 @@ def chrono_split(df: DataFrame, keys: list[str], order: str, **shares: float) ->
         .when(F.col(order) < F.col("test_from"), "val")
         .otherwise("test")
     )
-    return df.join(F.broadcast(cuts), keys).withColumn("split", split).drop("val_from", "test_from")
+    return df.join(cuts, keys).withColumn("split", split).drop("val_from", "test_from")
 
 
 def segment_split(
@@ -50,7 +50,7 @@ def segment_split(
     last = train[-1]
     pos = positions(df.where(F.col(segment) == last), keys, order)
     n = pos.groupBy(*keys).agg(F.count("*").alias("_n"))
-    cut = pos.join(F.broadcast(n), keys).groupBy(*keys).agg(
+    cut = pos.join(n, keys).groupBy(*keys).agg(
         F.min(F.when(F.col("pos") >= F.floor(F.col("_n") * (1 - val_share)), F.col(order))).alias("_cut")
     )
     split = (
@@ -58,7 +58,7 @@ def segment_split(
         .when((F.col(segment) == last) & (F.col(order) >= F.col("_cut")), "val")
         .when(F.col(segment).isin(train), "train")
     )
-    return df.join(F.broadcast(cut), keys).withColumn("split", split).drop("_cut")
+    return df.join(cut, keys).withColumn("split", split).drop("_cut")
 
 
 def channel_stats(df: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def channel_stats(df: DataFrame, keys: list[str], channels: list[str]) -> DataFr
 
 
 def normalise(df: DataFrame, stats: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
-    d = df.join(F.broadcast(stats), keys)
+    d = df.join(stats, keys)
     return d.withColumns({c: (F.col(c) - F.col("mean")) / (F.col("std") + 1e-8) for c in channels})
 
 

@@ -67,12 +67,17 @@ def resample_forecast(fc: DataFrame, keys: list[str], order: str, numeric: list[
     return d.where("_want").drop("_want")
 
 
-def covariates(flow: DataFrame, weather: DataFrame, keys: list[str], tz_hours: int) -> DataFrame:
+def mark_holidays(df: DataFrame, keys: list[str], tz_hours: int, holidays: DataFrame | None = None) -> DataFrame:
+    """Add ``is_holiday`` (P-14): by the list (``keys``, d) of a city, or by the US rule without one."""
+    day = tm.local_date(F.col("step"), tz_hours)
+    if holidays is None:
+        return df.withColumn("is_holiday", tm.is_us_holiday(day).cast("int"))
+    listed = holidays.select(*keys, F.col("d").alias("_d"), F.lit(1).alias("is_holiday")).distinct()
+    return df.withColumn("_d", day).join(listed, [*keys, "_d"], "left").drop("_d").fillna(0, subset=["is_holiday"])
+
+
+def covariates(flow: DataFrame, weather: DataFrame, keys: list[str], tz_hours: int, holidays: DataFrame | None = None) -> DataFrame:
     """Flow with weather and calendar columns on the UTC step (J-18)."""
     local = tm.step_ts(tm.local_step(F.col("step"), tz_hours))
-    holiday = tm.is_us_holiday(tm.local_date(F.col("step"), tz_hours)).cast("int")
-    return (
-        flow.join(weather, [*keys, "step"], "left")
-        .withColumns(tm.temporal_columns(local))
-        .withColumn("is_holiday", holiday)
-    )
+    d = flow.join(weather, [*keys, "step"], "left").withColumns(tm.temporal_columns(local))
+    return mark_holidays(d, keys, tz_hours, holidays)

@@ -13,13 +13,13 @@ from flowspark.functions.geo import GridSpec, cell_id
 from flowspark.functions.num import rnd
 from flowspark.plans.oracle import cte
 from flowspark.plans.oracle import rnd as _rnd
-from flowspark.sources.tables import Tables, view
+from flowspark.session import fresh_dir
+from flowspark.sources.tables import Tables, read_dates, view
 
 GRID = GridSpec("bj", 116.25, 116.75, 39.75, 40.25, 8, 8, 8)
 TZ = GRID.tz_hours
 N_CELLS = GRID.n_cells
 KEYS = ["city", "grid_id"]
-SLOT_BOUND = N_CELLS * tm.SLOTS_PER_DAY
 TRAIN_SHARE = 0.7
 
 IN_TYPES = ["view", "click", "purchase"]
@@ -99,7 +99,7 @@ def with_split(df: DataFrame, ev: DataFrame, share: float = TRAIN_SHARE) -> Data
     cut = full_days(ev).select(
         "city", (F.col("lo") + F.floor((F.col("hi") - F.col("lo") + 1) * share)).alias("_cut")
     )
-    return df.join(F.broadcast(cut), "city").withColumn("is_train", F.col("step") < F.col("_cut")).drop("_cut")
+    return df.join(cut, "city").withColumn("is_train", F.col("step") < F.col("_cut")).drop("_cut")
 
 
 @view
@@ -287,11 +287,11 @@ SELECT DISTINCT CASE WHEN length(p_name) % 2 = 1 THEN substr(p_name, 1, 1) || su
 """)
 
 
-# weather: hourly means of two event types stand for two sources
-def weather_source(t: Tables, kind: str) -> DataFrame:
+# weather: hourly means of the even and of the odd events stand for two sources
+def weather_source(t: Tables, half: int) -> DataFrame:
     hour = F.floor(tm.step_of(F.col("ts")) / 2)
     return (
-        t.events.where(F.col("event_type") == kind)
+        t.events.where(F.col("event_id") % 2 == half)
         .groupBy(F.lit("bj").alias("city"), hour.alias("hour"))
         .agg(
             rnd(F.avg("value")).alias("temp"),
@@ -301,13 +301,26 @@ def weather_source(t: Tables, kind: str) -> DataFrame:
     )
 
 
-for _n, _k in (("wa", "view"), ("wb", "click")):
+for _n, _half in (("wa", 0), ("wb", 1)):
     cte(_n, f"""
     SELECT step // 2 AS hour, {_rnd("avg(value)", "temp")}, round(max(value), 2) AS wind_speed,
-      count(*) AS clouds_all FROM ev WHERE event_type = '{_k}' GROUP BY ALL
+      count(*) AS clouds_all FROM ev WHERE event_id % 2 = {_half} GROUP BY ALL
     """, ["ev"])
 
 
+@view
+def holidays(t: Tables) -> DataFrame:
+    """The city's holiday list (city, d), read from a text of dates: local days of every 500th event."""
+    path = fresh_dir(t.spark, "holidays")
+    day = tm.local_date(tm.step_of(F.col("ts")), TZ)
+    lines = F.array(F.date_format(day, "yyyy-MM-dd"), F.lit("# holidays"))
+    t.events.where(F.col("event_id") % 500 == 0).select(F.explode(lines).alias("value")).write.text(path)
+    return read_dates(t.spark, path).select(F.lit(GRID.city).alias("city"), "d")
+
+
+cte("holidays", "SELECT DISTINCT CAST(make_timestamp((step + 16) * 1800000000) AS DATE) AS d FROM ev WHERE event_id % 500 = 0", ["ev"])
+
+
 def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label"

@@ -13,13 +13,13 @@ from flowspark.operators import components as cc
 from flowspark.operators import forecast as fc
 from flowspark.operators import series
 from flowspark.operators.quantiles import exact_quantiles
+from flowspark.operators import weather as wx
 from flowspark.plans import fixtures as fx
 from flowspark.plans.oracle import cte, rnd, sql
 from flowspark.plans.registry import query
 from flowspark.plans.q_clean import merged_weather, weather_steps
 from flowspark.plans.q_core import LEVELS, count_alerts, scored
 from flowspark.plans.q_features import parking
-from flowspark.session import bounded
 from flowspark.sources.tables import Tables, view
 
 G, KEYS = fx.GRID, fx.KEYS
@@ -208,9 +208,9 @@ SELECT step, count(*) FILTER (z > CASE WHEN parking_density > cut THEN 3.5 ELSE
 FROM scored JOIN parking USING (grid_id), park_cut GROUP BY 1"""))
 def stratified_thresholds(t: Tables) -> DataFrame:
     park = parking(t).select(F.lit("bj").alias("city"), "grid_id", "parking_density")
-    cut = exact_quantiles(park, ["city"], "parking_density", {"cut": 0.75}, 1)
-    cells = park.join(F.broadcast(cut), "city").select(*KEYS, (F.col("parking_density") > F.col("cut")).alias("high"))
-    d = scored(t).join(bounded(cells, fx.N_CELLS), KEYS)
+    cut = exact_quantiles(park, ["city"], "parking_density", {"cut": 0.75})
+    cells = park.join(cut, "city").select(*KEYS, (F.col("parking_density") > F.col("cut")).alias("high"))
+    d = scored(t).join(cells, KEYS)
     over = lambda hi, lo: F.count_if(F.col("z") > F.when(F.col("high"), hi).otherwise(lo))
     return d.groupBy("step").agg(over(3.5, 3.0).alias("n_l2"), over(4.0, 3.5).alias("n_l3"))
 
@@ -228,10 +228,10 @@ SELECT grid_id, {rnd('any_value(q1)', 'q1')}, {rnd('any_value(q3)', 'q3')},
   count(*) FILTER (round(abs(inflow - m) / s, 9) > 3) AS n_sigma FROM sparse JOIN iqr USING (grid_id) GROUP BY 1"""))
 def iqr_detector(t: Tables) -> DataFrame:
     d = fx.flow_sparse(t)
-    q = exact_quantiles(d, KEYS, "inflow", {"q1": 0.25, "q3": 0.75}, fx.N_CELLS)
+    q = exact_quantiles(d, KEYS, "inflow", {"q1": 0.25, "q3": 0.75})
     m = d.groupBy(*KEYS).agg(F.avg("inflow").alias("m"), F.stddev_pop("inflow").alias("s"))
     x, q1, q3 = F.col("inflow"), F.col("q1"), F.col("q3")
-    j = d.join(bounded(q.join(m, KEYS), fx.N_CELLS), KEYS)
+    j = d.join(q.join(m, KEYS), KEYS)
     wide = 1.5 * (q3 - q1)
     return j.groupBy("grid_id").agg(
         r(F.first(q1)).alias("q1"), r(F.first(q3)).alias("q3"),
@@ -281,9 +281,9 @@ _SWEEP = [0.1, 0.25, 0.4, 0.6, 0.75, 0.9]
 def votes(t: Tables) -> DataFrame:
     """Weighted vote of slot z, log slot z and global three-sigma per cell-step."""
     d = scored(t).withColumn("_t", F.round((F.col("outflow") - F.col("mu")) / F.col("sigma"), 9) > 2)
-    d = bl.slot_zscore(d.drop("mu", "sigma"), F.log1p("inflow"), KEYS, fx.SLOT_BOUND, floor=0.1, name="z_log")
+    d = bl.slot_zscore(d.drop("mu", "sigma"), F.log1p("inflow"), KEYS, floor=0.1, name="z_log")
     g = fx.flow_split(t).where("is_train").groupBy("city").agg(F.avg("inflow").alias("m"), F.stddev_pop("inflow").alias("s"))
-    d = d.join(F.broadcast(g), "city")
+    d = d.join(g, "city")
     part = lambda flag, w: F.when(flag, w).otherwise(0.0)
     sigma3 = F.round(F.abs(F.col("inflow") - F.col("m")) / F.col("s"), 9) > 3
     vote = part(F.col("z") > 3, 0.5) + part(F.col("z_log") > 3, 0.3) + part(sigma3, 0.2)
@@ -315,8 +315,8 @@ def residual_detector(t: Tables) -> DataFrame:
     flow = fx.flow_split(t)
     fit = fc.ar1_fit(flow.where("is_train"), "inflow", KEYS, "step")
     d = series.lagged(flow, KEYS, "step", {"prev": ("inflow", 1)}).where("prev IS NOT NULL")
-    d = d.join(bounded(fit, fx.N_CELLS), KEYS).withColumn("e", F.col("inflow") - (F.col("c") + F.col("phi") * F.col("prev")))
-    z = bl.slot_zscore(d.drop("n"), F.col("e"), KEYS, fx.SLOT_BOUND)
+    d = d.join(fit, KEYS).withColumn("e", F.col("inflow") - (F.col("c") + F.col("phi") * F.col("prev")))
+    z = bl.slot_zscore(d.drop("n"), F.col("e"), KEYS)
     return z.where("NOT is_train AND z > 3").select("grid_id", "step", r(F.col("z")).alias("z"))
 
 
@@ -367,20 +367,20 @@ def alert_history(t: Tables) -> DataFrame:
     )
 
 
-@query("alert_context", sql(["hot", "scored", "wa_half_known"], f"""
+@query("alert_context", sql(["hot", "scored", "wa_half_known", "holidays"], f"""
 SELECT h.step, h.grid_id, {rnd('s.inflow - s.mu', 'deviation')}, (SELECT count(*) FROM hot o WHERE o.step = h.step AND o.grid_id != h.grid_id
     AND abs(o."row" - h."row") <= 1 AND abs(o.col - h.col) <= 1) AS flagged_neighbours,
-  CASE WHEN strftime(make_timestamp((h.step + 16) * 1800000000), '%m%d') IN ('0101', '0115') THEN 1 ELSE 0 END AS is_holiday,
+  CASE WHEN CAST(make_timestamp((h.step + 16) * 1800000000) AS DATE) IN (SELECT d FROM holidays) THEN 1 ELSE 0 END AS is_holiday,
   CASE WHEN pv_clouds_all >= 4 THEN 1 ELSE 0 END AS weather_extreme
 FROM hot h JOIN scored s USING (step, grid_id) LEFT JOIN wa_half_known w USING (step)"""))
 def alert_context(t: Tables) -> DataFrame:
     hot = scored(t).where(F.col("z") > Z_CLUSTER)
     around = an.flagged_neighbours(hot, BY, G)
     d = hot.join(around, [*BY, "grid_id"]).join(weather_steps(t), BY, "left")
-    holiday = tm.is_us_holiday(tm.local_date(F.col("step"), fx.TZ))
+    d = wx.mark_holidays(d, ["city"], fx.TZ, fx.holidays(t))
     return d.select(
         "step", "grid_id", r(F.col("inflow") - F.col("mu")).alias("deviation"), "flagged_neighbours",
-        holiday.cast("int").alias("is_holiday"), F.when(F.col("clouds_all") >= 4, 1).otherwise(0).alias("weather_extreme"),
+        "is_holiday", F.when(F.col("clouds_all") >= 4, 1).otherwise(0).alias("weather_extreme"),
     )
 
 

@@ -79,7 +79,7 @@ FROM flow f JOIN (SELECT grid_id, avg(inflow) AS m1, greatest(stddev_pop(inflow)
 SELECT grid_id, step, inflow, outflow, out_inflow::INT AS out_inflow, out_outflow::INT AS out_outflow
 FROM flagged WHERE out_inflow OR out_outflow"""))
 def outlier_mask(t: Tables) -> DataFrame:
-    d = clean.outlier_flags(fx.flow(t), KEYS, ["inflow", "outflow"], fx.N_CELLS)
+    d = clean.outlier_flags(fx.flow(t), KEYS, ["inflow", "outflow"])
     return d.where("out_inflow OR out_outflow").select(
         "grid_id", "step", "inflow", "outflow",
         F.col("out_inflow").cast("int").alias("out_inflow"), F.col("out_outflow").cast("int").alias("out_outflow"),
@@ -96,7 +96,7 @@ cte("masked_known", known_sql("masked", "step", ["inflow", "outflow"], "grid_id"
 SELECT grid_id, step, {rnd(lerp_sql('inflow', 'step', 'nv_inflow'), 'inflow')}, {rnd(lerp_sql('outflow', 'step', 'nv_outflow'), 'outflow')}
 FROM masked_known"""))
 def interp_linear(t: Tables) -> DataFrame:
-    d = clean.repair_outliers(fx.flow(t), KEYS, "step", ["inflow", "outflow"], fx.N_CELLS)
+    d = clean.repair_outliers(fx.flow(t), KEYS, "step", ["inflow", "outflow"])
     return d.select("grid_id", "step", r(F.col("inflow")).alias("inflow"), r(F.col("outflow")).alias("outflow"))
 
 
@@ -124,7 +124,7 @@ cte("wa_half_known", known_sql("wa_half", "step", ["temp", "clouds_all"]), ["wa_
 
 @view
 def weather_steps(t: Tables) -> DataFrame:
-    return wx.upsample(fx.weather_source(t, "view").drop("wind_speed"), ["city"], ["temp", "clouds_all"])
+    return wx.upsample(fx.weather_source(t, 0).drop("wind_speed"), ["city"], ["temp", "clouds_all"])
 
 
 @query("upsample_asof", sql(["wa_half_known"], f"""
@@ -136,7 +136,7 @@ def upsample_asof(t: Tables) -> DataFrame:
 @query("asof_alignment", sql(["sparse", "wb"], f"""
 SELECT grid_id, step, inflow, {rnd('temp', 'temp')} FROM sparse s ASOF LEFT JOIN (SELECT hour * 2 AS st, temp FROM wb) w ON s.step >= w.st"""))
 def asof_alignment(t: Tables) -> DataFrame:
-    right = fx.weather_source(t, "click").withColumn("step", F.col("hour") * 2)
+    right = fx.weather_source(t, 1).withColumn("step", F.col("hour") * 2)
     d = wx.asof_join(fx.flow_sparse(t), right, ["city"], "step", ["temp"])
     return d.select("grid_id", "step", "inflow", r(F.col("temp")).alias("temp"))
 
@@ -149,8 +149,8 @@ cte("merged_known", known_sql("merged", "hour", ["temp", "wind_speed", "clouds_b
 
 @view
 def merged_weather(t: Tables) -> DataFrame:
-    a = fx.weather_source(t, "view").drop("clouds_all")
-    b = fx.weather_source(t, "click").withColumnRenamed("clouds_all", "clouds_b")
+    a = fx.weather_source(t, 0).drop("clouds_all")
+    b = fx.weather_source(t, 1).withColumnRenamed("clouds_all", "clouds_b")
     return wx.outer_merge(a, b, ["city"], "hour")
 
 
@@ -160,12 +160,12 @@ def weather_outer_merge(t: Tables) -> DataFrame:
     return merged_weather(t).select("hour", *[r(F.col(c)).alias(c) for c in ("temp", "wind_speed", "clouds_b")])
 
 
-@query("flow_covariate_join", sql(["flow", "wa_half_known", "temporal"], f"""
-SELECT grid_id, f.step, inflow, {rnd('pv_temp', 'temp')}, {', '.join(rnd(c, c) for c in _TCOLS)}, is_weekend, is_holiday
-FROM flow f LEFT JOIN wa_half_known w USING (step) JOIN temporal tt USING (step)"""))
+@query("flow_covariate_join", sql(["flow", "wa_half_known", "temporal_all", "holidays"], f"""
+SELECT grid_id, f.step, inflow, {rnd('pv_temp', 'temp')}, {', '.join(rnd(c, c) for c in _TCOLS)}, is_weekend,
+  CASE WHEN CAST(make_timestamp((f.step + 16) * 1800000000) AS DATE) IN (SELECT d FROM holidays) THEN 1 ELSE 0 END AS is_holiday
+FROM flow f LEFT JOIN wa_half_known w USING (step) JOIN temporal_all tt USING (step)"""))
 def flow_covariate_join(t: Tables) -> DataFrame:
-    flow = fx.flow(t).join(fx.flow_events(t).select("step").distinct(), "step", "left_semi")
-    d = wx.covariates(flow, weather_steps(t), ["city"], fx.TZ)
+    d = wx.covariates(fx.flow(t), weather_steps(t), ["city"], fx.TZ, fx.holidays(t))
     return d.select(
         "grid_id", "step", "inflow", r(F.col("temp")).alias("temp"), *[r(F.col(c)).alias(c) for c in _TCOLS],
         "is_weekend", "is_holiday",
@@ -174,7 +174,7 @@ def flow_covariate_join(t: Tables) -> DataFrame:
 
 def forecast_documents(t: Tables) -> DataFrame:
     """One JSON document per day: at most 24 hourly entries each, every third hour of the source."""
-    a = fx.weather_source(t, "view").groupBy("city", F.floor(F.col("hour") / 3).alias("h3")).agg(
+    a = fx.weather_source(t, 0).groupBy("city", F.floor(F.col("hour") / 3).alias("h3")).agg(
         r(F.avg("temp"), 4).alias("temp"), F.max("wind_speed").alias("speed"), F.sum("clouds_all").alias("n")
     )
     ts = F.timestamp_seconds(F.col("h3") * 10800)
@@ -307,7 +307,7 @@ SELECT '{c}' AS channel, count(*) AS n_rows, {rnd(f'min({c})', 'vmin')}, {rnd(f'
 def dataset_profile(t: Tables) -> DataFrame:
     from flowspark.operators.profile import channel_profile
 
-    d = channel_profile(fx.flow(t), ["city"], ["inflow", "outflow"], 1)
+    d = channel_profile(fx.flow(t), ["city"], ["inflow", "outflow"])
     return d.select(
         "channel", "n_rows", *[r(F.col(c)).alias(c) for c in ("vmin", "vmax", "mean", "std", "zero_share", "p50", "p90", "p95", "p99")]
     )
@@ -328,8 +328,8 @@ def segment_profile(t: Tables) -> DataFrame:
 def null_rates(t: Tables) -> DataFrame:
     from flowspark.operators.profile import null_rates as rates
 
-    a = fx.weather_source(t, "view").drop("clouds_all")
-    b = fx.weather_source(t, "click").select("city", "hour", F.col("clouds_all").alias("clouds_b"))
+    a = fx.weather_source(t, 0).drop("clouds_all")
+    b = fx.weather_source(t, 1).select("city", "hour", F.col("clouds_all").alias("clouds_b"))
     d = a.join(b, ["city", "hour"], "full_outer").drop("city", "hour")
     return rates(d).select("name", r(F.col("null_rate")).alias("null_rate"))
 

@@ -19,7 +19,7 @@ LEVELS = [an.Level(1, 3.0, 2), an.Level(2, 3.0, 3), an.Level(3, 3.5, 3), an.Leve
 
 @view
 def scored(t: Tables) -> DataFrame:
-    return bl.slot_zscore(fx.flow_split(t), F.col("inflow"), fx.KEYS, fx.SLOT_BOUND)
+    return bl.slot_zscore(fx.flow_split(t), F.col("inflow"), fx.KEYS)
 
 
 @view
@@ -70,5 +70,5 @@ FROM flow WHERE is_train GROUP BY ALL
 SELECT f.grid_id, f.step, {rnd('round((ln(1 + inflow) - mu) / sigma, 9)', 'z')}
 FROM flow f JOIN log_base USING (grid_id, slot)"""))
 def log_zscore(t: Tables) -> DataFrame:
-    d = bl.slot_zscore(fx.flow_split(t), F.log1p("inflow"), fx.KEYS, fx.SLOT_BOUND, floor=0.1)
+    d = bl.slot_zscore(fx.flow_split(t), F.log1p("inflow"), fx.KEYS, floor=0.1)
     return d.select("grid_id", "step", r(F.col("z")).alias("z"))

@@ -173,13 +173,13 @@ FROM (SELECT grid_id, avg(inflow) AS mean, quantile_cont(inflow, 0.99::DOUBLE) A
   coalesce(avg(inflow) FILTER (wd < 5), avg(inflow)) AS wd, avg(inflow) FILTER (wd < 5 AND slot // 2 IN (7, 8)) AS peak,
   coalesce(avg(inflow) FILTER (wd >= 5), avg(inflow)) AS we, avg(inflow) FILTER (slot // 2 < 6) AS night,
   avg(inflow - outflow) AS net, stddev_pop(inflow) AS sd
-  FROM (SELECT *, ((step + 16) // 48 + 3) % 7 AS wd FROM flow) GROUP BY 1)
+  FROM (SELECT *, ((step + 16) // 48 + 3) % 7 AS wd FROM flow WHERE is_train) GROUP BY 1)
 """, ["flow"])
 
 
 @view
 def history(t: Tables) -> DataFrame:
-    return ft.history_features(fx.flow(t), fx.KEYS, fx.TZ)
+    return ft.history_features(fx.flow_split(t).where("is_train"), fx.KEYS, fx.TZ)
 
 
 @query("cell_hist_stats", sql(["hist"], f"SELECT grid_id, {', '.join(rnd(c, c) for c in ft.HISTORY)} FROM hist"))

@@ -73,8 +73,8 @@ def rolling(t: Tables) -> DataFrame:
     cut = fx.full_days(fx.flow_events(t)).select(
         "city", (F.col("lo") + F.floor((F.col("hi") - F.col("lo") + 1) * fx.TRAIN_SHARE)).alias("_cut")
     )
-    d = flow.join(F.broadcast(cut), "city").withColumn("test_pos", F.col("step") - F.col("_cut"))
-    return fc.ar1_rolling(d, ar1(t).drop("n"), "inflow", KEYS, "step", fx.N_CELLS)
+    d = flow.join(cut, "city").withColumn("test_pos", F.col("step") - F.col("_cut"))
+    return fc.ar1_rolling(d, ar1(t).drop("n"), "inflow", KEYS, "step")
 
 
 @query("ar1_rolling", sql(["rolling"], f"SELECT grid_id, step, block, h, y, {rnd('y_hat', 'y_hat')} FROM rolling"))
@@ -98,7 +98,7 @@ SELECT a.grid_id, a.n, b.step - a.step AS lag, sum(a.d * b.d) / any_value(ss) AS
 
 
 def acf(t: Tables, lags: int = 48) -> DataFrame:
-    return fc.autocorrelation(fx.flow_split(t).where("is_train"), "inflow", KEYS, "step", lags, fx.N_CELLS)
+    return fc.autocorrelation(fx.flow_split(t).where("is_train"), "inflow", KEYS, "step", lags)
 
 
 @query("acf", sql(["acf"], f"SELECT grid_id, lag, {rnd('acf', 'acf')} FROM acf"))
@@ -106,11 +106,23 @@ def acf_query(t: Tables) -> DataFrame:
     return acf(t).select("grid_id", "lag", r(F.col("acf")).alias("acf"))
 
 
-@query("ljung_box", sql(["acf"], f"""
+cte("resid", "SELECT grid_id, step, inflow - (c + phi * prev) AS e FROM lagged JOIN ar1 USING (grid_id) WHERE is_train AND prev IS NOT NULL", ["lagged", "ar1"])
+cte("resid_centred", "SELECT r.grid_id, step, e - m AS d, n FROM resid r JOIN (SELECT grid_id, avg(e) AS m, count(*) AS n FROM resid GROUP BY 1) USING (grid_id)", ["resid"])
+cte("resid_acf", """
+SELECT a.grid_id, a.n, b.step - a.step AS lag, sum(a.d * b.d) / any_value(ss) AS acf FROM resid_centred a JOIN resid_centred b
+  ON a.grid_id = b.grid_id AND b.step - a.step BETWEEN 1 AND 10 JOIN (SELECT grid_id, sum(d * d) AS ss FROM resid_centred GROUP BY 1) s ON s.grid_id = a.grid_id GROUP BY ALL
+""", ["resid_centred"])
+
+
+@query("ljung_box", sql(["resid_acf"], f"""
 SELECT grid_id, {rnd('q', 'q')}, {rnd(' + '.join(['exp(-q / 2)'] + [f'exp(-q / 2) * pow(q / 2, {i}) / {f}' for i, f in ((1, 1), (2, 2), (3, 6), (4, 24))]), 'p_value')}
-FROM (SELECT grid_id, any_value(n) * (any_value(n) + 2) * sum(acf * acf / (n - lag)) AS q FROM acf WHERE lag <= 10 GROUP BY 1)"""))
+FROM (SELECT grid_id, any_value(n) * (any_value(n) + 2) * sum(acf * acf / (n - lag)) AS q FROM resid_acf GROUP BY 1)"""))
 def ljung_box(t: Tables) -> DataFrame:
-    d = fc.ljung_box(acf(t, 10), KEYS)
+    """Whether what the AR(1) model leaves over is white noise."""
+    train = fx.flow_split(t).where("is_train")
+    x = series.lagged(train.select(*KEYS, "step", "inflow"), KEYS, "step", {"prev": ("inflow", 1)}).where("prev IS NOT NULL")
+    e = x.join(ar1(t).drop("n"), KEYS).select(*KEYS, "step", (F.col("inflow") - F.col("c") - F.col("phi") * F.col("prev")).alias("e"))
+    d = fc.ljung_box(fc.autocorrelation(e, "e", KEYS, "step", 10), KEYS)
     return d.select("grid_id", r(F.col("q")).alias("q"), r(F.col("p_value")).alias("p_value"))
 
 
@@ -157,7 +169,7 @@ def common_order(t: Tables) -> DataFrame:
 def fourier(t: Tables) -> DataFrame:
     d = fx.flow_split(t)
     fit = fc.fourier_fit(d.where("is_train"), "inflow", KEYS, "step", fx.TZ)
-    out = fc.fourier_predict(d.where("NOT is_train"), fit, KEYS, "step", fx.TZ, fx.N_CELLS)
+    out = fc.fourier_predict(d.where("NOT is_train"), fit, KEYS, "step", fx.TZ)
     return out.withColumn("y", F.col("inflow"))
 
 
@@ -182,7 +194,7 @@ def log_rows(t: Tables, model: str, d: DataFrame, t_in: int, tag: str) -> DataFr
 
 @query("pooled_regression")
 def pooled_regression(t: Tables) -> DataFrame:
-    d = pooled.fit_predict(samples(t), ["x_inflow", "x_outflow"], [1, 3, 6, 12])
+    d = pooled.fit_predict(samples(t), ["x_inflow", "x_outflow"], [1, 3, 6, 12], 12)
     return d.groupBy("h").agg(*[c.alias(n) for n, c in mt._metric_columns(F.abs("y") > 0, F.col("y"), F.col("y_hat"), 1.0).items()])
 
 
@@ -193,20 +205,21 @@ def pooled_graph_regression(t: Tables) -> DataFrame:
     from flowspark.plans.q_graphs import occupied
 
     cells = occupied(t)
-    e = gp.sym_normalised(gp.with_self_loops(gp.spatial_graph(cells, G), cells), G.n_cells)
+    e = gp.sym_normalised(gp.with_self_loops(gp.spatial_graph(cells, G), cells))
     flow = fx.flow(t)
-    near = gp.propagate(flow, e, ["inflow"], G.n_cells * 9).withColumnRenamed("inflow", "near")
-    d = series.sliding_samples(flow.join(near, ["step", "grid_id"]), KEYS, "step", ["inflow", "near"], "inflow", 6, 3)
-    d = pooled.fit_predict(fx.with_split(d, fx.flow_events(t)), ["x_inflow", "x_near"], [1, 3])
+    near = gp.propagate(flow, e, ["inflow"]).withColumnRenamed("inflow", "near")
+    d = series.sliding_samples(flow.join(near, ["step", "grid_id"]), KEYS, "step", ["inflow", "near"], "inflow", 12, 12)
+    d = pooled.fit_predict(fx.with_split(d, fx.flow_events(t)), ["x_inflow", "x_near"], [1, 3, 6, 12], 12)
     return d.groupBy("h").agg(*[c.alias(n) for n, c in mt._metric_columns(F.abs("y") > 0, F.col("y"), F.col("y_hat"), 1.0).items()])
 
 
 @query("history_length_sweep")
-def history_length_sweep(t: Tables) -> DataFrame:
-    """One pooled model per history length, scored at the first step (FC-07)."""
+def history_length_sweep(t: Tables, lengths: tuple[int, ...] = (48, 336, 672)) -> DataFrame:
+    """One pooled model per history length, scored at the first step (FC-07). A length of 1440
+    steps needs a table of more than its one month."""
     out = None
-    for t_in in (4, 12, 24):
-        d = pooled.fit_predict(samples(t, t_in, 1), ["x_inflow"], [1]).withColumn("city", F.lit("bj"))
+    for t_in in lengths:
+        d = pooled.fit_predict(samples(t, t_in, 1), ["x_inflow"], [1], t_in).withColumn("city", F.lit("bj"))
         m = mt.masked_metrics(d, ["city"]).select(F.lit(t_in).alias("t_in"), "mae", "rmse", "mape")
         out = m if out is None else out.unionByName(m)
     return out
@@ -224,8 +237,8 @@ def flow_nyc(t: Tables) -> DataFrame:
 @query("zero_shot_transfer")
 def zero_shot_transfer(t: Tables) -> DataFrame:
     """Fit on one city, score another with the first city's statistics (FC-12)."""
-    d = pooled.transfer(fx.flow_split(t).drop("slot"), flow_nyc(t), KEYS, "step", "inflow", 6)
-    return mt.masked_metrics(d, ["city"]).select("city", *metric_cols())
+    d = pooled.transfer(fx.flow_split(t).drop("slot"), fx.GRID.city, flow_nyc(t), KEYS, "step", "inflow", 12, [1, 3, 6, 12])
+    return mt.masked_metrics(d, ["city", "h"]).select("city", "h", *metric_cols())
 
 
 cte("metrics_log", "SELECT 'historical_average' AS model, * FROM (SELECT y, y_hat, h FROM preds) UNION ALL SELECT 'ar1', y, y_hat, h FROM rolling", ["preds", "rolling"])
@@ -257,9 +270,8 @@ SELECT grid_id, step, {rnd('y_hat', 'y_hat')} FROM preds WHERE step BETWEEN (SEL
 def forecast_lookup(t: Tables) -> DataFrame:
     """Twelve steps for every cell, unfolded from the lookup's map form."""
     d = pooled.lookup(predictions(t), "city", "step", "y_hat", horizon=12)
-    out = d.select(F.explode("predictions").alias("grid_id", "values"), "steps")
-    pair = F.explode(F.arrays_zip("steps", "values"))
-    return out.select("grid_id", pair.alias("_p")).select("grid_id", F.col("_p.steps").alias("step"), r(F.col("_p.values")).alias("y_hat"))
+    out = d.select(F.explode("predictions").alias("grid_id", "values"))
+    return out.select("grid_id", F.explode("values").alias("_p")).select("grid_id", "_p.step", r(F.col("_p.y_hat")).alias("y_hat"))
 
 
 @query("feature_contributions")

@@ -83,7 +83,7 @@ cte("poi_graph", top_sql("poi_sim", 10), ["poi_sim"])
 
 @view
 def poi_graph(t: Tables) -> DataFrame:
-    return gp.poi_graph(ft.class_counts(classified(t), G, "category", codes.POI_CLASSES), ft.POI, G.n_cells)
+    return gp.poi_graph(ft.class_counts(classified(t), G, "category", codes.POI_CLASSES), ft.POI)
 
 
 @query("poi_graph", sql(["poi_graph"], f"SELECT {_EDGE} FROM poi_graph"))
@@ -236,8 +236,8 @@ SELECT src AS grid_id, step, {rnd('sum(weight * inflow)', 'inflow')}, {rnd('sum(
 FROM loops_n JOIN flow ON dst = grid_id GROUP BY ALL"""))
 def neighbor_mean(t: Tables) -> DataFrame:
     cells = occupied(t)
-    e = gp.sym_normalised(gp.with_self_loops(gp.spatial_graph(cells, G), cells), G.n_cells)
-    d = gp.propagate(fx.flow(t), e, ["inflow", "outflow"], G.n_cells * 9)
+    e = gp.sym_normalised(gp.with_self_loops(gp.spatial_graph(cells, G), cells))
+    d = gp.propagate(fx.flow(t), e, ["inflow", "outflow"])
     return d.select("grid_id", "step", r(F.col("inflow")).alias("inflow"), r(F.col("outflow")).alias("outflow"))
 
 
@@ -248,8 +248,8 @@ cte("ch2", "SELECT src AS grid_id, step, -2 * sum(weight * t1) AS t2 FROM spatia
 @query("cheb_features", sql(["ch2"], f"""
 SELECT grid_id, step, inflow AS t0, {rnd('t1', 't1')}, {rnd('t2 - inflow', 't2')} FROM flow JOIN ch1 USING (grid_id, step) JOIN ch2 USING (grid_id, step)"""))
 def cheb_features(t: Tables) -> DataFrame:
-    e = gp.sym_normalised(gp.spatial_graph(occupied(t), G), G.n_cells)
-    d = gp.chebyshev(fx.flow(t), e, "inflow", 3, G.n_cells * 8)
+    e = gp.sym_normalised(gp.spatial_graph(occupied(t), G))
+    d = gp.chebyshev(fx.flow(t), e, "inflow", 3)
     return d.select("grid_id", "step", "t0", r(F.col("t1")).alias("t1"), r(F.col("t2")).alias("t2"))
 
 
@@ -268,5 +268,5 @@ def graph_fusion_mean(t: Tables) -> DataFrame:
     for name, e in parts.items():
         e = e.withColumn("graph", F.lit(name))
         g = e if g is None else g.unionByName(e)
-    d = gp.propagate(fx.flow(t), gp.fuse(g, FUSION, G.n_cells), ["inflow"], G.n_cells * G.n_cells)
+    d = gp.propagate(fx.flow(t), gp.fuse(g, FUSION), ["inflow"])
     return d.select("grid_id", "step", r(F.col("inflow")).alias("inflow"))

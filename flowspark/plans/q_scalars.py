@@ -43,7 +43,7 @@ SELECT strftime(make_timestamp((hour + 8) * 3600000000), '%Y%m%d%H%M') AS local_
 def weather_time_parse(t: Tables) -> DataFrame:
     ts = F.timestamp_seconds(F.col("hour") * 3600)
     local = tm.shift_hours(ts, TZ)
-    d = fx.weather_source(t, "view").select(
+    d = fx.weather_source(t, 0).select(
         F.date_format(local, "yyyyMMddHHmm").alias("local_text"),
         F.concat(tm.ts_text(ts), F.lit(" +0000 UTC")).alias("dt_iso"),
         F.date_format(local, "HH:mm").alias("_hm"),
@@ -69,12 +69,13 @@ def _us_holiday_sql(d: str) -> str:
 
 _TEMPORAL = {"slot": ("s % 48", 48), "hour": ("s % 48 // 2", 24), "weekday": ("isodow(ts) - 1", 7),
              "month": ("month(ts) - 1", 12), "doy": ("dayofyear(ts) - 1", 366)}
-cte("temporal", f"""
+for _name, _steps in (("temporal", "ev"), ("temporal_all", "cal")):
+    cte(_name, f"""
 SELECT s - 16 AS step, {', '.join(f"sin(2 * pi() * ({x}) / {p}) AS {n}_sin, cos(2 * pi() * ({x}) / {p}) AS {n}_cos" for n, (x, p) in _TEMPORAL.items())},
   CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend,
   CASE WHEN {_us_holiday_sql('ts')} THEN 1 ELSE 0 END AS is_holiday
-FROM (SELECT DISTINCT step + 16 AS s, make_timestamp((step + 16) * 1800000000) AS ts FROM ev)
-""", ["ev"])
+FROM (SELECT DISTINCT step + 16 AS s, make_timestamp((step + 16) * 1800000000) AS ts FROM {_steps})
+""", [_steps])
 _TCOLS = [f"{n}_{f}" for n in _TEMPORAL for f in ("sin", "cos")]
 
 
@@ -126,7 +127,7 @@ SELECT c.grid_id, "row", col, {rnd('center_lon', 'center_lon')}, {rnd('center_la
 FROM cells c LEFT JOIN (SELECT grid_id, count(*) AS n FROM nodes GROUP BY 1) p USING (grid_id)"""))
 def grid_metadata(t: Tables) -> DataFrame:
     counts = cell_points(t).groupBy("grid_id").agg(F.count("*").alias("n_points"))
-    d = gr.onto_grid(gr.grid_table(t.spark, G), counts, ["grid_id"], G.n_cells)
+    d = gr.onto_grid(gr.grid_table(t.spark, G), counts, ["grid_id"])
     num = ["center_lon", "center_lat", "lon_min", "lon_max", "lat_min", "lat_max", "area_km2"]
     return d.select("grid_id", "row", "col", *[r(F.col(c)).alias(c) for c in num], "n_points")
 
@@ -245,7 +246,7 @@ def chrono_split(t: Tables) -> DataFrame:
 
 def segmented(t: Tables) -> DataFrame:
     """Four segments by event time: eight days each."""
-    d = fx.flow_sparse(t).join(F.broadcast(fx.full_days(fx.flow_events(t))), "city")
+    d = fx.flow_sparse(t).join(fx.full_days(fx.flow_events(t)), "city")
     return d.withColumn("segment", F.floor((F.col("step") - F.col("lo")) / (48 * 8))).drop("lo", "hi")
 
 
@@ -266,12 +267,12 @@ def segment_split(t: Tables) -> DataFrame:
 @view
 def predictions(t: Tables) -> DataFrame:
     """Historical average on the test rows, with the step inside 48-step blocks."""
-    d = fc.historical_average(fx.flow_split(t), "inflow", fx.KEYS, fx.SLOT_BOUND)
+    d = fc.historical_average(fx.flow_split(t), "inflow", fx.KEYS)
     cut = fx.full_days(fx.flow_events(t)).select(
         "city", (F.col("lo") + F.floor((F.col("hi") - F.col("lo") + 1) * fx.TRAIN_SHARE)).alias("_cut")
     )
     pos = F.col("step") - F.col("_cut")
-    return d.join(F.broadcast(cut), "city").withColumns({"block": F.floor(pos / 48), "h": pos % 48 + 1}).drop("_cut")
+    return d.join(cut, "city").withColumns({"block": F.floor(pos / 48), "h": pos % 48 + 1}).drop("_cut")
 
 
 cte("preds", """

@@ -138,7 +138,7 @@ def sensor_units(t: Tables) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     ev = t.events.withColumn("city", F.lit("bj")).withColumn("ts", ts)
     span = ev.groupBy("city").agg((F.min("ts") + two).alias("a"), (F.max("ts") - two).alias("b"))
-    d = ev.join(F.broadcast(span), "city").where(F.col("ts").between(F.col("a"), F.col("b")))
+    d = ev.join(span, "city").where(F.col("ts").between(F.col("a"), F.col("b")))
     return d.select(
         "event_id", r(num.fahrenheit_to_celsius(F.col("value"))).alias("celsius"),
         r(num.clip(F.col("value"), 0.0, 100.0)).alias("speed"),

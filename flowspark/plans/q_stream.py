@@ -28,7 +28,7 @@ def live_flow(t: Tables) -> DataFrame:
 
 def live_scored(t: Tables) -> DataFrame:
     base = bl.slot_baseline(fx.flow_split(t).where("is_train"), F.col("inflow"), ["grid_id"])
-    return jobs.live_zscore(live_flow(t), base, fx.SLOT_BOUND, fx.TZ)
+    return jobs.live_zscore(live_flow(t), base, fx.TZ)
 
 
 @query("stream_tumbling_flow", sql(["closed"], "SELECT grid_id, step, inflow, outflow FROM closed"))

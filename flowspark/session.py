@@ -2,44 +2,65 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# One broadcast table may hold at most this many rows. Every caller passes the
-# bound it can prove (cells of a grid, cells x slots, cities), never a guess.
-MAX_BROADCAST_ROWS = 500_000
+_own_dirs: dict[str, str] = {}  # by application, where the cluster names no folder
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings the results depend on: UTC time and adaptive execution."""
+    """Pin the settings the results depend on, and give the package to the executors.
+
+    Results depend on UTC time; adaptive execution picks joins by the bytes it sees. All other
+    settings belong to the job that starts the session.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    local = spark.sparkContext.master.startswith("local")
-    if local and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    ship(spark)
     return spark
 
 
-def bounded(df: DataFrame, rows_bound: int) -> DataFrame:
-    """Broadcast ``df`` when its proven row bound is small, else leave the choice to Spark."""
-    return F.broadcast(df) if rows_bound <= MAX_BROADCAST_ROWS else df
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_flowspark_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="flowspark-ship-")
+    path = os.path.join(folder, "flowspark.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(PACKAGE):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(top, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
+    sc.addPyFile(path)
+    sc._flowspark_shipped = True
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from here
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as the cluster names it.
 
-    A machine-local folder is used in local mode only.
+    Where it names none, a local session gets one folder of its own, removed at its end.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="flowspark-")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="flowspark-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+    return _own_dirs[app]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

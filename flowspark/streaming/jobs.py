@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from flowspark import schemas
 from flowspark.functions import time as tm
 from flowspark.operators import anomaly as an
-from flowspark.session import bounded, fresh_dir
+from flowspark.session import fresh_dir
 
 DELAY = "1 hour"
 WINDOW = "30 minutes"
@@ -45,9 +45,9 @@ def with_step(flow: DataFrame, tz_hours: int) -> DataFrame:
     return flow.withColumns({"step": step, "slot": tm.slot_of(step, tz_hours)})
 
 
-def live_zscore(flow: DataFrame, baseline: DataFrame, rows_bound: int, tz_hours: int) -> DataFrame:
+def live_zscore(flow: DataFrame, baseline: DataFrame, tz_hours: int) -> DataFrame:
     """Closed windows against the static slot baseline (ST-03)."""
-    d = with_step(flow, tz_hours).join(bounded(baseline, rows_bound), ["grid_id", "slot"])
+    d = with_step(flow, tz_hours).join(baseline, ["grid_id", "slot"])
     return d.withColumn("z", F.round((F.col("inflow") - F.col("mu")) / F.col("sigma"), 9))
 
 

@@ -45,7 +45,7 @@ def test_outliers_are_repaired(spark):
     v = [1.0, 2.0] * 30
     v[0], v[25], v[59] = 900.0, 900.0, 900.0
     df = spark.createDataFrame([("bj", 1, i, x) for i, x in enumerate(v)], "city string, grid_id int, step long, inflow double")
-    got = clean.repair_outliers(df, ["city", "grid_id"], "step", ["inflow"], 1, threshold=3.0).orderBy("step").toPandas().inflow.tolist()
+    got = clean.repair_outliers(df, ["city", "grid_id"], "step", ["inflow"], threshold=3.0).orderBy("step").toPandas().inflow.tolist()
     assert got[25] == 1.0 and got[0] == 2.0 and got[59] == 1.0 and got[24] == 1.0
 
 
@@ -177,7 +177,7 @@ def test_rolling_forecast_uses_block_origins(spark):
     x = ar_series(n=300, cells=1)
     df = series_frame(spark, x).withColumn("test_pos", F.col("step") - 200)
     fit = spark.createDataFrame([("bj", 0, 0.5, 1.0)], "city string, grid_id int, phi double, c double")
-    got = fc.ar1_rolling(df, fit, "inflow", ["city", "grid_id"], "step", 1, block=48).orderBy("step").toPandas()
+    got = fc.ar1_rolling(df, fit, "inflow", ["city", "grid_id"], "step", block=48).orderBy("step").toPandas()
     assert len(got) == 100 and got.h.tolist()[:50] == [*range(1, 49), 1, 2]
     o = x[0, 199]
     for h in range(1, 49):
@@ -189,7 +189,7 @@ def test_rolling_forecast_uses_block_origins(spark):
 def test_acf_and_unit_root(spark):
     x = ar_series()
     df = series_frame(spark, x)
-    got = {(r.grid_id, r.lag): r.acf for r in fc.autocorrelation(df, "inflow", ["city", "grid_id"], "step", 5, 3).collect()}
+    got = {(r.grid_id, r.lag): r.acf for r in fc.autocorrelation(df, "inflow", ["city", "grid_id"], "step", 5).collect()}
     d = x[1] - x[1].mean()
     for k in range(1, 6):
         assert got[(1, k)] == pytest.approx((d[k:] * d[:-k]).sum() / (d * d).sum())
@@ -205,7 +205,7 @@ def test_fourier_fit_matches_least_squares(spark):
     y = 20 + 5 * np.sin(2 * np.pi * (t + 16) / 48) + 3 * np.cos(2 * np.pi * (t + 16) / 336) + 0.01 * t + rng.normal(size=n)
     df = series_frame(spark, y[None, :])
     fit = fc.fourier_fit(df.where("step < 800"), "inflow", ["city", "grid_id"], "step", 8, chunk=100)
-    got = fc.fourier_predict(df, fit, ["city", "grid_id"], "step", 8, 1).orderBy("step").toPandas().y_hat
+    got = fc.fourier_predict(df, fit, ["city", "grid_id"], "step", 8).orderBy("step").toPandas().y_hat
     z = np.zeros(n)
     m = fc._fourier(t.astype(float), z, z + 800, 8)
     coef, *_ = np.linalg.lstsq(m[:800], y[:800], rcond=None)
@@ -217,7 +217,7 @@ def test_pooled_regression_recovers_a_linear_rule(spark):
     x = rng.random((400, 3))
     y = 2 * x[:, 0] - x[:, 2] + 1
     pdf = pd.DataFrame({"is_train": np.arange(400) < 300, "x_a": x.tolist(), "y": [[v, -v] for v in y.tolist()]})
-    got = pooled.fit_predict(spark.createDataFrame(pdf, "is_train boolean, x_a array<double>, y array<double>"), ["x_a"], [1, 2]).toPandas()
+    got = pooled.fit_predict(spark.createDataFrame(pdf, "is_train boolean, x_a array<double>, y array<double>"), ["x_a"], [1, 2], 3).toPandas()
     assert len(got) == 200 and np.abs(got.y - got.y_hat).max() < 1e-3
 
 
@@ -225,16 +225,19 @@ def test_transfer_keeps_the_source_statistics(spark):
     x = ar_series(n=200)
     src = series_frame(spark, x).withColumn("is_train", F.col("step") < 150)
     other = src.withColumn("city", F.lit("nyc"))
-    got = pooled.transfer(src, other, ["city", "grid_id"], "step", "inflow", 4)
-    assert got.count() == 3 * (50 - 4)
-    e = got.toPandas()
+    more = src.withColumns({"city": F.lit("far"), "inflow": F.col("inflow") * 100})
+    got = pooled.transfer(src.unionByName(more), "bj", other, ["city", "grid_id"], "step", "inflow", 4, [1, 2])
+    assert got.count() == 2 * 3 * (50 - 5)
+    e = got.where("h = 1").toPandas()
     assert np.abs(e.y - e.y_hat).mean() < 1.2
 
 
 def test_lookup_map(spark):
     pred = spark.createDataFrame([("bj", g, s, float(10 * g + s)) for g in (1, 2) for s in range(5)], "city string, grid_id int, step long, y_hat double")
     r = pooled.lookup(pred, "city", "step", "y_hat", 3, start=1, grid_ids=[2]).first()
-    assert list(r.steps) == [1, 2, 3] and r.predictions == {2: [21.0, 22.0, 23.0]}
+    assert r.start == 1 and r.predictions == {2: [(1, 21.0), (2, 22.0), (3, 23.0)]}
+    gap = pooled.lookup(pred.where("NOT (grid_id = 2 AND step = 2)"), "city", "step", "y_hat", 3, start=1).first()
+    assert gap.predictions[2] == [(1, 21.0), (3, 23.0)]
 
 
 def test_road_length_is_kept(spark):
