@@ -12,18 +12,21 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}  # by application, where the cluster names no folder
+BATCH_BYTES = "4m"
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings the results depend on, and give the package to the executors.
 
-    Results depend on UTC time; adaptive execution picks joins by the bytes it sees. All other
+    Results depend on UTC time; adaptive execution picks joins by the bytes it sees; the rows that
+    travel to a Python worker together are bounded in bytes, however long a row is. All other
     settings belong to the job that starts the session.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     ship(spark)
     return spark
 
