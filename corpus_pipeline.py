@@ -19,6 +19,7 @@ LEAST_QUALITY_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is told with some certainty; those without a letter go."""
+    prepare(spark)
     net = langid.fit(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"), 4, 2)))
     told = langid.predictor(net)(F.col("text"))
     kept = docs.withColumn("_told", told).where((F.col("_told.lang_pred") != langid.UNKNOWN) & (F.col("_told.score") >= LEAST_LANGUAGE_SCORE))
@@ -27,6 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a sufficient quality score; learned from labelled documents not held out."""
+    prepare(spark)
     learned = docs.where(~langid.held_out(F.col("doc_id"), 5, 0))
     model = quality.fit(quality.features(learned), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = docs.withColumn("_score", quality.scorer(model)(F.col("text"))).where(F.col("_score") >= LEAST_QUALITY_SCORE)
@@ -35,6 +37,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal text but for white space."""
+    prepare(spark)
     return dedup.deduplicate(docs)
 
 
@@ -43,6 +46,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one id stay or go together; a row without id goes only if it is linked to one with id.
     """
+    prepare(spark)
     found = sigtree.near_duplicates(docs, words=5, num=80, den=100)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
@@ -50,6 +54,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the sequences that the documents are packed into."""
+    prepare(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -66,7 +71,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
