@@ -48,7 +48,3 @@ def hop_decay(hops: Column, sigma: float = 3.0) -> Column:
 
 def fahrenheit_to_celsius(f: Column) -> Column:
     return (f - 32) * 5 / 9
-
-
-def null_if_nan(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)

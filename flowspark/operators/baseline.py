@@ -32,7 +32,3 @@ def slot_zscore(
     base = baseline if baseline is not None else slot_baseline(df.where("is_train"), source, keys, floor)
     z = (value - F.col("mu")) / F.col("sigma")
     return df.join(base, [*keys, "slot"]).withColumn(name, F.round(z, 9))
-
-
-def log_value(c: str) -> Column:
-    return F.log1p(c)

@@ -13,7 +13,7 @@ from flowspark.functions.geo import GridSpec, cell_id
 from flowspark.functions.num import rnd
 from flowspark.plans.oracle import cte
 from flowspark.plans.oracle import rnd as _rnd
-from flowspark.session import fresh_dir
+from flowspark.session import cut_lineage, fresh_dir
 from flowspark.sources.tables import Tables, read_dates, view
 
 GRID = GridSpec("bj", 116.25, 116.75, 39.75, 40.25, 8, 8, 8)
@@ -49,8 +49,9 @@ def _sum_flow(df: DataFrame) -> DataFrame:
 
 @view
 def flow_sparse(t: Tables) -> DataFrame:
-    """One row per (cell, step) that has an event."""
-    return _sum_flow(flow_events(t))
+    """One row per (cell, step) that has an event. Written once: the only pass over the events
+    that the flow, its calendar, split and baseline need."""
+    return cut_lineage(_sum_flow(flow_events(t)))
 
 
 def full_days(ev: DataFrame) -> DataFrame:
@@ -73,21 +74,21 @@ def dense_calendar(ev: DataFrame, n_cells: int) -> DataFrame:
 
 
 def dense_flow(ev: DataFrame, n_cells: int) -> DataFrame:
-    """Event amounts summed on the dense calendar. The calendar enters as zero rows before
-    the aggregation, so densifying costs no join."""
+    """Amounts summed on the dense calendar. The calendar enters as zero rows before the
+    aggregation, so densifying costs no join."""
     zero = dense_calendar(ev, n_cells).withColumns({"inflow": F.lit(0.0), "outflow": F.lit(0.0)})
     return _sum_flow(ev.unionByName(zero))
 
 
 @view
 def flow(t: Tables) -> DataFrame:
-    return dense_flow(flow_events(t), N_CELLS)
+    return dense_flow(flow_sparse(t), N_CELLS)
 
 
 @view
 def flow_null(t: Tables) -> DataFrame:
     """Dense calendar, null where no event was seen."""
-    ev = flow_events(t)
+    ev = flow_sparse(t)
     blank = dense_calendar(ev, N_CELLS).withColumns(
         {"inflow": F.lit(None).cast("double"), "outflow": F.lit(None).cast("double")}
     )
@@ -105,7 +106,7 @@ def with_split(df: DataFrame, ev: DataFrame, share: float = TRAIN_SHARE) -> Data
 @view
 def flow_split(t: Tables) -> DataFrame:
     """Dense flow with ``slot`` (local) and ``is_train``."""
-    return with_split(flow(t), flow_events(t)).withColumn("slot", tm.slot_of(F.col("step"), TZ))
+    return with_split(flow(t), flow_sparse(t)).withColumn("slot", tm.slot_of(F.col("step"), TZ))
 
 
 cte("ev", """

@@ -20,6 +20,7 @@ from flowspark.plans.registry import query
 from flowspark.plans.q_clean import merged_weather, weather_steps
 from flowspark.plans.q_core import LEVELS, count_alerts, scored
 from flowspark.plans.q_features import parking
+from flowspark.session import cut_lineage
 from flowspark.sources.tables import Tables, view
 
 G, KEYS = fx.GRID, fx.KEYS
@@ -50,7 +51,8 @@ def labelled(t: Tables) -> DataFrame:
 
 @view
 def clusters(t: Tables) -> DataFrame:
-    return cc.cluster_summary(labelled(t), BY, G)
+    """Written once: levels, runs and largest clusters read it."""
+    return cut_lineage(cc.cluster_summary(labelled(t), BY, G))
 
 
 @query("anomaly_components", sql(["labelled"], f"SELECT step, grid_id, label, {rnd('z', 'z')} FROM labelled"))

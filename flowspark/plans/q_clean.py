@@ -13,6 +13,7 @@ from flowspark.plans.oracle import cte, rnd, sql
 from flowspark.plans.registry import query
 from flowspark.plans.q_scalars import _TCOLS, segmented
 from flowspark.sources import tables as src
+from flowspark.session import fresh_dir
 from flowspark.sources.tables import Tables, view
 
 KEYS = fx.KEYS
@@ -255,11 +256,17 @@ def weather_clean(t: Tables) -> DataFrame:
 
 
 def sensor_rows(t: Tables) -> DataFrame:
-    """Pre-windowed sensor rows: node, local text time of the last input step, its value."""
+    """Pre-windowed sensor rows: node, local text time of the last input step, its value. Written as
+    three splits and read back."""
     five = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 21600) * 21600)
-    return t.events.select(
-        (F.col("user_id") % 16).alias("node_id"), tm.ts_text(five).alias("t0_timestamp"), F.col("value").alias("x_t+0_d0")
+    made = t.events.select(
+        "event_id", (F.col("user_id") % 16).alias("node_id"), tm.ts_text(five).alias("t0_timestamp"), F.col("value").alias("x_t+0_d0")
     )
+    base = fresh_dir(t.spark, "sensors")
+    paths = {name: f"{base}/{name}" for name in ("train", "val", "test")}
+    for i, path in enumerate(paths.values()):
+        made.where(F.col("event_id") % 3 == i).drop("event_id").write.parquet(path)
+    return src.read_sensor_splits(t.spark, paths)
 
 
 cte("sensor", """
@@ -278,7 +285,7 @@ SELECT node AS node_id, step, {rnd(lerp_sql('speed', 'step', 'nv_speed'), 'speed
 def sensor_rebuild(t: Tables) -> DataFrame:
     """Series from pre-windowed rows: repeated readings averaged, local time (UTC-8) to UTC by
     adding eight hours, gaps interpolated, speeds clipped."""
-    d = sensor_rows(t).select("node_id", "t0_timestamp", F.col("`x_t+0_d0`").alias("speed"))
+    d = sensor_rows(t).select("node_id", "t0_timestamp", F.col("value").alias("speed"))
     utc = tm.shift_hours(F.to_timestamp("t0_timestamp"), 8)
     d = d.groupBy("node_id", tm.step_of(utc).alias("step")).agg(F.avg("speed").alias("speed"))
     d = d.withColumn("speed", clip(F.col("speed"), 0.0, 100.0))

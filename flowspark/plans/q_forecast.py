@@ -14,6 +14,7 @@ from flowspark.plans import fixtures as fx
 from flowspark.plans.oracle import cte, rnd, sql
 from flowspark.plans.registry import query
 from flowspark.plans.q_scalars import metric_cols, metric_sql, predictions
+from flowspark.session import cut_lineage
 from flowspark.sources.tables import Tables, view
 
 G, KEYS = fx.GRID, fx.KEYS
@@ -70,7 +71,7 @@ JOIN flow o ON o.grid_id = f.grid_id AND o.step = f.origin JOIN ar1 a ON a.grid_
 @view
 def rolling(t: Tables) -> DataFrame:
     flow = fx.flow_split(t)
-    cut = fx.full_days(fx.flow_events(t)).select(
+    cut = fx.full_days(fx.flow_sparse(t)).select(
         "city", (F.col("lo") + F.floor((F.col("hi") - F.col("lo") + 1) * fx.TRAIN_SHARE)).alias("_cut")
     )
     d = flow.join(cut, "city").withColumn("test_pos", F.col("step") - F.col("_cut"))
@@ -155,12 +156,33 @@ def ar_aic(t: Tables) -> DataFrame:
     return orders(t).groupBy("grid_id").agg(pick(0), pick(1))
 
 
-@query("order_selection")
+# AR(0..3) by sweeping one lag after the other out of the centred sums of products
+_DOT = lambda a, b: f"covar_pop({a}, {b}) * count(*)"
+_SWEEP = lambda ab, a, b, pivot: f"{ab} - CASE WHEN {pivot} > 1e-9 THEN {a} * {b} / {pivot} ELSE 0 END"
+cte("ar_sums", f"""
+SELECT grid_id, count(*) AS n, {', '.join(f"{_DOT(a, b)} AS s{a[1]}{b[1]}" for i, a in enumerate(("l0", "l1", "l2", "l3")) for b in ("l0", "l1", "l2", "l3")[i:])} FROM (
+  SELECT grid_id, inflow AS l0, lag(inflow) OVER w AS l1, lag(inflow, 2) OVER w AS l2, lag(inflow, 3) OVER w AS l3 FROM flow WHERE is_train
+  WINDOW w AS (PARTITION BY grid_id ORDER BY step)) WHERE l3 IS NOT NULL GROUP BY 1
+""", ["flow"])
+cte("ar_one", f"""
+SELECT grid_id, n, s00, {', '.join(f"{_SWEEP(f's{a}{b}', f's{min(a, 1)}{max(a, 1)}', f's1{b}' if b else 's01', 's11')} AS t{a}{b}" for a, b in ((0, 0), (0, 2), (0, 3), (2, 2), (2, 3), (3, 3)))} FROM ar_sums
+""", ["ar_sums"])
+cte("ar_two", f"""
+SELECT grid_id, n, s00, t00, {_SWEEP('t00', 't02', 't02', 't22')} AS u00, {_SWEEP('t03', 't02', 't23', 't22')} AS u03, {_SWEEP('t33', 't23', 't23', 't22')} AS u33 FROM ar_one
+""", ["ar_one"])
+cte("ar_best", f"""
+SELECT grid_id, p, aic FROM (SELECT grid_id, p, n * ln(greatest(rss, 1e-12::DOUBLE) / n) + 2 * (p + 1) AS aic FROM (
+  SELECT grid_id, n, unnest([0, 1, 2, 3]) AS p, unnest([s00, t00, u00, {_SWEEP('u00', 'u03', 'u03', 'u33')}]) AS rss FROM ar_two))
+QUALIFY row_number() OVER (PARTITION BY grid_id ORDER BY aic, p) = 1
+""", ["ar_two"])
+
+
+@query("order_selection", sql(["ar_best"], f"SELECT grid_id, p, {rnd('aic', 'aic')} FROM ar_best"))
 def order_selection(t: Tables) -> DataFrame:
     return fc.select_order(orders(t), KEYS).select("grid_id", "p", r(F.col("aic")).alias("aic"))
 
 
-@query("common_order")
+@query("common_order", sql(["ar_best"], "SELECT p AS value, count(*) AS n FROM ar_best GROUP BY p ORDER BY n DESC, p LIMIT 1"))
 def common_order(t: Tables) -> DataFrame:
     """Most common selected order over the cells (A-17)."""
     return fc.most_common(fc.select_order(orders(t), KEYS).select("p"), "p")
@@ -180,7 +202,7 @@ def fourier_regression(t: Tables) -> DataFrame:
 
 def samples(t: Tables, t_in: int = 12, t_out: int = 12) -> DataFrame:
     d = series.sliding_samples(fx.flow(t), KEYS, "step", ["inflow", "outflow"], "inflow", t_in, t_out)
-    return fx.with_split(d, fx.flow_events(t))
+    return fx.with_split(d, fx.flow_sparse(t))
 
 
 def log_rows(t: Tables, model: str, d: DataFrame, t_in: int, tag: str) -> DataFrame:
@@ -209,7 +231,7 @@ def pooled_graph_regression(t: Tables) -> DataFrame:
     flow = fx.flow(t)
     near = gp.propagate(flow, e, ["inflow"]).withColumnRenamed("inflow", "near")
     d = series.sliding_samples(flow.join(near, ["step", "grid_id"]), KEYS, "step", ["inflow", "near"], "inflow", 12, 12)
-    d = pooled.fit_predict(fx.with_split(d, fx.flow_events(t)), ["x_inflow", "x_near"], [1, 3, 6, 12], 12)
+    d = pooled.fit_predict(fx.with_split(d, fx.flow_sparse(t)), ["x_inflow", "x_near"], [1, 3, 6, 12], 12)
     return d.groupBy("h").agg(*[c.alias(n) for n, c in mt._metric_columns(F.abs("y") > 0, F.col("y"), F.col("y_hat"), 1.0).items()])
 
 
@@ -231,7 +253,8 @@ def flow_nyc(t: Tables) -> DataFrame:
         F.lit("nyc").alias("city"), (F.col("event_id") % 75).alias("grid_id"), fx.tm.step_of(F.col("ts")).alias("step"),
         F.col("value").alias("inflow"), F.lit(0.0).alias("outflow"),
     )
-    return fx.with_split(fx.dense_flow(ev, 75), ev)
+    sparse = cut_lineage(fx._sum_flow(ev))
+    return fx.with_split(fx.dense_flow(sparse, 75), sparse)
 
 
 @query("zero_shot_transfer")

@@ -37,6 +37,17 @@ def fuzzy_match_ratio(t: Tables) -> DataFrame:
     return d.select("name", "match", r(F.col("score")).alias("score"))
 
 
+@query("station_names", """
+SELECT c_custkey AS id, regexp_replace(regexp_replace(regexp_replace(trim(n), '站$', ''), '地铁站$', ''), '^地铁', '') AS station FROM (
+  SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN ' 地铁' ELSE ' ' END || c_name || CASE c_custkey % 4 WHEN 0 THEN '站 ' WHEN 1 THEN '地铁站' WHEN 2 THEN '站站' ELSE '' END AS n FROM customer)""")
+def station_names(t: Tables) -> DataFrame:
+    """Customer names with a station's affixes, cleaned."""
+    c = F.col("c_custkey")
+    suffix = F.when(c % 4 == 0, "站 ").when(c % 4 == 1, "地铁站").when(c % 4 == 2, "站站").otherwise("")
+    name = F.concat(F.when(c % 3 == 0, " 地铁").otherwise(" "), "c_name", suffix)
+    return t.customer.select(c.alias("id"), text.station_name(name).alias("station"))
+
+
 @query("stop_reference", """
 SELECT p_name AS stop_name, count(DISTINCT p_brand) AS n_routes FROM part GROUP BY 1""")
 def stop_reference(t: Tables) -> DataFrame:

@@ -82,7 +82,7 @@ _TCOLS = [f"{n}_{f}" for n in _TEMPORAL for f in ("sin", "cos")]
 @query("cyclic_time_features", sql(["temporal"], f"""
 SELECT step, {', '.join(rnd(c, c) for c in _TCOLS)}, is_weekend, is_holiday FROM temporal"""))
 def cyclic_time_features(t: Tables) -> DataFrame:
-    steps = fx.flow_events(t).select("step").distinct()
+    steps = fx.flow_sparse(t).select("step").distinct()
     cols = tm.temporal_columns(tm.step_ts(tm.local_step(F.col("step"), TZ)))
     holiday = tm.is_us_holiday(tm.local_date(F.col("step"), TZ)).cast("int")
     return steps.select(
@@ -246,7 +246,7 @@ def chrono_split(t: Tables) -> DataFrame:
 
 def segmented(t: Tables) -> DataFrame:
     """Four segments by event time: eight days each."""
-    d = fx.flow_sparse(t).join(fx.full_days(fx.flow_events(t)), "city")
+    d = fx.flow_sparse(t).join(fx.full_days(fx.flow_sparse(t)), "city")
     return d.withColumn("segment", F.floor((F.col("step") - F.col("lo")) / (48 * 8))).drop("lo", "hi")
 
 
@@ -268,7 +268,7 @@ def segment_split(t: Tables) -> DataFrame:
 def predictions(t: Tables) -> DataFrame:
     """Historical average on the test rows, with the step inside 48-step blocks."""
     d = fc.historical_average(fx.flow_split(t), "inflow", fx.KEYS)
-    cut = fx.full_days(fx.flow_events(t)).select(
+    cut = fx.full_days(fx.flow_sparse(t)).select(
         "city", (F.col("lo") + F.floor((F.col("hi") - F.col("lo") + 1) * fx.TRAIN_SHARE)).alias("_cut")
     )
     pos = F.col("step") - F.col("_cut")
@@ -311,7 +311,8 @@ def metric_cols() -> list:
 SELECT grid_id, {metric_sql()}, {rnd('avg(CASE WHEN abs(y_hat - y) <= 1 THEN (y_hat - y) * (y_hat - y) / 2 ELSE abs(y_hat - y) - 0.5 END)', 'huber')}
 FROM preds GROUP BY 1"""))
 def masked_metrics(t: Tables) -> DataFrame:
-    d = mt.masked_metrics(predictions(t), ["grid_id"])
+    truth = fx.flow(t).select(*fx.KEYS, "step", F.col("inflow").alias("y"))
+    d = mt.masked_metrics(mt.align_truth(predictions(t).select(*fx.KEYS, "step", "y_hat"), truth, [*fx.KEYS, "step"]), ["grid_id"])
     return d.select("grid_id", *metric_cols(), r(F.col("huber")).alias("huber"))
 
 

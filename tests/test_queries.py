@@ -1,6 +1,8 @@
 """Registered queries against their SQL. A spread of them by default; all with FLOWSPARK_ALL=1."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 from check import compare, duck
@@ -33,3 +35,22 @@ def test_every_oracle_has_a_query():
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@needs_data
+def test_executors_get_the_package(tmp_path):
+    """A session started in another folder, without PYTHONPATH, runs the package's Python code."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+for name in ("anomaly_components", "cosine_knn", "order_selection"):
+    print(name, e.queries()[name](spark, {FOLDER!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert all(int(line.split()[1]) > 0 for line in run.stdout.splitlines())
