@@ -17,8 +17,8 @@ from itertools import filterfalse
 
 import numpy as np
 
-MAX_CHUNKS = 800_000
-MAX_CHARS = 16_000_000
+MAX_CHUNKS = 600_000
+MAX_CHARS = 12_000_000
 
 
 def packed(ids: list[int]) -> bytes:

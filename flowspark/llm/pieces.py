@@ -20,12 +20,19 @@ from pyspark.sql import functions as F
 from flowspark.llm.chunktable import encoder
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds the ids of few documents at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id and ``ids``, an array of ints."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder("piece", model)
-        for b in batches:
+        for b in sliced(batches):
             found = list(enc.encode(t or "" for t in b.column(1).to_pylist()))
             ends = np.cumsum([0] + [len(x) // 4 for x in found])
             ids = pa.array(np.frombuffer(b"".join(found), "<i4"))
@@ -40,13 +47,11 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder("piece", model)
-        for b in batches:
+        for b in sliced(batches):
             ids = b.column(1)
             flat = ids.values.to_numpy(zero_copy_only=False)
             ends = ids.offsets.to_numpy()
-            parts = [flat[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            step = 256
-            texts = [t for i in range(0, len(parts), step) for t in enc.decode(parts[i : i + step])]
+            texts = enc.decode([flat[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)])
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
