@@ -36,7 +36,7 @@ from flowspark.session import cut_lineage
 class Plan:
     trees: int = 4
     leaf: int = 200  # rows a leaf, about
-    probes: int = 256  # leaves a query, over all trees
+    probes: int = 448  # leaves a query, over all trees
     sample: int = 20_000  # rows that the trees are fitted on
     least: int = 16  # sampled rows of a fitted leaf, at least
     seed: int = 11
