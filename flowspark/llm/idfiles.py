@@ -1,8 +1,8 @@
 """Token-id files with a minimal perfect hash index.
 
-A shard is a pair of files: ``.ids``, the raw ids of its documents as little-endian unsigned
-32-bit integers in ascending order of their keys, and ``.idx``, the index: the keys' hash
-function, and per slot a 32-bit fingerprint of the key, the first id and the number of ids. The
+A shard is a pair of files: ``.ids``, the raw ids of its documents in ascending order of their
+keys, as little-endian unsigned integers of 2 bytes where the vocabulary allows it and of 4 where
+not, and ``.idx``, the index: the width of an id, the keys' hash function, and per slot a 32-bit fingerprint of the key, the first id and the number of ids. The
 function maps the shard's n keys to the slots 0..n-1 without a collision: keys go through levels
 of bit vectors; a key that alone falls on its bit is placed there, the others go on to the next
 level, and the slot is the bit's rank. A lookup reads a few bits, one rank and one slot. The index
@@ -103,14 +103,14 @@ def fingerprint(keys: list[str]) -> np.ndarray:
     return (hashes(keys, 0xF1F1F1F1) >> np.uint64(32)).astype("<u4")
 
 
-def index_bytes(keys: list[str], first: np.ndarray, count: np.ndarray) -> bytes:
+def index_bytes(keys: list[str], first: np.ndarray, count: np.ndarray, width: int) -> bytes:
     """The index of a shard whose key i owns ``count[i]`` ids from ``first[i]`` on."""
     f = PerfectHash.build(keys)
     slot = f.slots(keys)
     marks, at, n = np.empty(len(keys), "<u4"), np.empty(len(keys), "<u8"), np.empty(len(keys), "<u8")
     marks[slot], at[slot], n[slot] = fingerprint(keys), first, count
     names = "\n".join(keys).encode()
-    head = struct.pack("<4sIQIIQ", MAGIC, f.seed, len(keys), len(f.sizes), 0, len(names))
+    head = struct.pack("<4sIQIIQ", MAGIC, f.seed, len(keys), len(f.sizes), width, len(names))
     return b"".join([head, f.sizes.astype("<u8").tobytes(), f.bits.astype("<u8").tobytes(), at.tobytes(), n.tobytes(), marks.tobytes(), names])
 
 
@@ -121,7 +121,7 @@ class Shard:
         self.store, self.base = store, base
         with store.open_input_file(base + ".idx") as f:
             raw = f.read()
-        magic, seed, n, levels, _, names = struct.unpack_from("<4sIQIIQ", raw)
+        magic, seed, n, levels, self.width, names = struct.unpack_from("<4sIQIIQ", raw)
         if magic != MAGIC:
             raise ValueError(f"{base}.idx is not an index")
         at = struct.calcsize("<4sIQIIQ")
@@ -151,7 +151,7 @@ class Shard:
         first, count = self.find(keys)
         with self.store.open_input_file(self.base + ".ids") as f:
             for a, n in zip(first.tolist(), count.tolist(), strict=True):
-                yield None if a < 0 else f.read_at(n * 4, a * 4)
+                yield None if a < 0 else np.frombuffer(f.read_at(n * self.width, a * self.width), f"<u{self.width}").astype("<u4").tobytes()
 
 
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
@@ -172,6 +172,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, shard_id
         store, root = store_of(path)
         store.create_dir(root, recursive=True)
         part, made = TaskContext.get().partitionId(), 0
+        width = 2 if max(enc.whole.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         keys: list[str] = []
         body: list[bytes] = []
         last, number, held = object(), 0, 0
@@ -181,9 +182,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, shard_id
             base = f"shard-{part:06d}-{made:05d}-{uuid.uuid4().hex}"
             count = np.array([len(x) // 4 for x in body], np.int64)
             with store.open_output_stream(f"{root}/{base}.ids") as f:
-                f.write(b"".join(body))
+                f.write(np.frombuffer(b"".join(body), "<u4").astype(f"<u{width}").tobytes())
             with store.open_output_stream(f"{root}/{base}.idx") as f:
-                f.write(index_bytes(keys, np.cumsum(count) - count, count))
+                f.write(index_bytes(keys, np.cumsum(count) - count, count, width))
             row = pa.RecordBatch.from_pydict({"part": [part], "number": [made], "file": [base], "n_docs": [len(keys)], "n_ids": [int(count.sum())]})
             made += 1
             keys, body, held = [], [], 0
