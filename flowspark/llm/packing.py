@@ -37,7 +37,7 @@ from flowspark.llm.chunktable import encoder
 @dataclass(frozen=True)
 class Costs:
     capacity: int = 1024
-    sequence: int = 16  # per sequence, so that short ones need a reason
+    sequence: int = 256  # per sequence, so that short ones need a reason
     sentence: int = 8  # cut inside a document at the end of a sentence
     inside: int = 64  # cut inside a sentence; only where a sentence is longer than ``capacity``
     grid: int = 64  # distance of the cuts that are offered inside such a sentence
