@@ -109,7 +109,7 @@ def test_traversal_loses_no_pair():
     sig = np.stack([np.frombuffer(sigtree.signature(s), np.uint64) for s in found])
     label = np.array([i % 7 if i % 3 else 100 for i in range(300)])
     order = np.lexsort((n, label))
-    tree = sigtree.Tree(order, n[order], label[order], sig[order])
+    tree = sigtree.Tree(order, n[order], label[order], n[order], sig[order])
     got = {(min(a, b), max(a, b)) for u, v in sigtree.traverse(tree, tree, 80, 100) for a, b in zip(u.tolist(), v.tolist(), strict=True)}
     assert len(got) < 300 * 299 / 2 / 2
     for i in range(300):
