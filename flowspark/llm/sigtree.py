@@ -10,10 +10,12 @@ of its shingles. The work runs in these steps, each a Spark job over written tab
    one form a block.
 3. A block is joined with itself by a signature tree. Its nodes hold the bitwise or of their
    members' bitmaps and the range of their sizes; two nodes are traversed together while the bits
-   in common and the sizes allow some pair of members the overlap a link needs. A block of up to
-   ``LEAF`` classes is one leaf. Larger ones, such as families of near copies, are first compared
-   with two of their members only; once these links have merged classes, the trees of the blocks
-   that still hold several components are traversed, leaving out nodes of one component.
+   in common and the sizes allow some pair of members the overlap a link needs; what a set has
+   behind the shared shingle in its order bounds the overlap as well. A block of up to ``LEAF``
+   classes is one leaf. Larger ones, such as families of near copies, are first compared with two
+   of their members only, those with the fewest rarer shingles; once these links have merged
+   classes, the trees of the blocks that still hold several components are traversed, leaving out
+   nodes of one component.
 4. Pairs that the signatures allow are compared exactly, on the shingles of their whole texts.
 5. Links become components by alternating star contractions.
 
@@ -153,7 +155,7 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, overlap: np.ndarray, num: int, de
 
 def blocks_of(packed: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of small blocks, and of larger ones with two of their classes; and larger blocks
-    themselves as rows of (block, class, n)."""
+    themselves as rows of (block, class, n, place)."""
 
     def work(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([np.frombuffer(r["key"], np.uint64) for r in rows])
@@ -184,16 +186,16 @@ def blocks_of(packed: DataFrame, num: int, den: int) -> DataFrame:
                 break
             offer(i, i + d)
         for f, c in zip(first[count > LEAF].tolist(), count[count > LEAF].tolist(), strict=True):
-            for hub in (f, f + c - 1):
+            for hub in f + np.lexsort((name[f : f + c], place[f : f + c]))[:2]:
                 others = np.arange(f, f + c)
                 offer(np.full(c - 1, hub), others[others != hub])
             members = name[f : f + c]
             blank = pa.nulls(c, pa.int64())
-            yield pa.RecordBatch.from_arrays([blank, blank, pa.array(np.full(c, class_of(members.view(np.uint64)))), pa.array(members), pa.array(n[f : f + c])], names)
+            yield pa.RecordBatch.from_arrays([blank, blank, pa.array(np.full(c, class_of(members.view(np.uint64)))), pa.array(members), pa.array(n[f : f + c]), pa.array(place[f : f + c])], names)
         if left:
             both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
             blank = pa.nulls(len(both), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), blank, blank, blank], names)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), blank, blank, blank, blank], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
@@ -207,9 +209,9 @@ def blocks_of(packed: DataFrame, num: int, den: int) -> DataFrame:
         if rows:
             yield from work(rows)
 
-    names = ["a", "b", "block", "class", "n"]
+    names = ["a", "b", "block", "class", "n", "place"]
     dealt = packed.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "a long, b long, block long, class long, n long")
+    return dealt.mapInArrow(run, "a long, b long, block long, class long, n long, place long")
 
 
 def bits(column: pa.Array) -> np.ndarray:
@@ -290,10 +292,11 @@ def components(links: DataFrame) -> DataFrame:
 class Tree:
     """Binary signature tree over classes in the order given; a node is a range of them."""
 
-    def __init__(self, name: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray):
-        self.name, self.n, self.label, self.sig = name, n, label, sig
+    def __init__(self, name: np.ndarray, n: np.ndarray, label: np.ndarray, reach: np.ndarray, sig: np.ndarray):
+        """``reach``: the most shingles that a member can share with another one of its block."""
+        self.name, self.n, self.label, self.reach, self.sig = name, n, label, reach, sig
         self.spare = n - ones(sig)
-        self.nodes: list[tuple] = []  # begin, end, children, bitmap, least and most n, most spare, label or None
+        self.nodes: list[tuple] = []  # begin, end, children, bitmap, least and most n, most spare, label or None, most reach
         self.grow(0, len(name))
 
     def grow(self, s: int, e: int) -> int:
@@ -309,7 +312,7 @@ class Tree:
         else:
             bitmap = np.bitwise_or.reduce(self.sig[own], axis=0)
         only = int(labels[0]) if (labels == labels[0]).all() else None
-        self.nodes[at] = (s, e, kids, bitmap, int(self.n[own].min()), int(self.n[own].max()), int(self.spare[own].max()), only)
+        self.nodes[at] = (s, e, kids, bitmap, int(self.n[own].min()), int(self.n[own].max()), int(self.spare[own].max()), only, int(self.reach[own].max()))
         return at
 
 
@@ -321,7 +324,7 @@ def open_pair(x: tuple, y: tuple, num: int, den: int) -> bool:
     least_x, least_y = max(x[4], -(-num * y[4] // den)), max(y[4], -(-num * x[4] // den))
     if least_x > x[5] or least_y > y[5]:
         return False
-    overlap = int(np.bitwise_count(x[3] & y[3]).sum()) + min(x[6], y[6])
+    overlap = min(int(np.bitwise_count(x[3] & y[3]).sum()) + min(x[6], y[6]), x[8], y[8])
     return overlap * (num + den) >= num * (least_x + least_y)
 
 
@@ -345,7 +348,7 @@ def traverse(x: Tree, y: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray,
         else:
             a, b = np.arange(p[0], p[1])[:, None], np.arange(q[0], q[1])[None, :]
             overlap = ones(x.sig[a] & y.sig[b]) + np.minimum(x.spare[a], y.spare[b])
-            overlap = np.minimum(overlap, np.minimum(x.n[a], y.n[b]))
+            overlap = np.minimum(overlap, np.minimum(x.reach[a], y.reach[b]))
             good = may_link(x.n[a], y.n[b], overlap, num, den) & (x.label[a] != y.label[b])
             if same and i == j:
                 good &= a < b
@@ -355,7 +358,7 @@ def traverse(x: Tree, y: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray,
 
 def open_pairs(blocks: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of classes in one block, of different components, that the signature trees leave over."""
-    rows = blocks.join(roots, "class", "left").select("block", "class", "n", F.coalesce("root", "class").alias("label"))
+    rows = blocks.join(roots, "class", "left").select("block", "class", "n", (F.col("n") - F.col("place")).alias("reach"), F.coalesce("root", "class").alias("label"))
     mixed = rows.groupBy("block").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("block")
     rows = rows.join(mixed, "block").join(classes.select("class", "sig"), "class")
 
@@ -364,11 +367,11 @@ def open_pairs(blocks: DataFrame, roots: DataFrame, classes: DataFrame, num: int
         block, held, number = None, [], 0
 
         def close() -> pa.RecordBatch:
-            name, n, label = (np.array([r[k] for r in held], np.int64) for k in ("class", "n", "label"))
+            name, n, label, reach = (np.array([r[k] for r in held], np.int64) for k in ("class", "n", "label", "reach"))
             sig = np.frombuffer(b"".join(r["sig"] for r in held), np.uint64).reshape(len(held), -1)
             only = int(label[0]) if (label == label[0]).all() else None
-            body = [name.tobytes(), n.tobytes(), label.tobytes(), sig.tobytes()]
-            top = [np.bitwise_or.reduce(sig, axis=0).tobytes(), int(n.min()), int(n.max()), int((n - ones(sig)).max()), only]
+            body = [name.tobytes(), n.tobytes(), label.tobytes(), reach.tobytes(), sig.tobytes()]
+            top = [np.bitwise_or.reduce(sig, axis=0).tobytes(), int(n.min()), int(n.max()), int((n - ones(sig)).max()), only, int(reach.max())]
             return pa.RecordBatch.from_pydict({k: [v] for k, v in zip(node_names, [block, number, *body, *top], strict=True)}, node_schema)
 
         for b in batches:
@@ -382,12 +385,12 @@ def open_pairs(blocks: DataFrame, roots: DataFrame, classes: DataFrame, num: int
         if held:
             yield close()
 
-    node_names = ["block", "number", "class", "n", "label", "sig", "top", "least", "most", "spare", "only"]
+    node_names = ["block", "number", "class", "n", "label", "reach", "sig", "top", "least", "most", "spare", "only", "far"]
     binary, long = pa.binary(), pa.int64()
-    node_schema = pa.schema(list(zip(node_names, [long, long, binary, binary, binary, binary, binary, long, long, long, long], strict=True)))
-    ddl = "block long, number long, class binary, n binary, label binary, sig binary, top binary, least long, most long, spare long, only long"
+    node_schema = pa.schema(list(zip(node_names, [long, long, binary, binary, binary, binary, binary, binary, long, long, long, long, long], strict=True)))
+    ddl = "block long, number long, class binary, n binary, label binary, reach binary, sig binary, top binary, least long, most long, spare long, only long, far long"
     made = cut_lineage(rows.repartition("block").sortWithinPartitions("block", "label", "n", "class").mapInArrow(nodes, ddl))
-    top = ["block", "number", "top", "least", "most", "spare", "only"]
+    top = ["block", "number", "top", "least", "most", "spare", "only", "far"]
     x, y = (made.select("block", *[F.col(c).alias(f"{c}_{s}") for c in top[1:]]) for s in "xy")
     pairs = x.join(y, "block").where("number_x <= number_y AND NOT only_x <=> only_y OR number_x <= number_y AND only_x IS NULL")
 
@@ -395,18 +398,18 @@ def open_pairs(blocks: DataFrame, roots: DataFrame, classes: DataFrame, num: int
         for b in batches:
             keep = []
             for r in b.to_pylist():
-                p, q = ((0, 0, (), np.frombuffer(r[f"top_{s}"], np.uint64), r[f"least_{s}"], r[f"most_{s}"], r[f"spare_{s}"], r[f"only_{s}"]) for s in "xy")
+                p, q = ((0, 0, (), np.frombuffer(r[f"top_{s}"], np.uint64), r[f"least_{s}"], r[f"most_{s}"], r[f"spare_{s}"], r[f"only_{s}"], r[f"far_{s}"]) for s in "xy")
                 keep.append(open_pair(p, q, num, den))
             yield b.select(["block", "number_x", "number_y"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.mapInArrow(prune, "block long, number_x long, number_y long")
-    body = ["class", "n", "label", "sig"]
+    body = ["class", "n", "label", "reach", "sig"]
     for s in "xy":
         left = left.join(made.select("block", F.col("number").alias(f"number_{s}"), F.struct(*body).alias(s)), ["block", f"number_{s}"])
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tree(r: dict) -> Tree:
-            return Tree(*(np.frombuffer(r[k], np.int64) for k in body[:3]), np.frombuffer(r["sig"], np.uint64).reshape(-1, BITS // 64))
+            return Tree(*(np.frombuffer(r[k], np.int64) for k in body[:4]), np.frombuffer(r["sig"], np.uint64).reshape(-1, BITS // 64))
 
         for b in batches:
             for r in b.to_pylist():
@@ -430,20 +433,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     sketch = merged_sketch(profile)
     found = cut_lineage(blocks_of(entries(docs, sketch, words, num, den, max(1, -(-int(total) // BLOCK_ENTRIES))), num, den))
     pairs = cut_lineage(allowed(found.where("a IS NOT NULL").select("a", "b").distinct(), classes, num, den))
-    blocks = found.where("block IS NOT NULL").select("block", "class", "n").distinct()
+    # blocks of the same classes are one, with the smallest place that a class has in any of them
+    blocks = found.where("block IS NOT NULL").groupBy("block", "class", "n").agg(F.min("place").alias("place"))
 
-    def exact(some: DataFrame) -> DataFrame:
-        wanted = some.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        one = wanted.join(classes.select("class", "first"), "class")
-        # rows of one id may have different texts: the class tells which is meant
-        texts = docs.join(one, docs["doc_id"].eqNullSafe(one["first"])).select("class", "text")
-        return cut_lineage(links_of(some, cut_lineage(of_class(texts, words)), words, num, den))
+    # the texts that any comparison needs, fetched once
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(blocks.select("class")).distinct()
+    one = wanted.join(classes.select("class", "first"), "class")
+    # rows of one id may have different texts: the class tells which is meant
+    texts = docs.join(one, docs["doc_id"].eqNullSafe(one["first"])).select("class", "text")
+    texts = cut_lineage(of_class(texts, words))
 
-    links = exact(pairs)
+    links = cut_lineage(links_of(pairs, texts, words, num, den))
     roots = cut_lineage(components(links))
     rest = cut_lineage(open_pairs(blocks, roots, classes, num, den).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.unionByName(exact(rest))
+        links = links.unionByName(cut_lineage(links_of(rest, texts, words, num, den)))
         roots = cut_lineage(components(links))
     named = classes.join(roots, "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
