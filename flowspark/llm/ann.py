@@ -202,7 +202,10 @@ def search(table: DataFrame, is_query: Column, k: int = 5, plan: Plan | None = N
     # the queries of a leaf come first and stay; its rows pass by
     dealt = both.repartition("leaf").sortWithinPartitions("leaf", "is_row")
     found = dealt.mapInArrow(lambda batches: searched(batches, k + 1), f"query {kind}, ids array<{kind}>, score double")
-    near = found.dropDuplicates(["query", "ids"]).select("query", F.explode("ids").alias("vec_id"), "score").where("vec_id != query")
+    # the k + 1 best different vectors hold the k best rows: the query's own is one row of one of them
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.get("ids", F.lit(0))))
+    few = found.dropDuplicates(["query", "ids"]).withColumn("_best", best).where(F.col("_best") <= k + 1)
+    near = few.select("query", F.explode("ids").alias("vec_id"), "score").where("vec_id != query")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
 
