@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.chunktable import encoder
+from flowspark.session import cut_lineage
 
 CONTROL = re.compile(r"([<\[])(\\*)(/?(?:s>|INST\]|ROLE\]))")
 ESCAPED = re.compile(r"([<\[])\\(\\*/?(?:s>|INST\]|ROLE\]))")
@@ -131,7 +132,7 @@ def placed(conversations: DataFrame, ranks: str, b: Budget) -> DataFrame:
 def windows(conversations: DataFrame, ranks: str, budget: Budget | None = None) -> DataFrame:
     """Formatted windows: conv_id, window, text, loss (spans), repeated and turns (counts), tokens, over."""
     b = budget or Budget()
-    turns = placed(conversations, ranks, b)
+    turns = cut_lineage(placed(conversations, ranks, b))  # read four times below
     cols = ["_c", "conv_id", "window", "begin", "role", "text", "tokens"]
     new = turns.select(*cols, F.lit(False).alias("repeated"))
     starts = turns.groupBy("_c", "window").agg(F.min("begin").alias("start"))
