@@ -5,9 +5,15 @@ node splits its sample at the median of a projection on the difference of two of
 Where the table needs smaller leaves than the sample can show, a fitted leaf goes on for as many
 levels as it takes with hyperplanes through its sample's mean. Every row of the table is put into
 one leaf of every tree. A query walks all trees at once: one priority queue holds the nodes of all
-of them by the squared distance to the hyperplanes on the wrong side, and the first ``probes``
-leaves to come out are searched. Leaves are searched where their rows lie, in double precision on
-the original vectors; only the best of each leaf travel on.
+of them by the squared distance to the hyperplanes on the wrong side, and the first leaves to come
+out are searched. Leaves are searched where their rows lie, in double precision on the original
+vectors; only the best of each leaf travel on.
+
+How many leaves follows from the data at every run: ``Plan.asked`` queries, chosen by a hash of the
+id, are compared with all rows, and as many leaves are searched as bring ``Plan.recall`` of the
+neighbours found there. Where that would be more work than comparing every query with all rows in
+large blocks, as on vectors without structure, or where there are no more queries than those asked,
+all rows are compared and the result is exact.
 
 Equal vectors are searched as one, which carries the smallest ids of its rows: k + 1 of them, and
 no query can use more, as equal vectors are equally near and ties go to the smaller id.
@@ -36,7 +42,10 @@ from flowspark.session import cut_lineage
 class Plan:
     trees: int = 4
     leaf: int = 200  # rows a leaf, about
-    probes: int = 448  # leaves a query, over all trees
+    probes: int | None = None  # leaves a query, over all trees; None: as many as the recall takes
+    recall: float = 0.95  # of the neighbours of the queries that are asked in advance
+    asked: int = 256  # queries that are compared with all rows to choose the leaves
+    cost: int = 8  # of meeting a row in a leaf, in rows met in a large block, about
     sample: int = 20_000  # rows that the trees are fitted on
     least: int = 16  # sampled rows of a fitted leaf, at least
     seed: int = 11
@@ -46,7 +55,7 @@ class Forest:
     """Nodes of all trees in arrays; a child below 0 is a leaf, numbered from -1 on."""
 
     def __init__(self, x: np.ndarray, rows: int, plan: Plan):
-        self.plan = plan
+        self.plan, self.probes = plan, plan.probes
         rng = np.random.default_rng(plan.seed)
         most = max(plan.least, int(plan.leaf * len(x) / max(rows, 1)))
         directions, cuts, children, self.roots, means = [], [], [], [], []
@@ -112,7 +121,7 @@ class Forest:
             heapq.heapify(heap)
             found: list[int] = []
             own = side[q]
-            while heap and len(found) < self.plan.probes:
+            while heap and len(found) < self.probes:
                 far, node, level, code = heapq.heappop(heap)
                 if node >= 0:
                     m = own[node]
@@ -130,6 +139,36 @@ class Forest:
             out.append(found)
         return out
 
+    def places(self, x: np.ndarray, near: list[np.ndarray]) -> list[np.ndarray]:
+        """For each query the number of leaves that come out up to the first with each of its ``near`` rows."""
+        side = x @ self.directions.T - self.cuts
+        bits = x @ self.more.T
+        inner, fitted = np.zeros(side.shape), np.zeros((len(x), len(self.means)))
+        for node, kids in enumerate(self.children.tolist()):  # a node comes before its children
+            m = side[:, node]
+            for kid, wrong in zip(kids, (m > 0, m <= 0), strict=True):
+                (inner if kid >= 0 else fitted)[:, kid if kid >= 0 else -kid - 1] = inner[:, node] + np.where(wrong, m * m, 0)
+        out = []
+        step = max(1, 1_000_000 >> self.levels)
+        for q, rows in enumerate(near):
+            gap = bits[q] - self.more_cuts
+            code = self.leaves(rows)
+            leaf = code >> self.levels
+            far = fitted[q, leaf]
+            for k in range(self.levels):
+                g = gap[leaf, k]
+                far = far + np.where((g > 0) != (code >> k & 1), g * g, 0)
+            far = far.min(1)
+            place = np.zeros(len(rows), np.int64)
+            for s in range(0, len(self.means), step):
+                own, every = gap[s : s + step], fitted[q, s : s + step, None]
+                for k in range(self.levels):
+                    g = own[:, k, None]
+                    every = np.concatenate([every + np.where(g > 0, g * g, 0), every + np.where(g > 0, 0, g * g)], axis=1)
+                place += np.searchsorted(np.sort(every, axis=None), far, "right")
+            out.append(place)
+        return out
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -164,25 +203,19 @@ def fit(rows: DataFrame, plan: Plan) -> Forest | None:
     return Forest(x, n, plan)
 
 
-def search(table: DataFrame, is_query: Column, k: int = 5, plan: Plan | None = None, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The ``k`` nearest rows found for every row where ``is_query`` (over vec_id) holds.
+PACKED = "leaf long, is_row boolean, query {kind}, ids array<{kind}>, v array<double>"
 
-    query_id, rank (from 1), vec_id, score (cosine); the row itself is no candidate.
-    """
-    plan = plan or Plan()
-    rows = vectors(table, vec_id, vector)
-    kept = cut_lineage(distinct_vectors(rows, k + 1))
-    forest = fit(kept, plan)
-    queries = rows.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"])
-    kind = rows.schema["vec_id"].dataType.simpleString()
-    packed = f"leaf long, is_row boolean, query {kind}, ids array<{kind}>, v array<double>"
 
-    def matrix(column: pa.ListArray) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def in_leaves(kept: DataFrame, queries: DataFrame, forest: Forest, kind: str) -> DataFrame:
+    """Rows and queries by the leaves that hold and search them."""
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows if forest else 0, 2048):
+            for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
                 code = forest.leaves(unit(matrix(part.column(1))))
                 for t in range(code.shape[1]):
@@ -191,20 +224,83 @@ def search(table: DataFrame, is_query: Column, k: int = 5, plan: Plan | None = N
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows if forest else 0, 64):
+            for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
                 found = forest.nearest(unit(matrix(part.column(1))))
                 who = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
                 n = len(who)
                 yield pa.RecordBatch.from_arrays([pa.array([c for f in found for c in f], pa.int64()), pa.array([False] * n), part.column(0).take(who), pa.nulls(n, pa.list_(part.column(0).type)), part.column(1).take(who)], ["leaf", "is_row", "query", "ids", "v"])
 
-    both = kept.select("ids", "v").mapInArrow(place, packed).unionByName(queries.mapInArrow(probe, packed))
+    packed = PACKED.format(kind=kind)
+    return kept.select("ids", "v").mapInArrow(place, packed).unionByName(queries.mapInArrow(probe, packed))
+
+
+def in_blocks(kept: DataFrame, queries: DataFrame, n: int, n_queries: int, kind: str, most: int = 16_384, least: int = 256) -> DataFrame:
+    """Every block of queries with every part of the ``n`` rows, a part about as large as a block."""
+    blocks = max(1, ceil(n_queries / most))
+    parts = max(1, ceil(n / max(least, ceil(n_queries / blocks))))
+    block, part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), F.pmod(F.xxhash64("v"), F.lit(parts))
+
+    def each(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    x = kept.select("ids", "v", part.alias("part"), each(blocks).alias("block"))
+    y = queries.select("vec_id", "v", block.alias("block"), each(parts).alias("part"))
+    leaf = (F.col("block") * parts + F.col("part")).cast("long").alias("leaf")
+    x = x.select(leaf, F.lit(True).alias("is_row"), F.lit(None).cast(kind).alias("query"), "ids", "v")
+    return x.unionByName(y.select(leaf, F.lit(False).alias("is_row"), F.col("vec_id").alias("query"), F.lit(None).cast(f"array<{kind}>").alias("ids"), "v"))
+
+
+def best_of(both: DataFrame, keep: int, kind: str) -> DataFrame:
+    """The ``keep`` best different vectors of each query (query, ids, score) among the rows that it meets."""
     # the queries of a leaf come first and stay; its rows pass by
     dealt = both.repartition("leaf").sortWithinPartitions("leaf", "is_row")
-    found = dealt.mapInArrow(lambda batches: searched(batches, k + 1), f"query {kind}, ids array<{kind}>, score double")
-    # the k + 1 best different vectors hold the k best rows: the query's own is one row of one of them
+    found = dealt.mapInArrow(lambda batches: searched(batches, keep), f"query {kind}, ids array<{kind}>, score double")
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.get("ids", F.lit(0))))
-    few = found.dropDuplicates(["query", "ids"]).withColumn("_best", best).where(F.col("_best") <= k + 1)
+    return found.dropDuplicates(["query", "ids"]).withColumn("_best", best).where(F.col("_best") <= keep).drop("_best")
+
+
+def leaves_needed(kept: DataFrame, queries: DataFrame, forest: Forest, n: int, k: int, kind: str) -> int | None:
+    """Leaves that bring ``Plan.recall`` of the true neighbours of some queries; None where all rows are no more work."""
+    plan = forest.plan
+    asked = cut_lineage(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(plan.asked))
+    true = best_of(in_blocks(kept, asked, n, plan.asked, kind), k + 1, kind).join(kept.select("ids", "v"), "ids")
+    found: dict = {r.vec_id: (r.v, []) for r in asked.collect()}
+    for r in true.collect():
+        found[r["query"]][1].append(r)
+    found = {q: f for q, f in found.items() if f[1]}
+    near = [unit(np.array([r.v for r in rows])) for _, rows in found.values()]
+    places = forest.places(unit(np.array([v for v, _ in found.values()])), near)
+    need = []
+    for (q, (_, rows)), place in zip(found.items(), places, strict=True):
+        own = sorted((-r.score, i, int(p)) for r, p in zip(rows, place, strict=True) for i in r.ids if i != q)
+        need += [p for _, _, p in own[:k]]
+    if not need:
+        return None
+    probes = sorted(need)[max(0, ceil(plan.recall * len(need)) - 1)]
+    return probes if probes * plan.trees * plan.cost < len(forest.means) << forest.levels else None
+
+
+def search(table: DataFrame, is_query: Column, k: int = 5, plan: Plan | None = None, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The ``k`` nearest rows found for every row where ``is_query`` (over vec_id) holds.
+
+    query_id, rank (from 1), vec_id, score (cosine); the row itself is no candidate.
+    """
+    plan = plan or Plan()
+    rows = vectors(table, vec_id, vector)
+    kept = cut_lineage(distinct_vectors(rows, k + 1))
+    queries = cut_lineage(rows.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"]))
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    n, n_queries = kept.count(), queries.count()
+    forest = fit(kept, plan) if plan.probes is not None or n_queries > plan.asked else None
+    if forest and plan.probes is None:
+        forest.probes = leaves_needed(kept, queries, forest, n, k, kind)
+    if forest and forest.probes is not None:
+        both = in_leaves(kept, queries, forest, kind)
+    else:
+        both = in_blocks(kept, queries, n, n_queries, kind)
+    # the k + 1 best different vectors hold the k best rows: the query's own is one row of one of them
+    few = best_of(both, k + 1, kind)
     near = few.select("query", F.explode("ids").alias("vec_id"), "score").where("vec_id != query")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
