@@ -194,8 +194,9 @@ def dense_adjacency(t: Tables) -> DataFrame:
     w = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(r(F.col("n") / (F.col("n") + 100.0)))
     # a row of the matrix has one entry per nation
     row = F.map_from_entries(F.collect_list(F.struct("dst", "w")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda j: F.coalesce(F.element_at("_m", j), F.lit(0.0)))
-    return n.withColumn("w", w).groupBy("src").agg(row.alias("_m")).select("src", dense.alias("weights"))
+    last = t.supplier.agg(F.max("s_nationkey").cast("int").alias("_last"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda j: F.coalesce(F.element_at("_m", j), F.lit(0.0)))
+    return n.withColumn("w", w).groupBy("src").agg(row.alias("_m")).crossJoin(last).select("src", dense.alias("weights"))
 
 
 cte("dense_edges", f"""

@@ -46,7 +46,7 @@ def segment_store(t: Tables) -> DataFrame:
     d = segmented(t).withColumn("part", F.concat(F.lit("s"), F.col("segment").cast("string")))
     flow = d.select("city", tm.step_ts(F.col("step")).alias("ts"), "grid_id", "inflow", "outflow", "part")
     sinks.write_table(flow, base, ["part"])
-    d = src.read_segments(t.spark, {f"s{i}": f"{base}/part=s{i}" for i in range(4)})
+    d = src.read_segments(t.spark, src.segment_paths(t.spark, base, "part"))
     return d.groupBy("segment").agg(F.count("*").alias("n_rows"), F.countDistinct("ts").alias("n_steps"))
 
 

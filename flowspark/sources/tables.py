@@ -44,14 +44,20 @@ def view(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     return planned
 
 
+def segment_paths(spark: SparkSession, base: str, column: str) -> dict[str, str]:
+    """The folders of a table partitioned by ``column``, named by its values."""
+    names = spark.read.schema(f"{schemas.FLOW}, {column} STRING").parquet(base).select(column).distinct().collect()
+    return {n: f"{base}/{column}={n}" for n in sorted(r[0] for r in names)}
+
+
 def read_segments(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Yearly segments in one table with a ``segment`` column (SRC-01, S-01)."""
     parts = [
         spark.read.schema(schemas.FLOW).parquet(p).withColumn("segment", F.lit(name))
         for name, p in paths.items()
     ]
-    out = parts[0]
-    for p in parts[1:]:
+    out = spark.createDataFrame([], f"{schemas.FLOW}, segment STRING")
+    for p in parts:
         out = out.unionByName(p)
     return out
 

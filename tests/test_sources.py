@@ -1,9 +1,11 @@
 import tempfile
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from flowspark.functions.geo import GridSpec
+from flowspark.plans import catalog
 from flowspark.sources import sinks
 from flowspark.sources import tables as src
 
@@ -69,3 +71,27 @@ def test_sensor_splits(spark):
         spark.createDataFrame([(1, "2012-03-01 00:00:00", v, 0.0)], ["node_id", "t0_timestamp", "x_t+0_d0", "other"]).write.parquet(f"{base}/{s}")
     d = src.read_sensor_splits(spark, {s: f"{base}/{s}" for s in ("train", "test")})
     assert rows(d, "split", "value") == [("test", 2.0), ("train", 1.0)]
+
+
+@pytest.mark.parametrize("n", [0, 2, 6, 11])
+def test_segment_store_reads_all_segments(spark, monkeypatch, n):
+    catalog.load()
+    from flowspark.plans import q_sources
+
+    data = [("bj", 384 * i + j, 7, 1.0, 2.0, i) for i in range(n) for j in range(i + 1)]
+    made = spark.createDataFrame(data, "city string, step long, grid_id long, inflow double, outflow double, segment long")
+    monkeypatch.setattr(q_sources, "segmented", lambda t: made)
+    got = q_sources.segment_store(src.Tables(spark, "/nowhere"))
+    assert rows(got) == sorted((f"s{i}", i + 1, i + 1) for i in range(n))
+
+
+def test_dense_adjacency_has_all_nations(spark):
+    catalog.load()
+    from flowspark.plans import q_graphs
+
+    t = src.Tables(spark, "/nowhere")
+    t.plans |= {
+        "lineitem": spark.createDataFrame([(1, 1), (1, 2)], "l_orderkey long, l_suppkey long"), "orders": spark.createDataFrame([(1, 1)], "o_orderkey long, o_custkey long"),
+        "customer": spark.createDataFrame([(1, 30)], "c_custkey long, c_nationkey int"), "supplier": spark.createDataFrame([(1, 30), (2, 2)], "s_suppkey long, s_nationkey int"),
+    }
+    assert [r[:2] for r in rows(src.dense_to_edges(q_graphs.dense_adjacency(t)))] == [(30, 2), (30, 30)]
