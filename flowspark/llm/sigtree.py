@@ -437,11 +437,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     blocks = found.where("block IS NOT NULL").groupBy("block", "class", "n").agg(F.min("place").alias("place"))
 
     # the texts that any comparison needs, fetched once
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(blocks.select("class")).distinct()
-    one = wanted.join(classes.select("class", "first"), "class")
-    # rows of one id may have different texts: the class tells which is meant
-    texts = docs.join(one, docs["doc_id"].eqNullSafe(one["first"])).select("class", "text")
-    texts = cut_lineage(of_class(texts, words))
+    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(blocks.select("class")).distinct())
+    firsts = wanted.join(classes.select("class", "first"), "class").select("first").distinct()
+    # rows of one id may have different texts: each row goes on once, with its own class
+    own_class = of_class(docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["first"]), "left_semi"), words)
+    texts = cut_lineage(own_class.join(wanted, "class", "left_semi"))
 
     links = cut_lineage(links_of(pairs, texts, words, num, den))
     roots = cut_lineage(components(links))
@@ -456,12 +456,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 
 def of_class(texts: DataFrame, words: int) -> DataFrame:
-    """One text per class: rows whose text is of another class than asked for go."""
+    """Class and text, one text per class; texts without words go."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            asked = b.column(0).to_pylist()
-            good = [len(s) > 0 and class_of(s) == c for c, s in zip(asked, sets(b.column(1).to_pylist(), words), strict=True)]
-            yield b.filter(pa.array(good, pa.bool_()))
+            name = pa.array([class_of(s) if len(s) else None for s in sets(b.column(0).to_pylist(), words)], pa.int64())
+            yield pa.RecordBatch.from_arrays([name, b.column(0)], ["class", "text"]).filter(name.is_valid())
 
-    return texts.select("class", "text").mapInArrow(run, "class long, text string").dropDuplicates(["class"])
+    return texts.select("text").mapInArrow(run, "class long, text string").dropDuplicates(["class"])

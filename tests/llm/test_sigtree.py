@@ -117,3 +117,19 @@ def test_traversal_loses_no_pair():
             both = len(np.intersect1d(found[i], found[j]))
             if label[i] != label[j] and 100 * both >= 80 * (n[i] + n[j] - both):
                 assert (j, i) in got
+
+
+def test_a_row_meets_its_own_class_only(spark, monkeypatch):
+    """Rows that share an id or have none: each of their texts is looked at once, not once a class."""
+    rows = [(i, f"a{i} b c d e f g h i j k l m n o p q r s t") for i in [None, 7] for _ in range(40)]
+    rows = [(i, f"{t} u{j}") for j, (i, t) in enumerate(rows)]
+    seen, of_class = [], sigtree.of_class
+
+    def counted(texts, words):
+        seen.append(texts.count())
+        return of_class(texts, words)
+
+    monkeypatch.setattr(sigtree, "of_class", counted)
+    got = sigtree.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 60, 100).collect()
+    assert seen == [80]
+    assert sorted(map(tuple, got), key=str) == brute(rows, 5, 60, 100)
