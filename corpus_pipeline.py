@@ -42,14 +42,15 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by five-word shingles at 0.8 or more.
+    """The row with the smallest id of each group linked by five-word shingles at 0.8 or more.
 
-    Rows of one id stay or go together; a row without id goes only if it is linked to one with id.
+    Each row is judged by its own text: rows without id come after those with one, and of rows with
+    one id, or without, one stays by an order of their texts. Rows equal in id and text are left to
+    the stage before. Texts without words are linked with nothing and stay.
     """
     prepare(spark)
-    found = sigtree.near_duplicates(docs, words=5, num=80, den=100)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    stay = sigtree.representatives(docs, words=5, num=80, den=100).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (F.xxhash64(docs["text"]) == stay["_hash"]), "left_semi")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def cells_of(s: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of documents (doc_id, n, class, sig) and, with ``row`` set, rows of the sketch (row, cells)."""
+    """Rows of documents (doc_id, hash of the text, n, class, sig) and, with ``row`` set, rows of the sketch (row, cells)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,14 +76,14 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
                     sig.append(signature(s) if len(s) else None)
                     np.add.at(sketch, cells_of(s), np.uint32(1))
                 size = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
         rows = [r for r in range(CELLS // CELL_ROW) if sketch[r * CELL_ROW : (r + 1) * CELL_ROW].any()]
         cells = [sketch[r * CELL_ROW : (r + 1) * CELL_ROW].tobytes() for r in rows]
         size = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.nulls(size, id_type), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.array(rows, pa.int32()), pa.array(cells, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(size, id_type), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.array(rows, pa.int32()), pa.array(cells, pa.binary())], names)
 
-    names = ["doc_id", "n", "class", "sig", "row", "cells"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, class long, sig binary, row int, cells binary")
+    names = ["doc_id", "hash", "n", "class", "sig", "row", "cells"]
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, hash long, n long, class long, sig binary, row int, cells binary")
 
 
 def merged_sketch(profile: DataFrame) -> np.ndarray:
@@ -423,9 +423,26 @@ def open_pairs(blocks: DataFrame, roots: DataFrame, classes: DataFrame, num: int
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    own, named = linked(docs, words, num, den, doc_id, text)
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    names = named.join(lowest, "root").select("class", "component_id")
+    return own.join(names, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and hash (xxhash64 of the text) of what stays: of each component the row with the
+    smallest id, nulls last, then class and hash; and every row without a class, as it has no links."""
+    own, named = linked(docs, words, num, den, doc_id, text)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "class", "hash")
+    best = own.where("class IS NOT NULL").join(named.select("class", "root"), "class").groupBy("root").agg(F.min(place).alias("p"))
+    return best.select("p.doc_id", "p.hash").unionByName(own.where("class IS NULL").select("doc_id", "hash").distinct())
+
+
+def linked(docs: DataFrame, words: int, num: int, den: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, hash, n, class, sig), and the classes with their first id and component's root."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     profile = cut_lineage(profiles(docs, words))
-    own = profile.where("row IS NULL").select("doc_id", "n", "class", "sig")
+    own = profile.where("row IS NULL").select("doc_id", "hash", "n", "class", "sig")
     classes = cut_lineage(
         own.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     )
@@ -449,10 +466,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     if not rest.isEmpty():
         links = links.unionByName(cut_lineage(links_of(rest, texts, words, num, den)))
         roots = cut_lineage(components(links))
-    named = classes.join(roots, "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = named.join(lowest, "root").select("class", "component_id")
-    return own.join(names, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return own, classes.join(roots, "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
 
 
 def of_class(texts: DataFrame, words: int) -> DataFrame:

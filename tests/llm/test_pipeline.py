@@ -86,6 +86,20 @@ def step(spark, stage, docs, want):
     return out
 
 
+def test_near_copies_without_or_with_repeated_ids(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[0] + " x"), (None, texts[0] + " y")]  # near copies that all lack an id
+    rows += [(None, texts[1]), (None, None), (None, "")]  # without links
+    rows += [(4, texts[2]), (None, texts[2] + " x")]  # linked to a row with id
+    rows += [(1, texts[3]), (6, texts[3] + " x"), (6, texts[4])]  # one id: a linked row and an unlinked one
+    rows += [(8, texts[5]), (8, texts[5] + " x")]  # near copies of one id
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, FOLDER).collect()]
+    assert len(got) == 8 and set(got) <= set(rows)
+    assert {(4, texts[2]), (1, texts[3]), (6, texts[4]), (None, texts[1]), (None, None), (None, "")} <= set(got)
+    assert [i for i, t in got if t and t.startswith("a0 ")] == [None] and [i for i, t in got if t and t.startswith("f0 ")] == [8]
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
