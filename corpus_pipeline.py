@@ -18,19 +18,29 @@ LEAST_QUALITY_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is told with some certainty; those without a letter go."""
+    """Documents in a language that is told with some certainty; those without a letter go.
+
+    Where no document can be learned from, all with a letter stay.
+    """
     prepare(spark)
     net = langid.fit(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"), 4, 2)))
+    if net is None:
+        return docs.where(langid.lettered(F.col("text")).isNotNull())
     told = langid.predictor(net)(F.col("text"))
     kept = docs.withColumn("_told", told).where((F.col("_told.lang_pred") != langid.UNKNOWN) & (F.col("_told.score") >= LEAST_LANGUAGE_SCORE))
     return kept.select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a sufficient quality score; learned from labelled documents not held out."""
+    """Documents with a sufficient quality score; learned from labelled documents not held out.
+
+    Where these do not have both labels there is nothing to tell them apart by, and all stay.
+    """
     prepare(spark)
     learned = docs.where(~langid.held_out(F.col("doc_id"), 5, 0))
     model = quality.fit(quality.features(learned), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model.only is not None:
+        return docs
     kept = docs.withColumn("_score", quality.scorer(model)(F.col("text"))).where(F.col("_score") >= LEAST_QUALITY_SCORE)
     return kept.select(*docs.columns)
 

@@ -100,6 +100,16 @@ def test_near_copies_without_or_with_repeated_ids(spark):
     assert [i for i, t in got if t and t.startswith("a0 ")] == [None] and [i for i, t in got if t and t.startswith("f0 ")] == [8]
 
 
+def test_stages_without_a_model(spark, tmp_path):
+    texts = ["some words", "mots", "12 34 !!", "", None]
+    for docs in ([(i, t, None) for i, t in enumerate(texts)], [(None, t, "en") for t in texts]):
+        docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+        assert sorted(r.text for r in corpus_pipeline.language(spark, docs, FOLDER).collect()) == ["mots", "some words"]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.good_quality(spark, docs, str(tmp_path)).count() == 20
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
