@@ -1,6 +1,8 @@
 """Registered queries against their SQL. A spread of them by default; all with FLOWSPARK_ALL=1."""
 
 import os
+import re
+import shutil
 import subprocess
 import sys
 
@@ -54,3 +56,24 @@ for name in ("anomaly_components", "cosine_knn", "order_selection"):
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert run.returncode == 0, run.stderr[-2000:]
     assert all(int(line.split()[1]) > 0 for line in run.stdout.splitlines())
+
+
+def test_entry_without_the_llm_part(tmp_path):
+    """A copy without the llm folders imports and has all other queries, whether or not the pipeline's file is there."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", "tests", ".pytest_cache"))
+    others = {n for n in entry.queries() if n != "pipeline" and not re.match(r"op\d", n)}
+    code = "import sys; sys.path.insert(0, '.'); import __spark_entry__ as e; e.oracle_sql(); print(*e.queries())"
+    for _ in range(2):
+        run = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+        assert run.returncode == 0, run.stderr[-2000:]
+        assert others <= set(run.stdout.split()) and "pipeline" not in run.stdout.split()
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_entry_lets_other_missing_modules_through(tmp_path, monkeypatch):
+    (tmp_path / "corpus_pipeline_broken.py").write_text("import no_such_module_here")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with pytest.raises(ModuleNotFoundError):
+        entry.optional("corpus_pipeline_broken")
