@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import ann, chat, dedup, idfiles, langid, packing, pieces, quality, sigtree, warc
+from flowspark.llm import ann, audit, chat, dedup, idfiles, langid, packing, pieces, quality, sigtree, urlwords, vantage, warc
 from flowspark.session import cut_lineage, fresh_dir, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,85 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve(page_records(table(spark, sf_dir, "pages")))
     lines = F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
     return found.withColumn("headers", F.concat_ws("\n", lines))
+
+
+CLUSTERS, ROUNDS, SEED, DIMS, SCALE = 8, 10, 3, 64, 1024
+
+
+def centroid_sql() -> str:
+    """Rounds written out: the SQL has no loop that can group."""
+    parts = [f"""e AS (SELECT vec_id, embedding AS x FROM embeddings WHERE len(embedding) = {DIMS}
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c::DOUBLE))) = 0)""",
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(x, lambda c: floor({SCALE} * c::DOUBLE)::BIGINT) AS v FROM e)",
+        f"""m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM
+      (SELECT v, sha256('{SEED}:' || vec_id) AS h FROM v ORDER BY h LIMIT {CLUSTERS}))"""]
+    for i in range(ROUNDS + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+      SELECT v.vec_id, v.v, m.c, list_sum(list_transform(list_zip(v.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, m{i} m) GROUP BY vec_id, v)""")
+        if i < ROUNDS:
+            parts.append(f"""m{i + 1} AS MATERIALIZED (SELECT m.c, coalesce(t.v, m.v) AS v FROM m{i} m LEFT JOIN (
+      SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS v FROM (
+        SELECT c, k, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM a{i}) GROUP BY c, k) GROUP BY c) t ON t.c = m.c)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT a.vec_id, a.c::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m.v, ',')) AS centroid_sha256 FROM a{ROUNDS} a JOIN m{ROUNDS} m ON m.c = a.c"""
+
+
+@query(centroid_sql())
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, found = vantage.cluster(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, SEED, DIMS, SCALE)
+    rows = found.collect()  # one row a centroid
+    total = sum(r.cluster_inertia for r in rows)
+    told = spark.createDataFrame([(r.cluster, r.cluster_inertia, total, vantage.digest(r.centroid)) for r in rows], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return members.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def found_sql(terms: list[str]) -> str:
+    """How many of the terms stand alone in u."""
+    return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::INT" for t in terms)
+
+
+@query(f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+u AS (SELECT page_id, translate(url, '{urlwords.UPPER}', '{urlwords.LOWER}') AS u,
+  translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urlwords.UPPER}', '{urlwords.LOWER}') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM p),
+h AS (SELECT *, {found_sql(urlwords.STRICT)} AS strict, {found_sql(urlwords.SOFT)} AS soft FROM u),
+r(own, starts, rule, told) AS (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'),
+  ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(told, length(rule)) AS told FROM h JOIN r
+  ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, starts) GROUP BY page_id)
+SELECT h.page_id, host, path, rule, coalesce(told, CASE WHEN strict > 0 OR soft > 1 THEN 'block' ELSE 'allow' END) AS verdict,
+  strict AS n_strict, soft AS n_soft FROM h LEFT JOIN f ON f.page_id = h.page_id
+""")
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlwords.judge(table(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.size("strict_terms").alias("n_strict"), F.size("soft_terms").alias("n_soft"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 100)::INT
+    + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > least)::INT AS mask FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+b(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.f || b2.f || c2.f || d2.f || e2.f AS filter_order, [a.bit, b2.bit, c2.bit, d2.bit, e2.bit] AS bits
+  FROM b a, b b2, b c2, b d2, b e2 WHERE a.bit + b2.bit + c2.bit + d2.bit + e2.bit = 31 AND len(list_distinct([a.f, b2.f, c2.f, d2.f, e2.f])) = 5),
+s AS (SELECT filter_order, step, bits[step]::INT AS own, coalesce(list_sum(bits[:step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step::INT AS step, own,
+  coalesce(sum(n) FILTER ((mask & (own | before)) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & before) = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & before) <> 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & before) = 0 AND good), 0)::BIGINT AS good_lost,
+  coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & before) = 0 AND toxic), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
