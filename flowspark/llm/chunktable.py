@@ -1,7 +1,8 @@
 """Distinct-chunk tables: each distinct chunk of a text is encoded once, ids join back by position.
 
 A chunk is a stretch of text whose ends no token crosses, so encoding chunks one by one gives
-exactly the ids of the whole text. The tables live in a Python worker and are bounded; they only
+exactly the ids of the whole text. The tables live in a Python worker and are bounded: each has two
+generations, a full one is kept to be read while the next is filled, and what is read moves on with it. They only
 save work, results never depend on what they hold.
 """
 
@@ -13,12 +14,14 @@ import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import compress, pairwise, repeat
+from operator import is_
 
 import numpy as np
 
-MAX_CHUNKS = 600_000
-MAX_CHARS = 12_000_000
+MAX_CHUNKS = 300_000  # of one generation of a table
+MAX_CHARS = 6_000_000
+SPLIT = object()  # value of a chunk that cannot stand alone
 
 
 def packed(ids: list[int]) -> bytes:
@@ -35,7 +38,7 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(rest)}
 
 
-def runs(texts: Iterable[str], most: int = 2_000_000) -> Iterator[list[str]]:
+def runs(texts: Iterable[str], most: int = 400_000) -> Iterator[list[str]]:
     """The texts in runs of about ``most`` characters, at least one text each."""
     run: list[str] = []
     size = 0
@@ -49,27 +52,41 @@ def runs(texts: Iterable[str], most: int = 2_000_000) -> Iterator[list[str]]:
         yield run
 
 
-class ChunkTable(dict):
+class ChunkTable:
     """chunk -> packed ids, filled by ``encode`` for many chunks at a time."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes | None]]):
-        super().__init__()
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes | object]]):
         self.encode = encode
+        self.now: dict[str, bytes | object] = {}
+        self.before: dict[str, bytes | object] = {}
         self.chars = 0
 
-    def cover(self, texts: list[list[str]]) -> None:
-        """Encode every chunk of the texts that the table lacks."""
-        new: set[str] = set()
-        for chunks in texts:
-            new.update(filterfalse(self.__contains__, chunks))
-        if len(self) + len(new) > MAX_CHUNKS or self.chars > MAX_CHARS:
-            self.clear()
-            self.chars = 0
-            for chunks in texts:
-                new.update(chunks)
-        order = list(new)
-        self.update(zip(order, self.encode(order), strict=True))
-        self.chars += sum(map(len, order))
+    def lookup(self, keys: list[str]) -> list:
+        """The value of every key; those that the table lacks are encoded together."""
+        values = list(map(self.now.get, keys))
+        at = list(compress(range(len(keys)), map(is_, values, repeat(None))))
+        if at:
+            lacking = dict.fromkeys([keys[i] for i in at])
+            found = {k: v for k in lacking if (v := self.before.get(k)) is not None}
+            fresh = [k for k in lacking if k not in found]
+            found.update(zip(fresh, self.encode(fresh), strict=True))
+            for i in at:
+                values[i] = found[keys[i]]
+            chars = sum(map(len, found))
+            if len(self.now) + len(found) > MAX_CHUNKS or self.chars + chars > MAX_CHARS:
+                self.now, self.before, self.chars = {}, self.now, 0
+            self.now.update(found)
+            self.chars += chars
+        return values
+
+
+def spans(lists: Iterable[list[str]], into: list[str]) -> list[int]:
+    """Put the lists one after the other ``into`` a list; where each begins, and the end."""
+    edges = [0]
+    for x in lists:
+        into += x
+        edges.append(len(into))
+    return edges
 
 
 class Chunked:
@@ -79,23 +96,22 @@ class Chunked:
         self.by_space = ChunkTable(self._checked)
         self.by_rule = ChunkTable(self.values)
 
-    def _checked(self, keys: list[str]) -> list[bytes | None]:
+    def _checked(self, keys: list[str]) -> list[bytes | object]:
         good = list(filter(self.alone, keys))
         found = dict(zip(good, self.values(good), strict=True))
-        return [found.get(k) for k in keys]
+        return [found.get(k, SPLIT) for k in keys]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Packed ids of each text, in order."""
         for run in runs(texts):
-            cut = [self.cut(t) for t in run]
-            self.by_space.cover(cut)
-            for text, chunks in zip(run, cut, strict=True):
+            chunks: list[str] = []
+            edges = spans(map(self.cut, run), chunks)
+            values = self.by_space.lookup(chunks)
+            for text, (a, b) in zip(run, pairwise(edges), strict=True):
                 try:
-                    yield b"".join(map(self.by_space.__getitem__, chunks))
-                except TypeError:  # None: a chunk that cannot stand alone
-                    chunks = self.recut(text)
-                    self.by_rule.cover([chunks])
-                    yield b"".join(map(self.by_rule.__getitem__, chunks))
+                    yield b"".join(values[a:b])
+                except TypeError:  # a chunk that cannot stand alone
+                    yield b"".join(self.by_rule.lookup(self.recut(text)))
 
     def cut(self, text: str) -> list[str]:
         return text.split(" ")
@@ -115,12 +131,15 @@ class Chunked:
 class WordBpe(Chunked):
     """Lower-case BPE with word ends that drops white space: a text may be cut at every space.
 
-    Most new chunks are one word of Latin letters with marks behind it. The vocabulary's pattern
-    splits such a chunk into the word and the run of marks, so the library's model gets these two
-    without the pass over pattern and offsets. Every other chunk goes through the whole library.
+    The vocabulary's pattern goes on to cut a chunk into words, digits and runs of marks, which are
+    encoded one by one. For chunks of common letters and marks that cut is made here, so that a word
+    is encoded once whatever marks it is met with; every other chunk goes through the whole library.
     """
 
-    simple = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+    # The letters, digits, marks and endings that the vocabulary's pattern knows.
+    common = re.compile("[\t\n\r -@\\[-~\u00df-\u00f6\u00f8-\u00ff]+")
+    no_space = re.compile("[\x1c-\x1f]")  # white space to Python only
+    part = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")
     letters = byte_letters()
 
     def __init__(self, path: str):
@@ -129,39 +148,31 @@ class WordBpe(Chunked):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.parts = ChunkTable(lambda keys: map(self.word, keys))
 
     def cut(self, text: str) -> list[str]:
         if "<|" not in text:  # not a special token, which is matched before letters are folded
             try:
                 text.encode("latin-1")  # among these characters, lower case and composition commute
+                if self.no_space.search(text) is None:
+                    return text.lower().split()
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
         return text.split(" ")
 
     def word(self, word: str) -> bytes:
-        v = self.by_space.get(word)
-        if v is None:
-            text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            v = packed([t.id for t in self.model.tokenize(text)])
-        return v
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.model.tokenize(text)])
 
     def values(self, keys: list[str]) -> list[bytes]:
-        marks: dict[str, bytes] = {"": b""}
-        out: list[bytes | None] = []
-        rest = []
-        for k in keys:
-            m = self.simple.fullmatch(k)
-            if m is None:
-                rest.append(k)
-                out.append(None)
-                continue
-            word, mark = m.groups()
-            if mark not in marks:
-                marks[mark] = packed([t.id for t in self.model.tokenize(mark)])
-            out.append(self.word(word) + marks[mark])
-        found = iter(self.whole.encode_batch_fast(rest, add_special_tokens=False))
-        return [packed(next(found).ids) if v is None else v for v in out]
+        plain = [self.common.fullmatch(k) is not None and "<|" not in k for k in keys]
+        parts: list[str] = []
+        edges = spans(map(self.part.findall, compress(keys, plain)), parts)
+        values = self.parts.lookup(parts)
+        own = (b"".join(values[a:b]) for a, b in pairwise(edges))
+        rest = iter(self.whole.encode_batch_fast([k for k, p in zip(keys, plain, strict=True) if not p], add_special_tokens=False))
+        return [next(own) if p else packed(next(rest).ids) for p in plain]
 
 
 class PieceBpe(Chunked):
