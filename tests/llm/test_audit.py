@@ -74,7 +74,7 @@ def test_equals_brute_force(spark, tmp_path, batches):
     rows, said = table()
     write(spark, rows, f"{tmp_path}/d.parquet", 40)
     labels = spark.createDataFrame([(i, q, int(t) if t is not None else None) for i, q, t in said], SAID)
-    got = told(audit.audit(spark, f"{tmp_path}/d.parquet", labels, audit.Plan(batches=batches, fold=7), f"{tmp_path}/job"))
+    got = told(audit.audit(spark, f"{tmp_path}/d.parquet", labels, audit.Plan(batches=batches), f"{tmp_path}/job"))
     assert got == brute(rows, said)
     assert len(got) == 4 * 600
 
@@ -92,12 +92,34 @@ def test_a_later_run_retracts(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/changes").where("n < 0").count() > 0
 
 
-def test_hot_text_is_folded_before_the_shuffle(spark, tmp_path):
-    spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/d.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/d.parquet")
-    labels = spark.createDataFrame([], SAID)
-    rows = audit.labelled(audit.masked(docs, None, "doc_id", "text", "lang"), labels, 4, "doc_id")
-    assert rows.mapInArrow(*audit.folded("bigint", 100)).count() <= rows.rdd.getNumPartitions()
+def test_a_lost_batch_is_run_again(spark, tmp_path, monkeypatch):
+    """A micro-batch that fails after its rows and state are written, and its job is started again."""
+    rows, said = table()
+    labels = spark.createDataFrame([(i, q, int(t) if t is not None else None) for i, q, t in said], SAID)
+    write(spark, rows, f"{tmp_path}/d.parquet", 40)
+    whole, calls = audit.corrections, []
+
+    def lost(changed, copy_bit):
+        calls.append(changed.count())
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return whole(changed, copy_bit)
+
+    monkeypatch.setattr(audit, "corrections", lost)
+    with pytest.raises(Exception, match="lost"):
+        audit.audit(spark, f"{tmp_path}/d.parquet", labels, audit.Plan(batches=5), f"{tmp_path}/job")
+    got = audit.audit(spark, f"{tmp_path}/d.parquet", labels, audit.Plan(batches=5), f"{tmp_path}/job")
+    assert told(got) == brute(rows, said) and len(calls) == 6
+
+
+def test_hot_text_and_ids_are_added_up_before_the_shuffle(spark):
+    for doc in (F.col("id"), F.lit(None).cast("long"), F.lit(5).cast("long")):
+        docs = spark.range(20_000).select(doc.alias("doc_id"), F.lit("one text").alias("text"), F.lit("en").alias("lang"))
+        rows = audit.masked(docs, audit.text_filters(), "doc_id", "text", "lang").withColumns({"good": F.lit(False), "toxic": F.lit(False)})
+        got = audit.holders(rows).collect()
+        assert len(got) == 1 and sum(p.n for p in got[0].own) == (1 if "id" in doc._jc.toString() else 20_000)
+    plan = audit.holders(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 3 and plan.count("partial_") >= 3
 
 
 def test_empty_table(spark, tmp_path):
