@@ -1,39 +1,52 @@
 """Exact nearest neighbours by cosine and Pearson correlation (J-12, J-13, T-01, T-02, G-04).
 
-Nodes are cut into blocks of bounded size. A task multiplies two blocks and keeps the best k
-per node, so pairs are never rows; blocks are filled by id, so copies and hot groups spread.
+Vectors are gathered around pivots into blocks of bounded size. A block is first compared with
+itself; once its rows have k neighbours there, angles tell which other blocks can hold a nearer one:
+all members of a cluster lie within its angular radius of the pivot, so none is nearer to a row than
+the row's angle to the pivot less that radius. Only such pairs of blocks are multiplied, and a task
+keeps the best k per node, so pairs are never rows. The result is the same as over all block pairs.
+
+A correlation of series is a cosine as well, but of long vectors. A few Fourier coefficients of each
+series bound it from above, so the same search over these short vectors leaves few pairs, and only those
+are summed over time.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.functions.time import SLOTS_PER_DAY
 from flowspark.operators.series import CHUNK
+from flowspark.session import cut_lineage
 
 DIGITS = 9  # weights are rounded here, so ties are broken by id and not by noise
+UNIT = 1e-7  # by which a unit vector's length may differ from 1
+SLACK = 1e-6  # by which bounds on weights are raised: rounding, and lengths that differ from 1
+PIVOTS = 1024  # at most: they and their radii travel to every task
+SAMPLE = 8  # rows per pivot that the pivots are chosen from
+_EDGE = "src long, dst long, weight double"
 
 
-def _best(sim: np.ndarray, src: np.ndarray, dst: np.ndarray, k: int | None, least: float | None):
-    """Rows of the result for one block pair: top k per row, or all above ``least``."""
+def _best(sim: np.ndarray, src: np.ndarray, dst: np.ndarray, k: int | None, least: np.ndarray):
+    """Rows of the result for one block pair: of each row those of ``least`` or more, the top k if there is a k."""
     sim = np.round(sim, DIGITS)
     sim[src[:, None] == dst[None, :]] = -np.inf
-    if k is None:
-        r, c = np.nonzero(sim > least)
-    else:
-        k = min(k, sim.shape[1])
-        rank = np.lexsort((np.broadcast_to(dst, sim.shape), -sim), axis=1)[:, :k]
-        r, c = np.repeat(np.arange(len(src)), k), rank.ravel()
+    r, c = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
     w = sim[r, c]
-    keep = np.isfinite(w)
-    return pd.DataFrame({"src": src[r][keep], "dst": dst[c][keep], "weight": w[keep]})
-
-
-_EDGE = "src long, dst long, weight double"
+    if k is not None:
+        order = np.lexsort((dst[c], -w, r))
+        r, c, w = r[order], c[order], w[order]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c, w = r[nth < k], c[nth < k], w[nth < k]
+    return pd.DataFrame({"src": src[r], "dst": dst[c], "weight": w})
 
 
 def _top_k(edges: DataFrame, k: int | None) -> DataFrame:
@@ -43,105 +56,300 @@ def _top_k(edges: DataFrame, k: int | None) -> DataFrame:
     return edges.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def cosine_neighbours(
-    vectors: DataFrame,
-    k: int | None = 10,
-    least: float | None = None,
-    block_rows: int = 1024,
-) -> DataFrame:
-    """(src, dst, weight) by cosine of ``vec`` per ``id``: the k nearest, or all above ``least``.
+@dataclass
+class Blocks:
+    """Rows (id, unit, least) in blocks around pivots.
 
-    Vectors are divided by their norm + 1e-8. Ties go to the smaller id. A task multiplies
-    one pair of blocks.
+    ``rows`` has one row per block: b, c (cluster), ids, flat (the unit vectors one after the other)
+    and least (per row: the weight that a neighbour must reach). ``radius`` is each cluster's angular
+    radius, ``first`` its first block. The last cluster has no pivot: it holds the rows that are no unit
+    vectors, which meet all others.
     """
-    spark = vectors.sparkSession
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)) + 1e-8
-    unit = vectors.select(F.col("id").cast("long").alias("id"), norm.alias("_n"), "vec").select(
-        "id", F.transform("vec", lambda x: x / F.col("_n")).alias("unit")
-    )
-    n = unit.count()
+
+    rows: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    count: int
+
+
+def _pivots(rows: DataFrame, wanted: int) -> np.ndarray:
+    """Pivots from a bounded sample of the rows, moved to the means of those nearest to them."""
+    taken = rows.orderBy(F.xxhash64("id"), "id").limit(wanted * SAMPLE).select("unit").collect()
+    x = np.array([r.unit for r in taken])
+    x = np.unique(x[~_short(x)], axis=0)
+    if not len(x):
+        return np.eye(1, len(taken[0].unit))
+    p = x[:: max(1, len(x) // wanted)][:wanted]
+    for _ in range(5):
+        near = (x @ p.T).argmax(1)
+        sums = np.zeros_like(p)
+        np.add.at(sums, near, x)
+        length = np.linalg.norm(sums, axis=1)
+        p = np.where(length[:, None] > 1e-9, sums / np.maximum(length, 1e-9)[:, None], p)
+    used = np.bincount((x @ p.T).argmax(1), minlength=len(p)) >= min(3, len(x))
+    return p[used] if used.any() else p[:1]
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    return np.abs(np.linalg.norm(x, axis=1) - 1) > UNIT
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    length = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return np.arccos(np.clip(x / length @ pivots.T, -1, 1))
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def in_blocks(rows: DataFrame, block_rows: int) -> Blocks:
+    """Put rows (id, unit, least) into blocks of about ``block_rows`` around pivots."""
+    spark = rows.sparkSession
+    rows = cut_lineage(rows)
+    n = rows.count()
+    if n == 0:
+        none = rows.select(F.lit(0).alias("b"), F.lit(0).alias("c"), F.array("id").alias("ids"), F.col("unit").alias("flat"), F.array("least").alias("least"))
+        return Blocks(none, np.zeros((0, 1)), np.zeros(0), np.zeros(2, int), 0)
     spread = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
-    n_blocks = max(1, math.ceil(n / block_rows), min(spread, n // 64))
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    blocks = unit.groupBy(block.alias("b")).agg(F.sort_array(F.collect_list(F.struct("id", "unit"))).alias("m"))
-    blocks = blocks.select("b", F.col("m.id").alias("ids"), F.flatten("m.unit").alias("flat"))
-    left = blocks.select(
-        F.col("b").alias("i"), F.col("ids").alias("ids_i"), F.col("flat").alias("flat_i"),
-        F.explode(F.sequence(F.col("b"), F.lit(n_blocks - 1))).alias("j"),
+    wanted = max(1, math.ceil(n / block_rows), min(spread, n // 64))
+    pivots = _pivots(rows, min(PIVOTS, wanted))
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(1))
+                angle = _angles(x, pivots)
+                c = angle.argmin(1)
+                far = angle[np.arange(len(c)), c]
+                c[_short(x)] = len(pivots)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c, pa.int32()), pa.array(far)], ["id", "unit", "least", "c", "far"])
+
+    placed = rows.mapInArrow(place, "id long, unit array<double>, least double, c int, far double")
+    size, radius = np.zeros(len(pivots) + 1, int), np.zeros(len(pivots) + 1)
+    for r in placed.groupBy("c").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # one row a pivot
+        size[r.c], radius[r.c] = r.n, r.far
+    target = max(1, min(block_rows, math.ceil(n / wanted)))
+    blocks = np.ceil(size / target).astype(int)
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    own = spark.createDataFrame([(c, int(first[c]), int(blocks[c])) for c in np.flatnonzero(blocks).tolist()], "c int, first int, blocks int")
+    b = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
+    member = F.struct("id", "unit", "least")
+    packed = placed.join(own, "c").groupBy(b.alias("b"), "c").agg(F.sort_array(F.collect_list(member)).alias("m"))
+    packed = packed.select("b", "c", F.col("m.id").alias("ids"), F.flatten("m.unit").alias("flat"), F.col("m.least").alias("least"))
+    return Blocks(packed, pivots, radius[:-1], first, int(first[-1]))
+
+
+def _rows_of(batches: Iterable[pd.DataFrame], *names: str):
+    """Blocks one by one: numpy ids, matrix and least of each name's columns."""
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            out = []
+            for s in names:
+                ids = np.asarray(getattr(r, f"ids{s}"), np.int64)
+                out.append((ids, np.asarray(getattr(r, f"flat{s}")).reshape(len(ids), -1), np.asarray(getattr(r, f"least{s}"), float)))
+            yield r, out
+
+
+def within_blocks(blocks: Blocks, k: int) -> DataFrame:
+    """The same blocks, with ``least`` raised to the weight of each row's k-th neighbour in its own block."""
+
+    def run(batches):
+        for r, [(ids, x, least)] in _rows_of(batches, ""):
+            sim = np.round(x @ x.T, DIGITS)
+            sim[ids[:, None] == ids[None, :]] = -np.inf
+            if len(ids) >= k:
+                kth = np.partition(sim, len(ids) - k, axis=1)[:, len(ids) - k]
+                least = np.maximum(least, kth)
+            yield pd.DataFrame({"b": [r.b], "c": [r.c], "ids": [ids], "flat": [x.ravel()], "least": [least]})
+
+    return blocks.rows.mapInPandas(run, "b int, c int, ids array<long>, flat array<double>, least array<double>")
+
+
+def needed_pairs(blocks: Blocks) -> DataFrame:
+    """(i, j, there, back), i <= j: the pairs of blocks that must be multiplied, and for whose rows."""
+    pivots, radius, first = blocks.pivots, blocks.radius, blocks.first
+
+    def run(batches):
+        for r, [(ids, x, least)] in _rows_of(batches, ""):
+            most = np.ones((len(ids), len(first) - 1))
+            most[:, : len(pivots)] = np.cos(np.maximum(_angles(x, pivots) - radius - 1e-7, 0))
+            most[_short(x)] = 1
+            need = np.flatnonzero((most >= least[:, None] - SLACK).any(0))
+            j = np.concatenate([np.arange(first[c], first[c + 1]) for c in need] or [np.zeros(0, int)])
+            yield pd.DataFrame({"i": np.minimum(j, r.b), "j": np.maximum(j, r.b), "there": j >= r.b, "back": j <= r.b}).astype({"i": "int32", "j": "int32"})
+
+    found = blocks.rows.mapInPandas(run, "i int, j int, there boolean, back boolean")
+    return found.groupBy("i", "j").agg(F.max("there").alias("there"), F.max("back").alias("back"))
+
+
+def multiplied(blocks: Blocks, pairs: DataFrame, k: int | None) -> DataFrame:
+    """Edges of the pairs of blocks: those of ``least`` or more, the k best of each row and block pair."""
+    side = lambda s: blocks.rows.select(F.col("b").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "flat", "least")])
+    many = min(blocks.count * (blocks.count + 1) // 2, max(64, 4 * blocks.count), 20_000)
+    joined = pairs.join(side("i"), "i").join(side("j"), "j").repartition(max(1, many), "i", "j")
+
+    def run(batches):
+        for r, [(a_ids, a, a_least), (b_ids, b, b_least)] in _rows_of(batches, "_i", "_j"):
+            sim = a @ b.T
+            if r.there:
+                yield _best(sim.copy(), a_ids, b_ids, k, a_least)
+            if r.back and r.i != r.j:
+                yield _best(sim.T.copy(), b_ids, a_ids, k, b_least)
+
+    return joined.mapInPandas(run, _EDGE)
+
+
+def search(rows: DataFrame, k: int | None, block_rows: int) -> tuple[DataFrame, Blocks, DataFrame]:
+    """Edges (src, dst, weight) of rows (id, unit, least), the blocks, and the pairs of blocks multiplied."""
+    blocks = in_blocks(rows, block_rows)
+    if k is not None:
+        blocks.rows = within_blocks(blocks, k)
+    blocks.rows = cut_lineage(blocks.rows)
+    pairs = needed_pairs(blocks)
+    return _top_k(multiplied(blocks, pairs, k), k), blocks, pairs
+
+
+def unit_rows(vectors: DataFrame, least: float | None = None) -> DataFrame:
+    """(id, unit, least): vectors divided by their norm + 1e-8."""
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)) + 1e-8
+    # weights are rounded: more than ``least`` is the next weight or more
+    bound = F.lit(float("-inf") if least is None else math.nextafter(least, math.inf))
+    return vectors.select(F.col("id").cast("long").alias("id"), norm.alias("_n"), "vec").select(
+        "id", F.transform("vec", lambda x: x / F.col("_n")).alias("unit"), bound.alias("least")
     )
-    right = blocks.select(F.col("b").alias("j"), F.col("ids").alias("ids_j"), F.col("flat").alias("flat_j"))
-    pairs = left.join(right, "j").repartition(n_blocks * (n_blocks + 1) // 2, "i", "j")
 
-    def multiply(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                a_ids, b_ids = np.asarray(r.ids_i), np.asarray(r.ids_j)
-                a = np.asarray(r.flat_i).reshape(len(a_ids), -1)
-                b = np.asarray(r.flat_j).reshape(len(b_ids), -1)
-                sim = a @ b.T
-                yield _best(sim.copy(), a_ids, b_ids, k, least)
-                if r.i != r.j:
-                    yield _best(sim.T.copy(), b_ids, a_ids, k, least)
 
-    return _top_k(pairs.mapInPandas(multiply, _EDGE), k)
+def cosine_neighbours(vectors: DataFrame, k: int | None = 10, least: float | None = None, block_rows: int = 1024) -> DataFrame:
+    """(src, dst, weight) by cosine of ``vec`` per ``id``: the k nearest, or all above ``least``.
 
+    Vectors are divided by their norm + 1e-8. Ties go to the smaller id. A task multiplies
+    one pair of blocks, and only pairs that the angles allow.
+    """
+    return search(unit_rows(vectors, least), k, block_rows)[0]
 
-def pearson_neighbours(
-    series: DataFrame,
-    value: str,
-    k: int | None = 15,
-    least: float | None = None,
-    block_nodes: int = 128,
-    chunk: int = CHUNK,
-) -> DataFrame:
-    """(src, dst, weight) by correlation of the dense series (grid_id, step, value).
 
-    The correlation matrix is summed over time chunks, one partial product per (chunk, block
-    pair). A flat series has correlation 0. The k best are taken before any sign filter.
+def frequencies(steps: int, day: int = SLOTS_PER_DAY) -> list[int]:
+    """The frequencies that bound correlations: the slowest four, and the day's first four harmonics."""
+    daily = round(steps / day)
+    return sorted({f for f in [1, 2, 3, 4, *(daily * h for h in (1, 2, 3, 4))] if 0 < 2 * f < steps})
+
+
+def short_vectors(d: DataFrame, lo: int, steps: int) -> DataFrame:
+    """(id, unit): Fourier coefficients of each standardised series and the length of what they leave out.
+
+    The product of two such vectors is the correlation of the parts kept, plus the most that the
+    parts left out can add.
     """
-    stats = series.groupBy("grid_id").agg(
-        F.avg(value).alias("_m"), (F.stddev_pop(value) + 1e-8).alias("_s"), F.count("*").alias("_n")
-    )
-    d = series.select("grid_id", "step", value).join(stats, "grid_id")
-    d = d.select(
-        F.floor(F.col("step") / chunk).alias("tc"),
-        F.floor(F.col("grid_id") / block_nodes).cast("int").alias("b"),
-        (F.col("step") % chunk).cast("int").alias("t"),
-        (F.col("grid_id") % block_nodes).cast("int").alias("c"),
-        ((F.col(value) - F.col("_m")) / F.col("_s") / F.sqrt("_n")).alias("x"),
+    turn = lambda f: (F.col("step") - lo) * (2 * math.pi * f / steps)
+    scale = math.sqrt(2 / steps)
+    sums = [F.sum(F.col("x") * wave(turn(f)) * scale) for f in frequencies(steps) for wave in (F.cos, F.sin)]
+    d = d.groupBy(F.col("grid_id").cast("long").alias("id")).agg(F.array(*sums).cast("array<double>").alias("c"), F.sum(F.col("x") * F.col("x")).alias("all"))
+    kept = F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x)
+    return d.select("id", F.concat("c", F.array(F.sqrt(F.greatest(F.col("all") - kept, F.lit(0.0))))).alias("unit"))
+
+
+def exact_weights(d: DataFrame, blocks: Blocks, pairs: DataFrame, chunk: int) -> DataFrame:
+    """(src, dst, weight) of the pairs (src < dst): products of the series, summed over time chunks.
+
+    A task multiplies two blocks of one chunk for the pairs asked for; the chunks of a pair of blocks
+    are added up one after the other.
+    """
+    place = blocks.rows.select("b", F.posexplode("ids").alias("c", "id"))
+    cells = d.join(place.withColumnRenamed("id", "grid_id"), "grid_id").select(
+        F.floor(F.col("step") / chunk).alias("tc"), "b", F.pmod("step", F.lit(chunk)).cast("int").alias("t"), "c", "x"
     )
     # at most chunk x block_nodes values per group
-    blocks = d.groupBy("tc", "b").agg(F.collect_list(F.struct("t", "c", "x")).alias("m"))
-    blocks = blocks.select("tc", "b", F.col("m.t").alias("t"), F.col("m.c").alias("c"), F.col("m.x").alias("x"))
-    rename = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("b", "t", "c", "x")]
-    pairs = blocks.select("tc", *rename("i")).join(blocks.select("tc", *rename("j")), "tc").where("b_i <= b_j")
+    packed = cells.groupBy("tc", "b").agg(F.collect_list(F.struct("t", "c", "x")).alias("m"))
+    side = lambda s: packed.select("tc", F.col("b").alias(s), F.col("m.t").alias(f"t_{s}"), F.col("m.c").alias(f"c_{s}"), F.col("m.x").alias(f"x_{s}"))
+    at = lambda s, b, c: place.select(F.col("id").alias(s), F.col("b").alias(b), F.col("c").alias(c))
+    asked = pairs.join(at("src", "i", "p"), "src").join(at("dst", "j", "q"), "dst")
+    asked = asked.groupBy("i", "j").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "p", "q"))).alias("a"))
+    asked = asked.select("i", "j", *[F.col(f"a.{c}").alias(c) for c in ("src", "dst", "p", "q")])
+    joined = asked.join(side("i"), "i").join(side("j"), ["tc", "j"])
 
-    def dense(t, c, x):
-        m = np.zeros((chunk, block_nodes))
+    def dense(t, c, x, width):
+        m = np.zeros((chunk, width))
         m[np.asarray(t), np.asarray(c)] = np.asarray(x)
         return m
 
     def partial(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                gram = dense(r.t_i, r.c_i, r.x_i).T @ dense(r.t_j, r.c_j, r.x_j)
-                seen = [np.unique(np.asarray(r.c_i)), np.unique(np.asarray(r.c_j))]
-                yield pd.DataFrame([{"i": r.b_i, "j": r.b_j, "seen_i": seen[0], "seen_j": seen[1], "gram": gram.tobytes()}])
-
-    grams = pairs.mapInPandas(partial, "i int, j int, seen_i array<int>, seen_j array<int>, gram binary")
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        a = np.unique(np.concatenate(pdf["seen_i"].to_list()))
-        b = np.unique(np.concatenate(pdf["seen_j"].to_list()))
-        gram = sum(np.frombuffer(g).reshape(block_nodes, block_nodes) for g in pdf["gram"])[np.ix_(a, b)]
-        a_ids, b_ids = a.astype(np.int64) + i * block_nodes, b.astype(np.int64) + j * block_nodes
-        out = [_best(gram.copy(), a_ids, b_ids, k, least)]
-        if i != j:
-            out.append(_best(gram.T.copy(), b_ids, a_ids, k, least))
-        return pd.concat(out)
-
-    return _top_k(grams.groupBy("i", "j").applyInPandas(total, _EDGE), k)
+                p, q = np.asarray(r.p), np.asarray(r.q)
+                a, b = dense(r.t_i, r.c_i, r.x_i, max(p.max(), max(r.c_i)) + 1), dense(r.t_j, r.c_j, r.x_j, max(q.max(), max(r.c_j)) + 1)
+                if 8 * len(p) > a.shape[1] * b.shape[1]:
+                    sums = (a.T @ b)[p, q]
+                else:
+                    sums = np.concatenate([np.einsum("tk,tk->k", a[:, p[s : s + 512]], b[:, q[s : s + 512]]) for s in range(0, len(p), 512)])
+                yield pd.DataFrame({"i": [r.i], "j": [r.j], "tc": [r.tc], "src": [r.src], "dst": [r.dst], "sums": [sums]})
+
+    parts = joined.mapInPandas(partial, "i int, j int, tc long, src array<long>, dst array<long>, sums array<double>")
+
+    def total(batches):
+        now, src, dst, sums = None, None, None, None
+        done = lambda: pd.DataFrame({"src": src, "dst": dst, "weight": sums})
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if (r.i, r.j) == now:
+                    sums = sums + np.asarray(r.sums)
+                else:
+                    if now is not None:
+                        yield done()
+                    now, src, dst, sums = (r.i, r.j), np.asarray(r.src), np.asarray(r.dst), np.asarray(r.sums)
+        if now is not None:
+            yield done()
+
+    return parts.repartition("i", "j").sortWithinPartitions("i", "j", "tc").mapInPandas(total, _EDGE)
+
+
+def both_ways(weights: DataFrame) -> DataFrame:
+    w = F.round("weight", DIGITS)
+    ends = F.array(F.struct(F.col("src"), F.col("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return weights.select(F.explode(ends).alias("e"), w.alias("weight")).select("e.src", "e.dst", "weight")
+
+
+def pearson_search(
+    series: DataFrame, value: str, k: int | None = 15, least: float | None = None, block_nodes: int = 128, chunk: int = CHUNK
+) -> tuple[DataFrame, DataFrame]:
+    """Edges as ``pearson_neighbours`` gives them, and the pairs (src < dst) whose series were multiplied.
+
+    For the k best, each cell's k best by the bound are summed first; the least of these weights
+    is what any other pair's bound must reach.
+    """
+    bounds = series.agg(F.min("step").alias("lo"), F.max("step").alias("hi")).collect()[0]
+    lo, steps = bounds.lo or 0, (bounds.hi or 0) - (bounds.lo or 0) + 1
+    stats = series.groupBy("grid_id").agg(
+        F.avg(value).alias("_m"), (F.stddev_pop(value) + 1e-8).alias("_s"), F.count("*").alias("_n")
+    )
+    d = series.select("grid_id", "step", value).join(stats, "grid_id")
+    d = d.select("grid_id", "step", ((F.col(value) - F.col("_m")) / F.col("_s") / F.sqrt("_n")).alias("x"))
+    d = cut_lineage(d)
+    bound = cut_lineage(short_vectors(d, lo, steps))
+    ordered = lambda e: e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    if k is None:
+        needed = bound.withColumn("least", F.lit(math.nextafter(least, math.inf) - 2 * 10.0**-DIGITS))
+    else:
+        likely, blocks, _ = search(bound.withColumn("least", F.lit(float("-inf"))), k, block_nodes)
+        known = both_ways(exact_weights(d, blocks, ordered(likely), chunk))
+        kth = _top_k(known, k).groupBy("src").agg(F.min("weight").alias("w"), F.count("*").alias("n")).where(F.col("n") == k)
+        kth = kth.select(F.col("src").alias("id"), (F.col("w") - 2 * 10.0**-DIGITS).alias("least"))
+        needed = bound.join(kth, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    reached, blocks, _ = search(needed, None, block_nodes)
+    pairs = cut_lineage(ordered(reached))
+    edges = both_ways(exact_weights(d, blocks, pairs, chunk))
+    return (edges.where(F.col("weight") > least) if k is None else _top_k(edges, k)), pairs
+
+
+def pearson_neighbours(
+    series: DataFrame, value: str, k: int | None = 15, least: float | None = None, block_nodes: int = 128, chunk: int = CHUNK
+) -> DataFrame:
+    """(src, dst, weight) by correlation of the dense series (grid_id, step, value).
+
+    A flat series has correlation 0. The k best are taken before any sign filter.
+    """
+    return pearson_search(series, value, k, least, block_nodes, chunk)[0]
 
 
 def positive(edges: DataFrame) -> DataFrame:

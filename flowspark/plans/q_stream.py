@@ -9,9 +9,10 @@ from flowspark.functions.num import rnd as r
 from flowspark.operators import baseline as bl
 from flowspark.plans import fixtures as fx
 from flowspark.plans.oracle import cte, rnd, sql
+from flowspark.plans.q_anomaly import Z_CLUSTER
 from flowspark.plans.q_core import LEVELS
 from flowspark.plans.registry import query
-from flowspark.session import cut_lineage
+from flowspark.session import cut_lineage, fresh_dir
 from flowspark.sources.tables import Tables
 from flowspark.streaming import jobs
 
@@ -65,3 +66,24 @@ SELECT grid_id, step, row_number() OVER (PARTITION BY grid_id, island ORDER BY s
 def stream_persistence(t: Tables) -> DataFrame:
     flagged = live_scored(t).where("z > 0")
     return jobs.run_available(jobs.persistence(flagged), "persistence")
+
+
+# a run is over once the window after its last step has closed
+@query("stream_runs", sql(["live"], """
+SELECT * FROM (SELECT grid_id, min(step) AS run_start, max(step) AS run_end, count(*) AS duration_steps FROM (
+    SELECT grid_id, step, step - row_number() OVER (PARTITION BY grid_id ORDER BY step) AS island FROM live WHERE z > 1) GROUP BY grid_id, island)
+WHERE duration_steps >= 2 AND (run_end + 2) * 1800000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000"""))
+def stream_runs(t: Tables) -> DataFrame:
+    flagged = live_scored(t).where("z > 1")
+    return jobs.run_available(jobs.closed_runs(flagged, 2), "runs")
+
+
+@query("stream_cluster_level", sql(["cluster_levels"], f"""
+SELECT step, clustered_cells, n_clusters, {rnd('max_z', 'max_z')}, level FROM cluster_levels
+WHERE (step + 1) * 1800000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000"""))
+def stream_cluster_level(t: Tables) -> DataFrame:
+    hot = live_scored(t).where(F.col("z") > Z_CLUSTER).select("step", "grid_id", "z")
+    job = lambda batch: jobs.live_clusters(batch, ["step"], fx.GRID, LEVELS)
+    schema = "step long, clustered_cells long, n_clusters long, max_z double, level int"
+    d = jobs.commit_batches(hot, fresh_dir(t.spark, "cluster-levels"), job, schema)
+    return d.withColumn("max_z", r(F.col("max_z")))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}  # by application, where the cluster names no folder
 BATCH_BYTES = "4m"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -20,13 +21,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings the results depend on, and give the package to the executors.
 
     Results depend on UTC time; adaptive execution picks joins by the bytes it sees; the rows that
-    travel to a Python worker together are bounded in bytes, however long a row is. All other
-    settings belong to the job that starts the session.
+    travel to a Python worker together are bounded in bytes, however long a row is. The state of
+    streams lies on disk, not in an executor's memory. All other settings belong to the job that starts the session.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     ship(spark)
     return spark
 
@@ -45,6 +47,9 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(top, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
     sc.addPyFile(path)
+    # the driver's own helper for state processors does not look at added files
+    root = os.path.dirname(PACKAGE)
+    sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, sc.environment.get("PYTHONPATH")]))
     sc._flowspark_shipped = True
     atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from here
 

@@ -72,6 +72,74 @@ def test_pearson_neighbours_exact(spark, block_nodes, chunk):
     np.testing.assert_allclose(got.weight, c[got.src, got.dst], atol=1e-9)
 
 
+def clustered(n, dims, groups, seed=4, noise=0.08):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims))
+    return centres[rng.integers(0, groups, n)] + noise * rng.normal(size=(n, dims))
+
+
+@pytest.mark.parametrize("k,least", [(7, None), (None, 0.97)])
+def test_cosine_skips_blocks_of_other_clusters(spark, k, least):
+    """Clustered vectors, some of them copies, zero or very short: the same edges from less than half of the blocks."""
+    x = clustered(2000, 12, 16)
+    x[100:160] = x[100]
+    x[200:203], x[203:206] = 0.0, x[203:206] * 1e-8
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(2000), "vec": x.tolist()}), "id long, vec array<double>")
+    edges, blocks, pairs = sim.search(sim.unit_rows(df, least), k, 64)
+    compared = pairs.agg(F.sum(F.when(F.col("i") == F.col("j"), 1).otherwise(F.col("there").cast("int") + F.col("back").cast("int")))).first()[0]
+    assert compared < 0.5 * blocks.count**2 and blocks.count >= 30
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    m = np.round(u @ u.T, 9)
+    got = edges.toPandas()
+    if k is None:
+        np.fill_diagonal(m, -1)
+        assert set(zip(got.src, got.dst, strict=True)) == set(zip(*np.nonzero(m > least), strict=True))
+    else:
+        want = brute_top(u @ u.T, k)
+        for i, g in got.sort_values(["src", "weight", "dst"], ascending=[True, False, True]).groupby("src"):
+            assert g.dst.tolist() == want[i]
+        assert len(got) == 2000 * k
+
+
+def test_cosine_of_few_none_and_opposite_vectors(spark):
+    for x in ([], [[1.0, 0.0]], [[1.0, 0.0], [-1.0, 0.0], [0.0, 0.0]], [[0.0, 0.0]] * 3):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id long, vec array<double>")
+        got = sim.cosine_neighbours(df, 5)
+        assert got.count() == len(x) * max(0, len(x) - 1)
+
+
+def waves(n, steps, seed=8):
+    """Daily patterns of a few kinds with noise."""
+    rng = np.random.default_rng(seed)
+    t = np.arange(steps)[:, None]
+    kind = rng.integers(0, 6, n)
+    phase = rng.uniform(0, 2 * np.pi, 6)[kind]
+    return np.sin(2 * np.pi * t / 48 + phase) + 0.5 * np.sin(2 * np.pi * t / 24 * (1 + kind % 2) + 2 * phase) + 0.1 * rng.normal(size=(steps, n))
+
+
+@pytest.mark.parametrize("k,least", [(6, None), (None, 0.9)])
+def test_pearson_multiplies_few_pairs(spark, k, least):
+    n, steps = 160, 480
+    x = waves(n, steps)
+    x[:, 5] = 1.0
+    pdf = pd.DataFrame({"grid_id": np.tile(np.arange(n), steps), "step": np.repeat(np.arange(steps) + 1000, n), "inflow": x.ravel()})
+    edges, pairs = sim.pearson_search(spark.createDataFrame(pdf), "inflow", k, least, block_nodes=32, chunk=100)
+    share = pairs.count() / (n * (n - 1) / 2)
+    print(f"share of pairs multiplied: {share:.3f}")
+    assert share < 0.35
+    z = (x - x.mean(0)) / (x.std(0) + 1e-8)
+    c = np.round(z.T @ z / steps, 9)
+    got = edges.toPandas()
+    if k is None:
+        np.fill_diagonal(c, -1)
+        assert set(zip(got.src, got.dst, strict=True)) == set(zip(*np.nonzero(c > least), strict=True))
+    else:
+        want = brute_top(c, k)
+        for i, g in got.sort_values(["src", "weight", "dst"], ascending=[True, False, True]).groupby("src"):
+            assert g.dst.tolist() == want[i]
+        assert len(got) == n * k
+
+
 def brute_components(cells, rows_, cols):
     left, label = set(cells), {}
     while left:

@@ -62,15 +62,7 @@ def test_fuzzy_candidates_miss_nothing(spark):
     a, b = sorted(set(noisy)), sorted(set(words))
     left, right = (spark.createDataFrame([(x,) for x in y], "name string") for y in (a, b))
 
-    def lev(s, t):
-        d = list(range(len(t) + 1))
-        for i, x in enumerate(s, 1):
-            p, d[0] = d[0], i
-            for j, y in enumerate(t, 1):
-                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
-        return d[-1]
-
-    score = {"levenshtein": lambda s, t: 1 - lev(s, t) / max(len(s), len(t)), "ratio": lambda s, t: SequenceMatcher(None, s, t).ratio()}
+    score = {"levenshtein": lambda s, t: 1 - edits(s, t) / max(len(s), len(t)), "ratio": lambda s, t: SequenceMatcher(None, s, t).ratio()}
     for scorer, f in score.items():
         got = {r.name: (r.match, None if r.score is None else round(r.score, 9)) for r in ma.best_matches(left, right, scorer=scorer).collect()}
         for s in a:
@@ -84,6 +76,48 @@ def test_fuzzy_candidates_miss_nothing(spark):
                 assert got[s] == (None, None)
 
 
+@pytest.mark.parametrize("scorer", ["levenshtein", "ratio"])
+def test_fuzzy_candidates_are_few_and_complete(spark, scorer):
+    """Names of shared words, with typing errors: below 5 % of all pairs, and every pair that scores enough."""
+    rng = np.random.default_rng(5)
+    words = ["north", "south", "main", "market", "station", "bridge", "park", "river", "garden", "street", "museum", "harbour", "old", "new", "hill", "mill"]
+    names = sorted({" ".join(rng.choice(words, rng.integers(2, 5))) for _ in range(400)})
+    typed = []
+    for w in names[:250]:
+        w = list(w)
+        for _ in range(rng.integers(0, 4)):
+            i = int(rng.integers(0, len(w)))
+            w[i : i + int(rng.integers(0, 2))] = list(rng.choice(list("aeinorst "), rng.integers(0, 2)))
+        typed.append("".join(w))
+    left, right = (spark.createDataFrame([(x,) for x in y], "name string") for y in (typed, names))
+    got = {(r.a, r.b) for r in ma.candidate_pairs(left, right, scorer=scorer).collect()}
+    score = {"levenshtein": lambda a, b: 1 - edits(a, b) / max(len(a), len(b)), "ratio": lambda a, b: SequenceMatcher(None, a, b).ratio()}[scorer]
+    want = {(a, b) for a in set(typed) for b in names if round(score(a, b), 9) >= 0.8}
+    assert want <= got and len(want) > 200
+    assert len(got) < 0.05 * len(set(typed)) * len(names)
+
+
+@pytest.mark.parametrize("scorer,threshold", [("levenshtein", 0.5), ("ratio", 0.55), ("levenshtein", 0.95), ("ratio", 0.9)])
+def test_fuzzy_candidates_at_other_thresholds(spark, monkeypatch, scorer, threshold):
+    """Low thresholds, where short names share no gram, and hot grams in many parts."""
+    monkeypatch.setattr(ma, "HOT", 3)
+    rng = np.random.default_rng(6)
+    names = sorted({"".join(rng.choice(list("ab\U0001f600"), rng.integers(1, 9))) for _ in range(90)})
+    df = spark.createDataFrame([(x,) for x in [*names, "", None]], "name string")
+    got = {(r.a, r.b) for r in ma.candidate_pairs(df, df, threshold, scorer).collect()}
+    score = {"levenshtein": lambda a, b: 1 - edits(a, b) / max(len(a), len(b)), "ratio": lambda a, b: SequenceMatcher(None, a, b).ratio()}[scorer]
+    assert {(a, b) for a in names for b in names if round(score(a, b), 9) >= threshold} <= got
+
+
+def edits(s, t):
+    d = list(range(len(t) + 1))
+    for i, x in enumerate(s, 1):
+        p, d[0] = d[0], i
+        for j, y in enumerate(t, 1):
+            p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+    return d[-1]
+
+
 def test_supplement_routes(spark):
     stops = spark.createDataFrame([(1, "Main St(east)"), (2, "Maim St"), (3, "Nowhere")], "stop_id int, name string")
     pairs = spark.createDataFrame([(1, "r1")], "stop_id int, route_id string")
