@@ -11,16 +11,22 @@ vectors; only the best of each leaf travel on.
 
 How many leaves follows from the data at every run: ``Plan.asked`` queries, chosen by a hash of the
 id, are compared with all rows, and as many leaves are searched as bring ``Plan.recall`` of the
-neighbours found there. Where that would be more work than comparing every query with all rows in
-large blocks, as on vectors without structure, or where there are no more queries than those asked,
-all rows are compared and the result is exact.
+neighbours found there. This holds for tables of any size; a small one is a forest of few leaves.
+``Plan.exact`` leaves the forest out and compares all queries with all rows in blocks.
 
-Equal vectors are searched as one, which carries the smallest ids of its rows: k + 1 of them, and
-no query can use more, as equal vectors are equally near and ties go to the smaller id.
+Neighbouring leaves of one tree form a group. A row goes to the groups of its leaves, a query once to each group
+in which it searches leaves, with their list, so a query travels once for many leaves. Groups
+that more than ``Plan.meet`` queries search, or that hold many more rows than others, are dealt to
+several tasks. In a task the queries of a group are held and its rows pass by, leaf after leaf.
+
+Vectors of one direction are searched as one, which carries the smallest ids of its rows: k + 1 of
+them, and no query can use more, as they are equally near and ties go to the smaller id. The
+candidates left, some more than k, are scored again on the original vectors, each by one sum in the order of the
+components, so a score does not depend on what else a task holds; scores equal in twelve digits tie.
 
 A vector takes part if it is not null, has the length of most vectors, no null or non-finite
-component, and is not zero; so does an id that is not null. Repeated rows of one id are one row.
-An empty table, or one row, gives no result. Further columns are not read.
+component, and is not zero; so does an id that is not null. Repeated rows of one id are one row; if
+their vectors differ, its nearest one counts. An empty table, or one row, gives no result. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -45,7 +51,10 @@ class Plan:
     probes: int | None = None  # leaves a query, over all trees; None: as many as the recall takes
     recall: float = 0.95  # of the neighbours of the queries that are asked in advance
     asked: int = 256  # queries that are compared with all rows to choose the leaves
-    cost: int = 8  # of meeting a row in a leaf, in rows met in a large block, about
+    exact: bool = False  # compare all rows instead of searching the forest
+    group: int = 32  # leaves that are searched in one task
+    meet: int = 4096  # queries that meet a group in one task, about
+    spare: int = 4  # candidates beyond those needed that are scored again
     sample: int = 20_000  # rows that the trees are fitted on
     least: int = 16  # sampled rows of a fitted leaf, at least
     seed: int = 11
@@ -82,8 +91,11 @@ class Forest:
             means.append(x[own].mean(0))
             return -len(means)
 
-        for _ in range(plan.trees):
+        tree: list[int] = []
+        for t in range(plan.trees):
             self.roots.append(grow(np.arange(len(x))))
+            tree += [t] * (len(means) - len(tree))
+        self.tree = np.array(tree)  # of each fitted leaf
         self.directions = np.array(directions).reshape(-1, x.shape[1])
         self.cuts, self.children = np.array(cuts), np.array(children, np.int64).reshape(-1, 2)
         self.means = np.array(means)
@@ -110,6 +122,10 @@ class Forest:
             out[:, t] = code
         return out
 
+    def groups(self, code: np.ndarray) -> np.ndarray:
+        """The group of each leaf: neighbouring leaves of one tree, so that no row is twice in a group."""
+        return (self.tree[code >> self.levels].astype(np.int64) << 48) + code // self.plan.group
+
     def nearest(self, x: np.ndarray) -> list[list[int]]:
         """The leaves that each query searches, by one priority queue over all trees."""
         side = (x @ self.directions.T - self.cuts).tolist()
@@ -183,10 +199,18 @@ def vectors(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (usual[0]["n"] if usual else 0))
 
 
+def direction(v: Column) -> Column:
+    """The vector at length 1, in twelve digits; scaled first, so that squares neither overflow nor vanish."""
+    most = F.array_max(F.transform(v, F.abs))
+    scaled = F.transform(v, lambda c: c / most)
+    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, c: s + c * c))
+    return F.transform(scaled, lambda c: F.round(c / length, 12) + F.lit(0.0))
+
+
 def distinct_vectors(rows: DataFrame, keep: int, salts: int = 64) -> DataFrame:
-    """Different vectors ``v`` with ``ids``, the ``keep`` smallest ids of their rows."""
+    """Different directions ``v`` with ``ids``, the ``keep`` smallest ids of their rows."""
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts))
-    some = rows.select("v", "vec_id", salt.alias("salt"))
+    some = rows.select(direction(F.col("v")).alias("v"), "vec_id", salt.alias("salt"))
     for part in (["v", "salt"], ["v"]):
         some = some.withColumn("_r", F.dense_rank().over(Window.partitionBy(*part).orderBy("vec_id"))).where(F.col("_r") <= keep).drop("_r")
     return some.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
@@ -203,15 +227,16 @@ def fit(rows: DataFrame, plan: Plan) -> Forest | None:
     return Forest(x, n, plan)
 
 
-PACKED = "leaf long, is_row boolean, query {kind}, ids array<{kind}>, v array<double>"
+PACKED = "grp long, salt int, leaf long, is_row boolean, query {kind}, ids array<{kind}>, v array<double>, leaves array<long>"
 
 
 def matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def in_leaves(kept: DataFrame, queries: DataFrame, forest: Forest, kind: str) -> DataFrame:
-    """Rows and queries by the leaves that hold and search them."""
+def in_groups(kept: DataFrame, queries: DataFrame, forest: Forest, kind: str) -> DataFrame:
+    """Rows and queries by the groups of leaves that hold and search them."""
+    plan = forest.plan
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,20 +244,49 @@ def in_leaves(kept: DataFrame, queries: DataFrame, forest: Forest, kind: str) ->
                 part = b.slice(i, 2048)
                 code = forest.leaves(unit(matrix(part.column(1))))
                 for t in range(code.shape[1]):
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(code[:, t]), pa.array([True] * n), pa.nulls(n, part.column(0).type.value_type), part.column(0), part.column(1)], ["leaf", "is_row", "query", "ids", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(forest.groups(code[:, t])), pa.array(code[:, t]), part.column(0), part.column(1)], ["grp", "leaf", "ids", "v"])
+
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of each group, counted per task."""
+        total: dict[int, int] = {}
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                own, n = np.unique(forest.groups(forest.leaves(unit(matrix(b.column(0).slice(i, 2048))))), return_counts=True)
+                for g, c in zip(own.tolist(), n.tolist(), strict=True):
+                    total[g] = total.get(g, 0) + c
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["grp", "n"])
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                found = forest.nearest(unit(matrix(part.column(1))))
-                who = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
-                n = len(who)
-                yield pa.RecordBatch.from_arrays([pa.array([c for f in found for c in f], pa.int64()), pa.array([False] * n), part.column(0).take(who), pa.nulls(n, pa.list_(part.column(0).type)), part.column(1).take(who)], ["leaf", "is_row", "query", "ids", "v"])
-
-    packed = PACKED.format(kind=kind)
-    return kept.select("ids", "v").mapInArrow(place, packed).unionByName(queries.mapInArrow(probe, packed))
+                who, groups, leaves = [], [], []
+                for q, found in enumerate(forest.nearest(unit(matrix(part.column(1))))):
+                    by: dict[int, list[int]] = {}
+                    for code, g in zip(found, forest.groups(np.array(found, np.int64)).tolist(), strict=True):
+                        by.setdefault(g, []).append(code)
+                    who += [q] * len(by)
+                    groups += by
+                    leaves += by.values()
+                at = pa.array(who, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), part.column(0).take(at), part.column(1).take(at), pa.array(leaves, pa.list_(pa.int64()))], ["grp", "query", "v", "leaves"])
+
+    probes = cut_lineage(queries.mapInArrow(probe, f"grp long, query {kind}, v array<double>, leaves array<long>"))
+    rows_of = kept.select("v").mapInArrow(held, "grp long, n long").groupBy("grp").agg(F.sum("n").alias("n"))
+    # a group is cut by queries and by rows: part (i, j) has the i-th share of its queries and the j-th of its rows
+    usual = plan.leaf * plan.group
+    parts = probes.groupBy("grp").agg(F.ceil(F.count("*") / plan.meet).cast("int").alias("by_query")).join(rows_of, "grp")
+    parts = parts.select("grp", "by_query", F.greatest(F.lit(1), F.round(F.col("n") / (4 * usual))).cast("int").alias("by_row"))
+    part = lambda i, j: (i * F.col("by_row") + j).cast("int").alias("salt")
+    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    x = kept.select("ids", "v").mapInArrow(place, f"grp long, leaf long, ids array<{kind}>, v array<double>").join(parts, "grp")
+    x = x.withColumn("i", F.explode(each("by_query"))).select(
+        "grp", part(F.col("i"), F.pmod(F.xxhash64("ids"), F.col("by_row"))), "leaf", F.lit(True).alias("is_row"), F.lit(None).cast(kind).alias("query"), "ids", "v", F.lit(None).cast("array<bigint>").alias("leaves")
+    )
+    y = probes.join(parts, "grp").withColumn("j", F.explode(each("by_row"))).select(
+        "grp", part(F.pmod(F.xxhash64("query"), F.col("by_query")), F.col("j")), F.lit(None).cast("bigint").alias("leaf"), F.lit(False).alias("is_row"), "query", F.lit(None).cast(f"array<{kind}>").alias("ids"), "v", "leaves"
+    )
+    return x.unionByName(y)
 
 
 def in_blocks(kept: DataFrame, queries: DataFrame, n: int, n_queries: int, kind: str, most: int = 16_384, least: int = 256) -> DataFrame:
@@ -246,22 +300,23 @@ def in_blocks(kept: DataFrame, queries: DataFrame, n: int, n_queries: int, kind:
 
     x = kept.select("ids", "v", part.alias("part"), each(blocks).alias("block"))
     y = queries.select("vec_id", "v", block.alias("block"), each(parts).alias("part"))
-    leaf = (F.col("block") * parts + F.col("part")).cast("long").alias("leaf")
-    x = x.select(leaf, F.lit(True).alias("is_row"), F.lit(None).cast(kind).alias("query"), "ids", "v")
-    return x.unionByName(y.select(leaf, F.lit(False).alias("is_row"), F.col("vec_id").alias("query"), F.lit(None).cast(f"array<{kind}>").alias("ids"), "v"))
+    grp = (F.col("block") * parts + F.col("part")).cast("long").alias("grp")
+    one, salt = F.lit(0).cast("long"), F.lit(0).alias("salt")  # a block is searched as one leaf
+    x = x.select(grp, salt, one.alias("leaf"), F.lit(True).alias("is_row"), F.lit(None).cast(kind).alias("query"), "ids", "v", F.lit(None).cast("array<bigint>").alias("leaves"))
+    return x.unionByName(y.select(grp, salt, F.lit(None).cast("bigint").alias("leaf"), F.lit(False).alias("is_row"), F.col("vec_id").alias("query"), F.lit(None).cast(f"array<{kind}>").alias("ids"), "v", F.array(one).alias("leaves")))
 
 
 def best_of(both: DataFrame, keep: int, kind: str) -> DataFrame:
     """The ``keep`` best different vectors of each query (query, ids, score) among the rows that it meets."""
-    # the queries of a leaf come first and stay; its rows pass by
-    dealt = both.repartition("leaf").sortWithinPartitions("leaf", "is_row")
+    # the queries of a group come first and stay; its rows pass by, leaf after leaf
+    dealt = both.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "is_row", "leaf")
     found = dealt.mapInArrow(lambda batches: searched(batches, keep), f"query {kind}, ids array<{kind}>, score double")
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.get("ids", F.lit(0))))
     return found.dropDuplicates(["query", "ids"]).withColumn("_best", best).where(F.col("_best") <= keep).drop("_best")
 
 
-def leaves_needed(kept: DataFrame, queries: DataFrame, forest: Forest, n: int, k: int, kind: str) -> int | None:
-    """Leaves that bring ``Plan.recall`` of the true neighbours of some queries; None where all rows are no more work."""
+def leaves_needed(kept: DataFrame, queries: DataFrame, forest: Forest, n: int, k: int, kind: str) -> int:
+    """Leaves that bring ``Plan.recall`` of the true neighbours of some queries."""
     plan = forest.plan
     asked = cut_lineage(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(plan.asked))
     true = best_of(in_blocks(kept, asked, n, plan.asked, kind), k + 1, kind).join(kept.select("ids", "v"), "ids")
@@ -275,10 +330,15 @@ def leaves_needed(kept: DataFrame, queries: DataFrame, forest: Forest, n: int, k
     for (q, (_, rows)), place in zip(found.items(), places, strict=True):
         own = sorted((-r.score, i, int(p)) for r, p in zip(rows, place, strict=True) for i in r.ids if i != q)
         need += [p for _, _, p in own[:k]]
-    if not need:
-        return None
-    probes = sorted(need)[max(0, ceil(plan.recall * len(need)) - 1)]
-    return probes if probes * plan.trees * plan.cost < len(forest.means) << forest.levels else None
+    return sorted(need)[max(0, ceil(plan.recall * len(need)) - 1)] if need else len(forest.roots)
+
+
+def cosine(x: Column, y: Column) -> Column:
+    """By sums in the order of the components, of vectors scaled to a greatest component of 1."""
+    total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, c: s + c)
+    scaled = lambda v: F.transform(v, lambda c: c / F.array_max(F.transform(v, F.abs)))
+    a, b = scaled(x), scaled(y)
+    return total(a, b) / (F.sqrt(total(a, a)) * F.sqrt(total(b, b)))
 
 
 def search(table: DataFrame, is_query: Column, k: int = 5, plan: Plan | None = None, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -289,27 +349,32 @@ def search(table: DataFrame, is_query: Column, k: int = 5, plan: Plan | None = N
     plan = plan or Plan()
     rows = vectors(table, vec_id, vector)
     kept = cut_lineage(distinct_vectors(rows, k + 1))
-    queries = cut_lineage(rows.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"]))
+    queries = cut_lineage(rows.where(is_query).select("vec_id", direction(F.col("v")).alias("v"), F.col("v").alias("q")).dropDuplicates(["vec_id"]))
     kind = rows.schema["vec_id"].dataType.simpleString()
-    n, n_queries = kept.count(), queries.count()
-    forest = fit(kept, plan) if plan.probes is not None or n_queries > plan.asked else None
-    if forest and plan.probes is None:
-        forest.probes = leaves_needed(kept, queries, forest, n, k, kind)
-    if forest and forest.probes is not None:
-        both = in_leaves(kept, queries, forest, kind)
+    n = kept.count()
+    if n == 0:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    asking = queries.select("vec_id", "v")
+    if plan.exact:
+        both = in_blocks(kept, asking, n, asking.count(), kind)
     else:
-        both = in_blocks(kept, queries, n, n_queries, kind)
-    # the k + 1 best different vectors hold the k best rows: the query's own is one row of one of them
-    few = best_of(both, k + 1, kind)
-    near = few.select("query", F.explode("ids").alias("vec_id"), "score").where("vec_id != query")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+        forest = fit(kept, plan)
+        if plan.probes is None:
+            forest.probes = leaves_needed(kept, asking, forest, n, k, kind)
+        both = in_groups(kept, asking, forest, kind)
+    # the k + 1 best directions hold the k best rows: the query's own is one row of one of them
+    few = cut_lineage(best_of(both, k + 1 + plan.spare, kind).select("query", F.explode("ids").alias("vec_id")).where("vec_id <> query"))
+    near = few.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query"), "q"), "query")
+    near = near.select("query", "vec_id", cosine(F.col("q"), F.col("v")).alias("score")).groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 12).desc(), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
 
 
 def searched(batches: Iterable[pa.RecordBatch], keep: int, block: int = 512) -> Iterator[pa.RecordBatch]:
-    """For each leaf's queries their ``keep`` best rows; ties go to the smaller first id."""
-    leaf, queries, vecs = None, [], np.empty((0, 0))
+    """For each group's queries their ``keep`` best rows; ties go to the smaller first id."""
+    group, queries, vecs = None, [], []
     score, ids = np.empty((0, 0)), np.empty((0, 0), object)
+    searches: dict[int, list[int]] = {}  # leaf -> queries
 
     def close() -> Iterator[pa.RecordBatch]:
         at, nth = np.nonzero(score > -np.inf)
@@ -318,37 +383,48 @@ def searched(batches: Iterable[pa.RecordBatch], keep: int, block: int = 512) ->
             yield pa.RecordBatch.from_arrays([names, pa.array(ids[at, nth].tolist(), ids_type), pa.array(score[at, nth])], ["query", "ids", "score"])
 
     for b in batches:
-        query_type, ids_type = b.column(2).type, b.column(3).type
-        leaves, is_row = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-        flat = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-        edges = np.flatnonzero((np.diff(leaves) != 0) | (np.diff(is_row.astype(int)) != 0)) + 1
+        if not b.num_rows:
+            continue
+        query_type, ids_type = b.column(4).type, b.column(5).type
+        key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
+        leaf, is_row = b.column(2).fill_null(-1).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
+        flat = matrix(b.column(6))
+        change = (np.diff(key, axis=0) != 0).any(1) | (np.diff(leaf) != 0) | (np.diff(is_row.astype(int)) != 0)
+        edges = np.flatnonzero(change) + 1
         for s, e in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
-            if leaves[s] != leaf:
-                if leaf is not None:
+            if group != tuple(key[s]):
+                if group is not None:
                     yield from close()
-                leaf, queries, vecs = leaves[s], [], np.empty((0, flat.shape[1]))
+                group, queries, vecs, searches = tuple(key[s]), [], np.empty((0, flat.shape[1])), {}
                 score, ids = np.empty((0, keep)), np.empty((0, keep), object)
             if not is_row[s]:
-                queries += b.column(2).slice(s, e - s).to_pylist()
+                for q, leaves in enumerate(b.column(7).slice(s, e - s).to_pylist(), len(queries)):
+                    for x in leaves:
+                        searches.setdefault(x, []).append(q)
+                queries += b.column(4).slice(s, e - s).to_pylist()
                 vecs = np.concatenate([vecs, unit(flat[s:e])])
                 score = np.full((len(queries), keep), -np.inf)
                 ids = np.empty((len(queries), keep), object)
                 continue
-            if not queries:
+            asking = searches.get(int(leaf[s]))
+            if not asking:
                 continue
             rows = unit(flat[s:e])
             names = np.empty(e - s, object)
-            names[:] = b.column(3).slice(s, e - s).to_pylist()
-            for i in range(0, len(queries), block):
-                part = vecs[i : i + block] @ rows.T
-                least = part.shape[1] - min(keep, part.shape[1])
-                edge = np.maximum(np.partition(part, least, axis=1)[:, least], score[i : i + block, -1])
-                for q in range(len(part)):
-                    own = np.flatnonzero(part[q] >= edge[q])
-                    merged = [(-s_, n) for s_, n in zip(score[i + q], ids[i + q], strict=True) if n is not None]
-                    merged += [(-part[q, j], names[j]) for j in own]
+            names[:] = b.column(5).slice(s, e - s).to_pylist()
+            for i in range(0, len(asking), block):
+                own = np.array(asking[i : i + block])
+                part = vecs[own] @ rows.T
+                for r in np.flatnonzero(part.max(1) >= score[own, -1]):
+                    q = own[r]
+                    better = np.flatnonzero(part[r] >= score[q, -1])
+                    if len(better) > keep:
+                        edge = np.partition(part[r][better], len(better) - keep)[len(better) - keep]
+                        better = better[part[r][better] >= edge]
+                    merged = [(-s_, n) for s_, n in zip(score[q], ids[q], strict=True) if n is not None]
+                    merged += [(-part[r, j], names[j]) for j in better]
                     merged.sort()
-                    for r, (s_, n) in enumerate(merged[:keep]):
-                        score[i + q, r], ids[i + q, r] = -s_, n
-    if leaf is not None:
+                    for nth, (s_, n) in enumerate(merged[:keep]):
+                        score[q, nth], ids[q, nth] = -s_, n
+    if group is not None:
         yield from close()

@@ -112,3 +112,38 @@ def test_small_tables(spark):
     assert ann.search(frame(spark, [(0, [1.0, 2.0])]), F.col("vec_id") % 50 == 0).count() == 0
     got = ann.search(frame(spark, [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 1.0])]), F.col("vec_id") % 50 == 0).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_exact_compares_all_rows(spark):
+    assert recall(spark, table(900, 7), ann.Plan(exact=True)) == 1
+
+
+def test_hot_groups_in_many_parts(spark):
+    """Groups cut by queries and by rows give what whole groups give."""
+    rows = table(900, 8)
+    assert recall(spark, rows, ann.Plan(leaf=10, probes=10_000, sample=300, group=100, meet=3)) == 1
+
+
+def test_vectors_of_one_direction_tie(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(1000 + i, (x[0] * f).tolist()) for i, f in enumerate([3.0, 1.7, 1 / 3, 1e-3, 7e4, 0.9, 11.0])]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(df, F.col("vec_id").isin(0, 1000, 1003, 7)).collect()}
+    assert [got[0, r][0] for r in range(1, 6)] == [1000, 1001, 1002, 1003, 1004]
+    assert [got[1000, r][0] for r in range(1, 6)] == [0, 1001, 1002, 1003, 1004]
+    assert [got[1003, r][0] for r in range(1, 6)] == [0, 1000, 1001, 1002, 1004]
+    assert all(abs(got[0, r][1] - 1) < 1e-12 for r in range(1, 6))
+
+
+def test_the_query_goes_through_the_forest(spark, monkeypatch):
+    """At sf0.01: all queries search leaves; only those asked in advance are compared with all rows."""
+    from flowspark.llm.queries import QUERIES
+
+    seen = {"groups": 0, "blocks": []}
+    groups, blocks = ann.in_groups, ann.in_blocks
+    monkeypatch.setattr(ann, "in_groups", lambda kept, queries, forest, kind: (seen.update(groups=queries.count(), leaves=forest.probes), groups(kept, queries, forest, kind))[1])
+    monkeypatch.setattr(ann, "in_blocks", lambda kept, queries, n, *a: (seen["blocks"].append(queries.count()), blocks(kept, queries, n, *a))[1])
+    assert QUERIES["op4_neighbours"](spark, "/root/testdata/sf0.01").count() == 50
+    assert seen["groups"] == 10 and seen["leaves"] >= 1 and seen["blocks"] == [10]
