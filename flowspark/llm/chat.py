@@ -5,12 +5,14 @@ Template. A window starts with ``<s>``. A user's turn is ``[INST]text[/INST]``,
 backslash behind their first character (one more if they have some), so raw ones are marks only
 and ``unescape`` gives the text back.
 
-Windows. The prefix sum of a conversation's turn tokens says where a turn lies. With ``span`` the
-budget less history and system turn, the turns that lie inside one multiple of ``span`` share a
-window, and a turn across a border has its own; so the windows of one conversation are found
-without walking through it, and all but a single overlong turn fit the budget. Each window but the
-first also repeats the leading system turn, and the latest turns before it that start at most
-``history`` tokens earlier.
+Windows. The prefix sum of a conversation's turn tokens says where a turn lies. A conversation within
+the budget is one window. Of a longer one the first window may take the whole budget, each later one
+the budget less history and system turn. Borders lie at equal distances, by ``cross`` tokens closer
+than that share: turns that begin between two borders share a window, and its last turn may reach
+over the border by that much. A turn that reaches further has a window of its own. So the windows
+of one conversation are found without walking through it, and all but a single overlong turn
+fit the budget. Each window but the first also repeats the leading system turn, and the latest turns before it that
+start at most ``history`` tokens earlier.
 
 Loss. Spans of characters over the assistants' texts of a window's own turns; repeated turns are
 masked. So each assistant text is a target exactly once.
@@ -47,6 +49,7 @@ class Budget:
     tokens: int = 2048  # of a window
     history: int = 384  # of repeated turns
     least: int = 256  # of own turns, however long the system turn is
+    cross: int = 256  # by which a window's last turn may reach over its border
     chunk: int = 256  # turn numbers a task's share of a conversation
 
 
@@ -120,13 +123,15 @@ def placed(conversations: DataFrame, ranks: str, b: Budget) -> DataFrame:
         "_k",
         (F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
         F.when(system["role"] == "system", system["tokens"]).otherwise(0).alias("_system"),
+        F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"),
     )
-    span = F.greatest(F.lit(b.tokens - b.history - 1) - F.col("_system"), F.lit(b.least))
-    begin = F.col("_before") + F.col("_in")
-    low, high = F.floor(begin / span), F.floor((begin + F.col("tokens") - 1) / span)
-    return turns.join(parts, ["_c", "_k"]).select(
-        "_c", "conv_id", "role", "text", "tokens", "_system", begin.alias("begin"), (2 * low + (high > low).cast("long")).alias("window")
-    )
+    share = F.greatest(F.lit(b.tokens - b.history - 1) - F.col("_system"), F.lit(b.least))
+    cross = F.least(F.lit(b.cross), F.floor(share / 4))
+    begin, step, more = F.col("_before") + F.col("_in"), share - cross, F.lit(b.tokens - 1) - share  # more: of the first window
+    nth = F.floor(F.greatest(begin - more, F.lit(0)) / step)
+    reaches = begin + F.col("tokens") > more + (nth + 1) * step + cross
+    window = F.when(F.col("_all") < b.tokens, 0).otherwise(2 * nth + reaches.cast("long"))
+    return turns.join(parts, ["_c", "_k"]).select("_c", "conv_id", "role", "text", "tokens", "_system", begin.alias("begin"), window.cast("long").alias("window"))
 
 
 def windows(conversations: DataFrame, ranks: str, budget: Budget | None = None) -> DataFrame:

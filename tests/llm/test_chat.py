@@ -63,6 +63,20 @@ def test_windows_repeat_system_and_history(spark):
     assert chat.read_back(chat.windows(df.limit(0), RANKS)).count() == 0
 
 
+def test_windows_are_filled(spark):
+    """A conversation within the budget is one window; those of a long one are full but for turns that do not fit."""
+    rnd = random.Random(3)
+    rows = [(1, t, "user" if t % 2 else "assistant", " ".join(rnd.choice(["some", "words", "here"]) for _ in range(rnd.randint(5, 180)))) for t in range(1500)]
+    rows += [(2, 0, "system", "be brief")] + [(2, t, "assistant", "word " * 100) for t in range(1, 20)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.windows(df, RANKS).collect()
+    short = [w for w in made if w.conv_id == 2]
+    assert len(short) == 1 and short[0].turns == 20 and short[0].repeated == 0 and 1900 < short[0].tokens <= 2048
+    long = sorted((w for w in made if w.conv_id == 1), key=lambda w: w.window)[:-1]
+    assert all(w.tokens <= 2048 for w in long) and sum(w.tokens for w in long) / len(long) > 0.8 * 2048
+    assert sum(w.turns == 1 for w in long) < 0.05 * len(long)
+
+
 def test_escape_is_reversible():
     rnd = random.Random(1)
     bits = ["<", "s>", "/", "\\", "[", "INST]", "ROLE]", "</s>", "a"]
