@@ -7,7 +7,9 @@ of its shingles. The work runs in these steps, each a Spark job over written tab
 1. Profiles: size, class and signature of every text, and a bounded sketch of how common shingles are.
 2. Blocks: of each set the shingles that any linked set must share one of, rarest first after the
    sketch (n - ceil(num n / den) + 1 of them; any total order keeps every link). Classes that share
-   one form a block.
+   one form a block. Shingles that the sketch calls very common are left out of the blocks that one task
+   builds: their entries are dealt out one by one, and what such a block needs as a whole, two of its
+   members and a name for its set of classes, are sums and minima that Spark merges.
 3. A block is joined with itself by a signature tree. Its nodes hold the bitwise or of their
    members' bitmaps and the range of their sizes; two nodes are traversed together while the bits
    in common and the sizes allow some pair of members the overlap a link needs; what a set has
@@ -19,8 +21,9 @@ of its shingles. The work runs in these steps, each a Spark job over written tab
 4. Pairs that the signatures allow are compared exactly, on the shingles of their whole texts.
 5. Links become components by alternating star contractions.
 
-No step builds all pairs of a family, and no family meets in one task. Nothing is capped: every
-pair of classes that could link is compared or already connected.
+No step builds all pairs of a family, and no family that is larger than ``hot_above`` meets in one
+task. Nothing is capped: every pair of classes that could link is compared or already connected. Sets are told
+apart by 64-bit names.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. A null
 ``doc_id`` counts as larger than all others. Repeated rows give repeated results. An empty table
@@ -33,10 +36,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.shingles import class_of, sets
+from flowspark.llm.shingles import class_of, mix, sets
 from flowspark.session import cut_lineage
 
 BITS = 2048  # of a signature
@@ -46,6 +50,9 @@ LEAF = 32
 NODE = 1024  # classes of a block that travel together
 BLOCK_ENTRIES = 100_000
 SEEN = 300_000
+HOT = 50_000  # documents of a shingle from which on its block is built by all tasks
+HOT_PARTS = 256
+SALTS = 64
 HUB_PAIRS = 64  # pairs that one copy of a compared text serves, about
 
 
@@ -104,8 +111,17 @@ def merged_sketch(profile: DataFrame) -> np.ndarray:
     return out
 
 
+def hot_above(sketch: np.ndarray) -> float:
+    """Count of a cell from which on its shingles are dealt out: well above what unrelated shingles add up to."""
+    return max(HOT, 2 * float(sketch.mean()))
+
+
 def entries(docs: DataFrame, sketch: np.ndarray, words: int, num: int, den: int, blocks: int) -> DataFrame:
-    """Per task and ``part``: packed shingles (key), classes, sizes and places of the shingles in their set's order."""
+    """Per task and ``part``: packed shingles (key), classes, sizes and places of the shingles in their set's order.
+
+    Parts below 0 hold the entries of very common shingles, dealt by shingle and class.
+    """
+    limit = hot_above(sketch)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +132,11 @@ def entries(docs: DataFrame, sketch: np.ndarray, words: int, num: int, den: int,
         def close() -> pa.RecordBatch:
             key, name, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
             part = (key % np.uint64(blocks)).astype(np.int64)
+            hot = common[cells_of(key)] > limit
+            part[hot] = -1 - (mix(key[hot] ^ name[hot].view(np.uint64)) % np.uint64(HOT_PARTS)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part = part[order]
-            edge = np.flatnonzero(np.diff(part, prepend=-1))
+            edge = np.flatnonzero(np.diff(part, prepend=part[0] - 1))
             cols = [np.split(x[order], edge[1:]) for x in (key, name, n, place)]
             packed = [pa.array([x.tobytes() for x in c], pa.binary()) for c in cols]
             return pa.RecordBatch.from_arrays([pa.array(part[edge]), *packed], ["part", "key", "class", "n", "place"])
@@ -154,10 +172,10 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, overlap: np.ndarray, num: int, de
 
 
 def blocks_of(packed: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of small blocks, and of larger ones with two of their classes; and larger blocks
-    themselves as rows of (block, class, n, place)."""
+    """Pairs (a, b) of small blocks, and of larger ones with two of their classes; larger blocks
+    themselves as rows of (block, class, n, place); and entries of very common shingles as (key, class, n, place)."""
 
-    def work(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    def work(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([np.frombuffer(r["key"], np.uint64) for r in rows])
         name = np.concatenate([np.frombuffer(r["class"], np.int64) for r in rows])
         n = np.concatenate([np.frombuffer(r["n"], np.uint32) for r in rows]).astype(np.int64)
@@ -167,6 +185,10 @@ def blocks_of(packed: DataFrame, num: int, den: int) -> DataFrame:
         once = np.ones(len(key), bool)
         once[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
         key, name, n, place = key[once], name[once], n[once], place[once]
+        if part < 0:
+            blank = pa.nulls(len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(name), pa.array(n), pa.array(place), pa.array(key.view(np.int64))], names)
+            return
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(first, len(key)))
         size = np.repeat(count, count)
@@ -191,27 +213,44 @@ def blocks_of(packed: DataFrame, num: int, den: int) -> DataFrame:
                 offer(np.full(c - 1, hub), others[others != hub])
             members = name[f : f + c]
             blank = pa.nulls(c, pa.int64())
-            yield pa.RecordBatch.from_arrays([blank, blank, pa.array(np.full(c, class_of(members.view(np.uint64)))), pa.array(members), pa.array(n[f : f + c]), pa.array(place[f : f + c])], names)
+            yield pa.RecordBatch.from_arrays([blank, blank, pa.array(np.full(c, class_of(members.view(np.uint64)))), pa.array(members), pa.array(n[f : f + c]), pa.array(place[f : f + c]), blank], names)
         if left:
             both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
             blank = pa.nulls(len(both), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), blank, blank, blank, blank], names)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), blank, blank, blank, blank, blank], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
         for b in batches:
             for r in b.to_pylist():
                 if r["part"] != part and rows:
-                    yield from work(rows)
+                    yield from work(part, rows)
                     rows = []
                 part = r["part"]
                 rows.append(r)
         if rows:
-            yield from work(rows)
+            yield from work(part, rows)
 
-    names = ["a", "b", "block", "class", "n", "place"]
+    names = ["a", "b", "block", "class", "n", "place", "key"]
     dealt = packed.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "a long, b long, block long, class long, n long, place long")
+    return dealt.mapInArrow(run, "a long, b long, block long, class long, n long, place long, key long")
+
+
+def dealt_blocks(hot: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) with two classes of each block, and rows (block, class, n, place), of entries (key, class, n, place).
+
+    The two are those with the fewest rarer shingles among the classes of either parity.
+    """
+    rows = hot.withColumns({"h": F.xxhash64("class"), "salt": F.pmod(F.xxhash64("class", "key"), F.lit(SALTS)).cast("int")})
+    member = F.struct("place", "class", "n")
+    least = lambda odd: F.min(F.when(F.pmod("h", F.lit(2)) == odd, member)).alias(f"hub{odd}")
+    names = F.xxhash64(F.sum(F.col("h").cast("decimal(38,0)")), F.count("*")).alias("block")
+    of_key = rows.groupBy("key").agg(least(0), least(1), names)
+    met = rows.join(of_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"])
+    hubs = met.withColumn("hub", F.explode(F.array("hub0", "hub1"))).where("hub IS NOT NULL AND hub.class <> class")
+    overlap = F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place"))
+    hubs = hubs.where(overlap * (num + den) >= num * (F.col("n") + F.col("hub.n")))
+    return hubs.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")), met.select("block", "class", "n", "place")
 
 
 def bits(column: pa.Array) -> np.ndarray:
@@ -364,7 +403,7 @@ def open_pairs(blocks: DataFrame, roots: DataFrame, classes: DataFrame, num: int
 
     def nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of up to NODE classes of one block, as the upper nodes of its tree."""
-        block, held, number = None, [], 0
+        block, held, number = None, [], TaskContext.get().partitionId() << 32  # a block may cover several tasks
 
         def close() -> pa.RecordBatch:
             name, n, label, reach = (np.array([r[k] for r in held], np.int64) for k in ("class", "n", "label", "reach"))
@@ -379,7 +418,7 @@ def open_pairs(blocks: DataFrame, roots: DataFrame, classes: DataFrame, num: int
                 if r["block"] != block or len(held) == NODE:
                     if held:
                         yield close()
-                    number = number + 1 if r["block"] == block else 0
+                    number += 1
                     block, held = r["block"], []
                 held.append(r)
         if held:
@@ -389,10 +428,13 @@ def open_pairs(blocks: DataFrame, roots: DataFrame, classes: DataFrame, num: int
     binary, long = pa.binary(), pa.int64()
     node_schema = pa.schema(list(zip(node_names, [long, long, binary, binary, binary, binary, binary, binary, long, long, long, long, long], strict=True)))
     ddl = "block long, number long, class binary, n binary, label binary, reach binary, sig binary, top binary, least long, most long, spare long, only long, far long"
-    made = cut_lineage(rows.repartition("block").sortWithinPartitions("block", "label", "n", "class").mapInArrow(nodes, ddl))
+    made = cut_lineage(rows.repartitionByRange("block", "label", "n", "class").sortWithinPartitions("block", "label", "n", "class").mapInArrow(nodes, ddl))
     top = ["block", "number", "top", "least", "most", "spare", "only", "far"]
     x, y = (made.select("block", *[F.col(c).alias(f"{c}_{s}") for c in top[1:]]) for s in "xy")
-    pairs = x.join(y, "block").where("number_x <= number_y AND NOT only_x <=> only_y OR number_x <= number_y AND only_x IS NULL")
+    salts = made.groupBy("block").agg(F.ceil(F.count("*") / SALTS).cast("int").alias("salts"))
+    x = x.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("number_x"), F.col("salts")).cast("int")).drop("salts")
+    y = y.join(salts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    pairs = x.join(y, ["block", "salt"]).where("number_x <= number_y AND NOT only_x <=> only_y OR number_x <= number_y AND only_x IS NULL")
 
     def prune(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -449,9 +491,11 @@ def linked(docs: DataFrame, words: int, num: int, den: int, doc_id: str, text: s
     total = own.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).collect()[0][0] or 0
     sketch = merged_sketch(profile)
     found = cut_lineage(blocks_of(entries(docs, sketch, words, num, den, max(1, -(-int(total) // BLOCK_ENTRIES))), num, den))
-    pairs = cut_lineage(allowed(found.where("a IS NOT NULL").select("a", "b").distinct(), classes, num, den))
+    met, dealt = dealt_blocks(found.where("key IS NOT NULL").select("key", "class", "n", "place"), num, den)
+    pairs = found.where("a IS NOT NULL").select("a", "b").unionByName(met)
+    pairs = cut_lineage(allowed(pairs.distinct(), classes, num, den))
     # blocks of the same classes are one, with the smallest place that a class has in any of them
-    blocks = found.where("block IS NOT NULL").groupBy("block", "class", "n").agg(F.min("place").alias("place"))
+    blocks = found.where("block IS NOT NULL").select("block", "class", "n", "place").unionByName(dealt).groupBy("block", "class", "n").agg(F.min("place").alias("place"))
 
     # the texts that any comparison needs, fetched once
     wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(blocks.select("class")).distinct())

@@ -70,8 +70,13 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(texts)] + [(None, texts[5]), (None, "only without id"), (7, texts[7]), (7, "another text of one id")]
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 80, 100)])
-def test_components_equal_brute_force(spark, k, num, den):
+@pytest.mark.parametrize(("k", "num", "den", "hot", "node"), [(4, 85, 100, None, None), (5, 80, 100, None, None), (4, 85, 100, 8, 4), (5, 80, 100, 40, 7)])
+def test_components_equal_brute_force(spark, monkeypatch, k, num, den, hot, node):
+    """Also with most shingles dealt out one by one, and with trees of many nodes."""
+    if hot:
+        monkeypatch.setattr(sigtree, "HOT", hot)
+        monkeypatch.setattr(sigtree, "SALTS", 2)
+        monkeypatch.setattr(sigtree, "NODE", node)
     rows = corpus(k)
     df = spark.createDataFrame([(doc, t, 1, "c") for doc, t in rows], "doc_id long, text string, class int, n string").repartition(5)
     got = sorted([tuple(r) for r in sigtree.near_duplicates(df, k, num, den).collect()], key=str)
@@ -133,3 +138,19 @@ def test_a_row_meets_its_own_class_only(spark, monkeypatch):
     got = sigtree.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 60, 100).collect()
     assert seen == [80]
     assert sorted(map(tuple, got), key=str) == brute(rows, 5, 60, 100)
+
+
+def test_letters_of_one_form_meet_in_no_task(spark, monkeypatch):
+    """Letters that differ in one word: no task holds the entries of their common shingles."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sigtree, "HOT", 300)
+    form = " ".join(f"f{i}" for i in range(100))
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("dear n"), F.col("id").cast("string"), F.lit(" " + form)).alias("text")).repartition(6)
+    sketch = sigtree.merged_sketch(sigtree.profiles(df, 5))
+    packed = sigtree.entries(df, sketch, 5, 80, 100, 20)
+    part = packed.groupBy("part").agg((F.sum(F.length("key")) / 8).alias("n")).collect()
+    total, most = sum(r.n for r in part), max(r.n for r in part)
+    print(f"{total:.0f} entries, {most:.0f} in the largest part")
+    assert total > 100_000 and most < 0.02 * total
+    assert {r.component_id for r in sigtree.near_duplicates(df).collect()} == {0}
