@@ -67,11 +67,12 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    stay = copies(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_own", F.sha2(normalised(body), 256)).withColumn("_chars", F.length(body))
-    met = rows.join(stay, rows["_own"].eqNullSafe(stay["_sha"]) & rows[doc_id].eqNullSafe(stay["_id"]))
+    """The rows that stay, with all their columns, whatever their names."""
+    stay = copies(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("sha"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(f"`{doc_id}`").alias("id"), F.sha2(normalised(body), 256).alias("own"), F.length(body).alias("chars"))
+    met = rows.join(stay, F.col("own").eqNullSafe(F.col("sha")) & F.col("id").eqNullSafe(F.col("keep")))
     # rows of one id and one normalised text: the longest stays, one of equals
-    first = F.row_number().over(Window.partitionBy("_own", doc_id).orderBy(F.desc("_chars")))
-    return met.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("own", "id").orderBy(F.desc("chars")))
+    return met.withColumn("first", first).where("first = 1").select("row.*")
