@@ -7,16 +7,22 @@ filters keep rows with all their columns; a row goes only for the reason its sta
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.llm import dedup, langid, packing, quality, sigtree
 from flowspark.session import cut_lineage, prepare
 
+ROW = "row"  # a whole document in one column, so that no name of its columns can clash with one added to it
 LEAST_LANGUAGE_SCORE = 0.4
 LEAST_QUALITY_SCORE = 0.3
 
 
+def whole(docs: DataFrame, **added: Column) -> DataFrame:
+    """Each document as one struct, with further columns beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW), *[c.alias(n) for n, c in added.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is told with some certainty; those without a letter go.
 
@@ -27,8 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if net is None:
         return docs.where(langid.lettered(F.col("text")).isNotNull())
     told = langid.predictor(net)(F.col("text"))
-    kept = docs.withColumn("_told", told).where((F.col("_told.lang_pred") != langid.UNKNOWN) & (F.col("_told.score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(*docs.columns)
+    kept = whole(docs, told=told).where((F.col("told.lang_pred") != langid.UNKNOWN) & (F.col("told.score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(f"{ROW}.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +47,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = quality.fit(quality.features(learned), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model.only is not None:
         return docs
-    kept = docs.withColumn("_score", quality.scorer(model)(F.col("text"))).where(F.col("_score") >= LEAST_QUALITY_SCORE)
-    return kept.select(*docs.columns)
+    kept = whole(docs, score=quality.scorer(model)(F.col("text"))).where(F.col("score") >= LEAST_QUALITY_SCORE)
+    return kept.select(f"{ROW}.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +65,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the stage before. Texts without words are linked with nothing and stay.
     """
     prepare(spark)
-    stay = sigtree.representatives(docs, words=5, num=80, den=100).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (F.xxhash64(docs["text"]) == stay["_hash"]), "left_semi")
+    stay = sigtree.representatives(docs, words=5, num=80, den=100).select(F.col("doc_id").alias("stay_id"), F.col("hash").alias("stay_hash"))
+    rows = whole(docs, id=F.col("doc_id"), hash=F.xxhash64("text"))
+    met = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash")), "left_semi")
+    return met.select(f"{ROW}.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
