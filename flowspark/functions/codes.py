@@ -150,6 +150,15 @@ def transit_class(tags: Column) -> Column:
     )
 
 
+# Street furniture by tag key and value.
+STREET_TAGS = {"crossing": ("highway", "crossing"), "signals": ("highway", "traffic_signals"), "bicycle_rental": ("amenity", "bicycle_rental")}
+
+
+def street_class(tags: Column) -> Column:
+    """Class of street furniture, null for other points."""
+    return F.coalesce(*[F.when(tags[key] == value, F.lit(name)) for name, (key, value) in STREET_TAGS.items()])
+
+
 def one_hot_code(flags: Column) -> Column:
     """Index of the set flag, null unless exactly one is set (P-41)."""
     total = F.aggregate(flags, F.lit(0), lambda a, x: a + x.cast("int"))

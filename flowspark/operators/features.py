@@ -11,8 +11,8 @@ from flowspark.functions import codes, geo, num
 from flowspark.functions import time as tm
 from flowspark.functions.geo import GridSpec
 from flowspark.operators.grid import grid_table, landmark_distances, onto_grid
+from flowspark.operators.kmeans import kmeans
 from flowspark.operators.scale import scale
-from flowspark.session import cut_lineage
 
 
 def class_counts(points: DataFrame, g: GridSpec, cls: str, classes: list[str]) -> DataFrame:
@@ -230,11 +230,6 @@ def poi_regrid(points: DataFrame, cls: str, classes: list[str], metres: float =
 
 
 def poi_supernodes(bins: DataFrame, classes: list[str], k: int = 500, seed: int = 0) -> DataFrame:
-    """K-means of the bins into at most ``k`` super-nodes (A-30, second half)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    # one row per bin, read in every round: written once
-    d = VectorAssembler(inputCols=classes, outputCol="features").transform(cut_lineage(bins))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="supernode").fit(d)
-    return model.transform(d).drop("features")
+    """K-means of the bins into at most ``k`` super-nodes (A-30, second half): adds ``supernode`` and ``distance``."""
+    vec = F.array(*[F.col(c) for c in classes])
+    return kmeans(bins, ["bx", "by"], vec, k, seed)[0].withColumnRenamed("cluster", "supernode")

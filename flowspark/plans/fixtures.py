@@ -163,7 +163,7 @@ def cell_sql(lon: str, lat: str, rows: int = 8, cols: int = 8) -> str:
 TAG_KEYS = {"view": "amenity", "click": "office", "purchase": "shop", "signup": "leisure", "error": "highway"}
 TAG_VALUES = [
     "restaurant", "bank", "bakery", "clinic", "pitch", "government", "books", "bus_stop",
-    "parking", "place_of_worship", "cinema",
+    "parking", "place_of_worship", "cinema", "crossing", "traffic_signals", "bicycle_rental",
 ]
 SIDE_VALUES = ["house", "yes", "terrace"]
 
@@ -288,12 +288,12 @@ SELECT DISTINCT CASE WHEN length(p_name) % 2 = 1 THEN substr(p_name, 1, 1) || su
 """)
 
 
-# weather: hourly means of the even and of the odd events stand for two sources
-def weather_source(t: Tables, half: int) -> DataFrame:
+# weather: hourly means of all events; for queries that merge two sources those of the even and of the odd ones
+def weather_source(t: Tables, half: int | None = None) -> DataFrame:
     hour = F.floor(tm.step_of(F.col("ts")) / 2)
+    events = t.events if half is None else t.events.where(F.col("event_id") % 2 == half)
     return (
-        t.events.where(F.col("event_id") % 2 == half)
-        .groupBy(F.lit("bj").alias("city"), hour.alias("hour"))
+        events.groupBy(F.lit("bj").alias("city"), hour.alias("hour"))
         .agg(
             rnd(F.avg("value")).alias("temp"),
             F.round(F.max("value"), 2).alias("wind_speed"),
@@ -302,24 +302,25 @@ def weather_source(t: Tables, half: int) -> DataFrame:
     )
 
 
-for _n, _half in (("wa", 0), ("wb", 1)):
+for _n, _half in (("w", ""), ("wa", "WHERE event_id % 2 = 0"), ("wb", "WHERE event_id % 2 = 1")):
     cte(_n, f"""
     SELECT step // 2 AS hour, {_rnd("avg(value)", "temp")}, round(max(value), 2) AS wind_speed,
-      count(*) AS clouds_all FROM ev WHERE event_id % 2 = {_half} GROUP BY ALL
+      count(*) AS clouds_all FROM ev {_half} GROUP BY ALL
     """, ["ev"])
 
 
 @view
 def holidays(t: Tables) -> DataFrame:
-    """The city's holiday list (city, d), read from a text of dates: local days of every 500th event."""
+    """The city's holiday list (city, d), read from a text of dates: the Sundays among the local days of all events."""
     path = fresh_dir(t.spark, "holidays")
     day = tm.local_date(tm.step_of(F.col("ts")), TZ)
-    lines = F.array(F.date_format(day, "yyyy-MM-dd"), F.lit("# holidays"))
-    t.events.where(F.col("event_id") % 500 == 0).select(F.explode(lines).alias("value")).write.text(path)
+    lines = F.array(F.date_format("day", "yyyy-MM-dd"), F.lit("# holidays"))
+    days = t.events.select(day.alias("day")).distinct().where(F.dayofweek("day") == 1)
+    days.select(F.explode(lines).alias("value")).write.text(path)
     return read_dates(t.spark, path).select(F.lit(GRID.city).alias("city"), "d")
 
 
-cte("holidays", "SELECT DISTINCT CAST(make_timestamp((step + 16) * 1800000000) AS DATE) AS d FROM ev WHERE event_id % 500 = 0", ["ev"])
+cte("holidays", "SELECT d FROM (SELECT DISTINCT CAST(make_timestamp((step + 16) * 1800000000) AS DATE) AS d FROM ev) WHERE isodow(d) = 7", ["ev"])
 
 
 def vectors(t: Tables) -> DataFrame:

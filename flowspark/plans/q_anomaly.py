@@ -369,12 +369,12 @@ def alert_history(t: Tables) -> DataFrame:
     )
 
 
-@query("alert_context", sql(["hot", "scored", "wa_half_known", "holidays"], f"""
+@query("alert_context", sql(["hot", "scored", "w_steps_known", "holidays"], f"""
 SELECT h.step, h.grid_id, {rnd('s.inflow - s.mu', 'deviation')}, (SELECT count(*) FROM hot o WHERE o.step = h.step AND o.grid_id != h.grid_id
     AND abs(o."row" - h."row") <= 1 AND abs(o.col - h.col) <= 1) AS flagged_neighbours,
   CASE WHEN CAST(make_timestamp((h.step + 16) * 1800000000) AS DATE) IN (SELECT d FROM holidays) THEN 1 ELSE 0 END AS is_holiday,
   CASE WHEN pv_clouds_all >= 4 THEN 1 ELSE 0 END AS weather_extreme
-FROM hot h JOIN scored s USING (step, grid_id) LEFT JOIN wa_half_known w USING (step)"""))
+FROM hot h JOIN scored s USING (step, grid_id) LEFT JOIN w_steps_known w USING (step)"""))
 def alert_context(t: Tables) -> DataFrame:
     hot = scored(t).where(F.col("z") > Z_CLUSTER)
     around = an.flagged_neighbours(hot, BY, G)

@@ -117,27 +117,27 @@ def ffill_bfill(t: Tables) -> DataFrame:
     return series.ffill_bfill(fx.flow_null(t), KEYS, "step", ["inflow", "outflow"]).drop("city")
 
 
-cte("wa_half", """
-SELECT s.step, temp, clouds_all FROM (SELECT unnest(range(min(hour) * 2, max(hour) * 2 + 1)) AS step FROM wa) s
-LEFT JOIN wa ON wa.hour * 2 = s.step""", ["wa"])
-cte("wa_half_known", known_sql("wa_half", "step", ["temp", "clouds_all"]), ["wa_half"])
+cte("w_steps", """
+SELECT s.step, temp, clouds_all FROM (SELECT unnest(range(min(hour) * 2, max(hour) * 2 + 1)) AS step FROM w) s
+LEFT JOIN w ON w.hour * 2 = s.step""", ["w"])
+cte("w_steps_known", known_sql("w_steps", "step", ["temp", "clouds_all"]), ["w_steps"])
 
 
 @view
 def weather_steps(t: Tables) -> DataFrame:
-    return wx.upsample(fx.weather_source(t, 0).drop("wind_speed"), ["city"], ["temp", "clouds_all"])
+    return wx.upsample(fx.weather_source(t).drop("wind_speed"), ["city"], ["temp", "clouds_all"])
 
 
-@query("upsample_asof", sql(["wa_half_known"], f"""
-SELECT step, {rnd('pv_temp', 'temp')}, pv_clouds_all AS clouds_all FROM wa_half_known"""))
+@query("upsample_asof", sql(["w_steps_known"], f"""
+SELECT step, {rnd('pv_temp', 'temp')}, pv_clouds_all AS clouds_all FROM w_steps_known"""))
 def upsample_asof(t: Tables) -> DataFrame:
     return weather_steps(t).select("step", r(F.col("temp")).alias("temp"), "clouds_all")
 
 
-@query("asof_alignment", sql(["sparse", "wb"], f"""
-SELECT grid_id, step, inflow, {rnd('temp', 'temp')} FROM sparse s ASOF LEFT JOIN (SELECT hour * 2 AS st, temp FROM wb) w ON s.step >= w.st"""))
+@query("asof_alignment", sql(["sparse", "w"], f"""
+SELECT grid_id, step, inflow, {rnd('temp', 'temp')} FROM sparse s ASOF LEFT JOIN (SELECT hour * 2 AS st, temp FROM w) h ON s.step >= h.st"""))
 def asof_alignment(t: Tables) -> DataFrame:
-    right = fx.weather_source(t, 1).withColumn("step", F.col("hour") * 2)
+    right = fx.weather_source(t).withColumn("step", F.col("hour") * 2)
     d = wx.asof_join(fx.flow_sparse(t), right, ["city"], "step", ["temp"])
     return d.select("grid_id", "step", "inflow", r(F.col("temp")).alias("temp"))
 
@@ -161,10 +161,10 @@ def weather_outer_merge(t: Tables) -> DataFrame:
     return merged_weather(t).select("hour", *[r(F.col(c)).alias(c) for c in ("temp", "wind_speed", "clouds_b")])
 
 
-@query("flow_covariate_join", sql(["flow", "wa_half_known", "temporal_all", "holidays"], f"""
+@query("flow_covariate_join", sql(["flow", "w_steps_known", "temporal_all", "holidays"], f"""
 SELECT grid_id, f.step, inflow, {rnd('pv_temp', 'temp')}, {', '.join(rnd(c, c) for c in _TCOLS)}, is_weekend,
   CASE WHEN CAST(make_timestamp((f.step + 16) * 1800000000) AS DATE) IN (SELECT d FROM holidays) THEN 1 ELSE 0 END AS is_holiday
-FROM flow f LEFT JOIN wa_half_known w USING (step) JOIN temporal_all tt USING (step)"""))
+FROM flow f LEFT JOIN w_steps_known w USING (step) JOIN temporal_all tt USING (step)"""))
 def flow_covariate_join(t: Tables) -> DataFrame:
     d = wx.covariates(fx.flow(t), weather_steps(t), ["city"], fx.TZ, fx.holidays(t))
     return d.select(
@@ -175,7 +175,7 @@ def flow_covariate_join(t: Tables) -> DataFrame:
 
 def forecast_documents(t: Tables) -> DataFrame:
     """One JSON document per day: at most 24 hourly entries each, every third hour of the source."""
-    a = fx.weather_source(t, 0).groupBy("city", F.floor(F.col("hour") / 3).alias("h3")).agg(
+    a = fx.weather_source(t).groupBy("city", F.floor(F.col("hour") / 3).alias("h3")).agg(
         r(F.avg("temp"), 4).alias("temp"), F.max("wind_speed").alias("speed"), F.sum("clouds_all").alias("n")
     )
     ts = F.timestamp_seconds(F.col("h3") * 10800)
@@ -193,7 +193,7 @@ def forecast_documents(t: Tables) -> DataFrame:
 
 cte("fc3", f"""
 SELECT hour // 3 * 6 AS step, {rnd('avg(temp)', 'temp', 4)}, max(wind_speed) AS wind_speed, CAST(sum(clouds_all) AS BIGINT) AS n
-FROM wa GROUP BY 1""", ["wa"])
+FROM w GROUP BY 1""", ["w"])
 cte("fc3_grid", """
 SELECT s.step, temp, wind_speed, CASE WHEN n IS NOT NULL THEN 200 + (n * 97) % 700 END AS weather_code
 FROM (SELECT unnest(range(min(step), max(step) + 1)) AS step FROM fc3) s LEFT JOIN fc3 USING (step)""", ["fc3"])

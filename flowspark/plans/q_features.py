@@ -10,6 +10,7 @@ from flowspark.functions.num import rnd as r
 from flowspark.operators import features as ft
 from flowspark.operators import grid as gr
 from flowspark.operators import transit as tr
+from flowspark.operators.profile import distinct_sketches, distinct_within
 from flowspark.plans import fixtures as fx
 from flowspark.plans.oracle import cte, rnd, sql
 from flowspark.plans.registry import query
@@ -97,6 +98,24 @@ def parking_density(t: Tables) -> DataFrame:
     return _counts(parking(t), ["parking"])
 
 
+@view
+def street(t: Tables) -> DataFrame:
+    kind = codes.street_class(F.col("tags"))
+    p = src.tagged_points(fx.osm_nodes(t), G, kind.isNotNull())
+    return ft.class_counts(p.select(geo.cell_id(F.col("lon"), F.col("lat"), G).alias("grid_id"), kind.alias("kind")), G, "kind", list(codes.STREET_TAGS))
+
+
+_STREET = ", ".join(f"coalesce(n_{n}, 0) AS {n}_count, {rnd(f'coalesce(n_{n}, 0) / area_km2', f'{n}_density')}" for n in codes.STREET_TAGS)
+
+
+@query("street_density", sql(["cells", "nodes"], f"""
+SELECT g.grid_id, {_STREET} FROM cells g LEFT JOIN (
+  SELECT grid_id, {', '.join(f"count(*) FILTER (key1 = '{k}' AND val1 = '{v}') AS n_{n}" for n, (k, v) in codes.STREET_TAGS.items())} FROM nodes GROUP BY 1) USING (grid_id)"""))
+def street_density(t: Tables) -> DataFrame:
+    """Crossings, signals and bicycle rental per cell, in one pass."""
+    return _counts(street(t), list(codes.STREET_TAGS))
+
+
 _LEN = "CAST(sqrt(pow(({bx} - {ax}) * 111.32::DOUBLE * cos(radians(({ay} + {by}) / 2)), 2) + pow(({by} - {ay}) * 111.32::DOUBLE, 2)) AS DOUBLE)"
 _AT = {f"{a}{q}": f"({a}0 + ({a}1 - {a}0) * t{i})" for a in "xy" for i, q in ((0, "s"), (1, "e"))}
 cte("roads", f"""
@@ -293,7 +312,7 @@ def poi_regrid(t: Tables) -> DataFrame:
 @query("poi_supernodes")
 def poi_supernodes(t: Tables) -> DataFrame:
     bins = ft.poi_regrid(classified(t), "category", codes.POI_CLASSES)
-    d = ft.poi_supernodes(bins, codes.POI_CLASSES, k=64)
+    d = ft.poi_supernodes(bins, codes.POI_CLASSES)
     return d.groupBy("supernode").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_points"))
 
 
@@ -309,6 +328,18 @@ def soft_edges(t: Tables) -> DataFrame:
     return _rounded(e, ["km", "weight"], ["src", "dst"])
 
 
+@query("bicycle_edges", sql(["nodes", "cells"], f"""
+SELECT src, dst, {rnd('km', 'km')}, {rnd('exp(-km / 3.0::DOUBLE) * 0.3::DOUBLE', 'weight')} FROM (
+  SELECT a.grid_id AS src, b.grid_id AS dst, 2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(b.center_lat - a.center_lat) / 2), 2)
+    + cos(radians(a.center_lat)) * cos(radians(b.center_lat)) * pow(sin(radians(b.center_lon - a.center_lon) / 2), 2))) AS km
+  FROM cells a, cells b WHERE a.grid_id != b.grid_id
+    AND a.grid_id IN (SELECT grid_id FROM nodes WHERE key1 = 'amenity' AND val1 = 'bicycle_rental')
+    AND b.grid_id IN (SELECT grid_id FROM nodes WHERE key1 = 'amenity' AND val1 = 'bicycle_rental')) WHERE km <= 8"""))
+def bicycle_edges(t: Tables) -> DataFrame:
+    e = gr.soft_edges(street(t).where("bicycle_rental_count > 0"), G, km=8.0)
+    return _rounded(e, ["km", "weight"], ["src", "dst"])
+
+
 @query("radius_edges", sql(["classified", "cells"], f"""
 SELECT id AS poi, grid_id, edge_type, {rnd('km', 'km')} FROM (
   SELECT n.id, c.grid_id, n.grid_id AS home, 2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(center_lat - lat) / 2), 2)
@@ -336,3 +367,17 @@ def range_join_cells(t: Tables) -> DataFrame:
         (cy - half).alias("lat_min"), (cy + half).alias("lat_max"),
     )
     return gr.cells_containing(points, boxes, "event_id", 0.05)
+
+
+@query("route_sketches", """
+SELECT l_suppkey % 64 AS grid_id, year(l_shipdate) * 2 + (month(l_shipdate) - 1) // 6 AS half, count(DISTINCT l_partkey) AS n_routes, true AS within
+FROM lineitem GROUP BY ALL""")
+def route_sketches(t: Tables) -> DataFrame:
+    """Different routes per cell and half-year from monthly sketches, held against the exact count: 5 % or 2 off at most."""
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
+    d = t.lineitem.select((F.col("l_suppkey") % 64).alias("grid_id"), month.alias("month"), F.col("l_partkey").alias("route"))
+    half = F.floor(F.col("month") / 6)
+    told = distinct_within(distinct_sketches(d, ["grid_id"], "month", "route"), ["grid_id"], "month", half)
+    exact = d.groupBy("grid_id", half.alias("range")).agg(F.count_distinct("route").alias("n_routes"))
+    off = F.abs(F.col("estimate") - F.col("n_routes")) <= F.greatest(F.lit(2.0), 0.05 * F.col("n_routes"))
+    return told.join(exact, ["grid_id", "range"]).select("grid_id", F.col("range").alias("half"), "n_routes", off.alias("within"))

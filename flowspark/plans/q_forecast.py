@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.num import rnd as r
+from flowspark.operators import arma
 from flowspark.operators import forecast as fc
 from flowspark.operators import metrics as mt
 from flowspark.operators import pooled
@@ -188,6 +189,23 @@ def common_order(t: Tables) -> DataFrame:
     return fc.most_common(fc.select_order(orders(t), KEYS).select("p"), "p")
 
 
+@view
+def arma_fits(t: Tables) -> DataFrame:
+    return arma.arma_orders(fx.flow_split(t).where("is_train"), "inflow", KEYS, "step")
+
+
+@query("arma_order_selection")
+def arma_order_selection(t: Tables) -> DataFrame:
+    """(p, q) with the smallest AIC per cell."""
+    return arma.select_arma(arma_fits(t), KEYS).select("grid_id", "p", "q", r(F.col("aic"), 4).alias("aic"))
+
+
+@query("unit_root_lagged")
+def unit_root_lagged(t: Tables) -> DataFrame:
+    d = arma.unit_root_lagged(fx.flow_split(t).where("is_train"), "inflow", KEYS, "step")
+    return d.select("grid_id", "d", r(F.col("stat"), 4).alias("stat"), "lags", "stationary")
+
+
 def fourier(t: Tables) -> DataFrame:
     d = fx.flow_split(t)
     fit = fc.fourier_fit(d.where("is_train"), "inflow", KEYS, "step", fx.TZ)

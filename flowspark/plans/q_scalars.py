@@ -36,14 +36,14 @@ def slot_date_parse(t: Tables) -> DataFrame:
     return d.withColumn("step", tm.step_of(tm.parse_slot_date(F.col("slot_date"), TZ)))
 
 
-@query("weather_time_parse", sql(["wa"], """
+@query("weather_time_parse", sql(["w"], """
 SELECT strftime(make_timestamp((hour + 8) * 3600000000), '%Y%m%d%H%M') AS local_text,
        strftime(make_timestamp(hour * 3600000000), '%Y-%m-%d %H:%M:%S') || ' +0000 UTC' AS dt_iso,
-       hour * 3600 AS utc_a, hour * 3600 AS utc_b, ((hour + 8) % 24) * 60 AS first_minutes FROM wa"""))
+       hour * 3600 AS utc_a, hour * 3600 AS utc_b, ((hour + 8) % 24) * 60 AS first_minutes FROM w"""))
 def weather_time_parse(t: Tables) -> DataFrame:
     ts = F.timestamp_seconds(F.col("hour") * 3600)
     local = tm.shift_hours(ts, TZ)
-    d = fx.weather_source(t, 0).select(
+    d = fx.weather_source(t).select(
         F.date_format(local, "yyyyMMddHHmm").alias("local_text"),
         F.concat(tm.ts_text(ts), F.lit(" +0000 UTC")).alias("dt_iso"),
         F.date_format(local, "HH:mm").alias("_hm"),

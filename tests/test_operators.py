@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from flowspark.functions import codes
 from flowspark.functions.geo import GridSpec
 from flowspark.operators import anomaly as an
+from flowspark.operators import arma
 from flowspark.operators import clean, features as ft
 from flowspark.operators import forecast as fc
+from flowspark.operators import kmeans as km
 from flowspark.operators import match as ma
 from flowspark.operators import metrics as mt
-from flowspark.operators import pooled
+from flowspark.operators import pooled, profile
 from flowspark.operators import weather as wx
 from flowspark.operators.scale import scale
 
@@ -315,3 +317,138 @@ def test_class_counts_cover_every_cell(spark):
 
 def test_node_feature_columns():
     assert len(ft.NODE_FEATURES) == 41 and set(ft.FEATURE_GROUP) == set(ft.NODE_FEATURES)
+
+
+def lagged_matrix(x, lags):
+    """Rows t = lags.. of the columns x_t, x_{t-1}, .., x_{t-lags}."""
+    return np.stack([x[lags - k : len(x) - k] for k in range(lags + 1)], 1)
+
+
+def least_squares(y, cols):
+    x = np.stack([np.ones(len(y)), *cols], 1)
+    b = np.linalg.lstsq(x, y, rcond=None)[0]
+    return b, float(((y - x @ b) ** 2).sum()), x
+
+
+def arma_series(n=700, seed=3):
+    rng = np.random.default_rng(seed)
+    out = {}
+    for g, (phi, theta) in enumerate([((0.6,), ()), ((), (0.8,)), ((0.5, -0.3), (0.6,)), ((0.9,), (-0.5, 0.3))]):
+        e, x = rng.normal(size=n), np.zeros(n)
+        for t in range(2, n):
+            x[t] = sum(p * x[t - 1 - i] for i, p in enumerate(phi)) + e[t] + sum(q * e[t - 1 - i] for i, q in enumerate(theta))
+        out[g] = 50 + x
+    return out
+
+
+def frame_of(spark, found):
+    rows = [("bj", g, i + 7, float(v)) for g, x in found.items() for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "city string, grid_id long, step long, inflow double")
+
+
+def test_arma_orders_match_two_regressions(spark):
+    found = arma_series()
+    got = arma.arma_orders(frame_of(spark, found), "inflow", ["city", "grid_id"], "step")
+    table = {(r.grid_id, r.p, r.q): r for r in got.collect()}
+    best = {r.grid_id: (r.p, r.q) for r in arma.select_arma(got, ["city", "grid_id"]).collect()}
+    for g, x in found.items():
+        x = x - x.mean()
+        lags = lagged_matrix(x, arma.LONG + 2)
+        n = len(lags)
+        c, _, _ = least_squares(lags[:, 0], [lags[:, i] for i in range(1, arma.LONG + 1)])
+        shock = [lags[:, j] - c[0] - sum(c[i] * lags[:, j + i] for i in range(1, arma.LONG + 1)) for j in (1, 2)]
+        scores = {}
+        for p in range(4):
+            for q in range(3):
+                if p + q:
+                    b, rss, _ = least_squares(lags[:, 0], [*(lags[:, i] for i in range(1, p + 1)), *shock[:q]])
+                    scores[p, q] = n * math.log(rss / n) + 2 * (p + q + 1)
+                    r = table[g, p, q]
+                    assert r.aic == pytest.approx(scores[p, q], abs=1e-6)
+                    np.testing.assert_allclose(r.coef, b, atol=1e-7)
+        assert best[g] == min(scores, key=lambda k: (scores[k], k))
+    assert len(table) == 4 * 11 and any(q > 0 for _, q in best.values())
+
+
+def test_lagged_unit_root_matches_least_squares(spark):
+    rng = np.random.default_rng(4)
+    found = arma_series(500)
+    found |= {10: np.cumsum(rng.normal(size=500)), 11: np.cumsum(np.cumsum(rng.normal(size=500))), 12: np.full(500, 3.0)}
+    got = {r.grid_id: r for r in arma.unit_root_lagged(frame_of(spark, found), "inflow", ["city", "grid_id"], "step", 6).collect()}
+    for g, x in found.items():
+        if g == 12:
+            continue
+        for d in range(3):
+            w = np.diff(x, d) if d else x
+            change = np.diff(w)
+            rows = len(x) - 9  # those of the levels with all lags, whatever d
+            y = change[-rows:]
+            lag = lambda k: change[len(change) - rows - k : len(change) - k]
+            level = w[len(w) - rows - 1 : len(w) - 1]
+            fits = []
+            for k in range(7):
+                b, rss, m = least_squares(y, [level, *(lag(i) for i in range(1, k + 1))])
+                se = math.sqrt(rss / (rows - k - 2) * np.linalg.inv(m.T @ m)[1, 1])
+                fits.append((rows * math.log(rss / rows) + 2 * (k + 2), b[1] / se, k))
+            _, stat, k = min(fits, key=lambda f: f[0])
+            if stat < arma.CRITICAL or d == 2:
+                break
+        r = got[g]
+        assert (r.d, r.lags, r.stationary) == (d, k, d == 0 and stat < arma.CRITICAL)
+        assert r.stat == pytest.approx(stat, rel=1e-5, abs=1e-6)
+    assert got[0].d == 0 and got[11].d == 2 and 12 in got
+
+
+def test_kmeans_matches_numpy_and_repeats(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 5)) * 4
+    x = np.round(centres[rng.integers(0, 40, 1500)] + 0.3 * rng.normal(size=(1500, 5)), 6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    rows_, found, start = km.kmeans(df, ["id"], F.col("v"), 40)
+    again = km.kmeans(df.repartition(7), ["id"], F.col("v"), 40)
+    np.testing.assert_allclose(found, again[1], atol=1e-8)
+    c = start
+    for _ in range(10):
+        near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+    np.testing.assert_allclose(found, c, atol=1e-6)
+    got = rows_.toPandas()
+    d = ((x[:, None] - c[None]) ** 2).sum(2)
+    assert got.distance.sum() == pytest.approx(d.min(1).sum(), rel=1e-6)
+    # as good as numpy seeding over all rows, the best of three
+    own = []
+    for s in range(3):
+        p = km.reduced(x, np.ones(len(x)), 40, s)
+        for _ in range(10):
+            near = ((x[:, None] - p[None]) ** 2).sum(2).argmin(1)
+            p = np.stack([x[near == i].mean(0) if (near == i).any() else p[i] for i in range(len(p))])
+        own.append(((x[:, None] - p[None]) ** 2).sum(2).min(1).sum())
+    assert got.distance.sum() <= 1.25 * min(own)
+
+
+def test_kmeans_of_few_and_equal_rows(spark):
+    df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)], "id long, v array<double>")
+    rows_, found, _ = km.kmeans(df, ["id"], F.col("v"), 500)
+    assert len(found) == 3 and rows_.agg(F.sum("distance")).first()[0] == 0
+    assert km.kmeans(df.limit(0), ["id"], F.col("v"), 5)[0].count() == 0
+
+
+def test_group_contributions_add_up(spark):
+    df = spark.createDataFrame([(1, 0.5, -1.0, 2.0), (2, 1.0, 0.0, 0.25)], "grid_id long, a double, b double, c double")
+    got = ft.group_contributions(df, ["grid_id"], ["a", "b", "c"], {"a": "x", "b": "y", "c": "x"})
+    assert rows(got, "grid_id", "feature_group", "contribution") == [(1, "x", 2.5), (1, "y", -1.0), (2, "x", 1.25), (2, "y", 0.0)]
+
+
+def test_distinct_sketches_are_within_their_error(spark):
+    """Union over ranges of days against exact counts: four standard errors."""
+    n = 200_000
+    h = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m))
+    d = spark.range(n).select(h(1, 3).alias("cell"), h(2, 30).alias("day"), h(3, 40_000).alias("route"))
+    sketches = profile.distinct_sketches(d, ["cell"], "day", "route")
+    assert sketches.count() == 90
+    for width in (1, 7, 30):
+        week = F.floor(F.col("day") / width)
+        exact = {(r.cell, r["range"]): r.n for r in d.groupBy("cell", week.alias("range")).agg(F.count_distinct("route").alias("n")).collect()}
+        got = profile.distinct_within(sketches, ["cell"], "day", week).collect()
+        assert len(got) == len(exact)
+        assert all(abs(r.estimate / exact[r.cell, r["range"]] - 1) < 4 * 1.04 / 2**6 for r in got)
