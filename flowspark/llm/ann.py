@@ -186,8 +186,14 @@ class Forest:
         return out
 
 
+def matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    """At length 1; scaled first, so that squares neither overflow nor vanish. Each row by itself."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def vectors(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -199,18 +205,25 @@ def vectors(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (usual[0]["n"] if usual else 0))
 
 
-def direction(v: Column) -> Column:
-    """The vector at length 1, in twelve digits; scaled first, so that squares neither overflow nor vanish."""
-    most = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda c: c / most)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, c: s + c * c))
-    return F.transform(scaled, lambda c: F.round(c / length, 12) + F.lit(0.0))
+def directions(rows: DataFrame) -> DataFrame:
+    """Adds ``d``: the vector at length 1, in twelve digits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = matrix(b.column(1))
+                d = np.round(unit(v), 12) + 0.0
+                size = pa.array(np.arange(0, d.size + 1, d.shape[1]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(size, pa.array(d.ravel()))], ["vec_id", "v", "d"])
+
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    return rows.select("vec_id", "v").mapInArrow(run, f"vec_id {kind}, v array<double>, d array<double>")
 
 
 def distinct_vectors(rows: DataFrame, keep: int, salts: int = 64) -> DataFrame:
     """Different directions ``v`` with ``ids``, the ``keep`` smallest ids of their rows."""
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts))
-    some = rows.select(direction(F.col("v")).alias("v"), "vec_id", salt.alias("salt"))
+    some = directions(rows).select(F.col("d").alias("v"), "vec_id", salt.alias("salt"))
     for part in (["v", "salt"], ["v"]):
         some = some.withColumn("_r", F.dense_rank().over(Window.partitionBy(*part).orderBy("vec_id"))).where(F.col("_r") <= keep).drop("_r")
     return some.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
@@ -230,10 +243,6 @@ def fit(rows: DataFrame, plan: Plan) -> Forest | None:
 PACKED = "grp long, salt int, leaf long, is_row boolean, query {kind}, ids array<{kind}>, v array<double>, leaves array<long>"
 
 
-def matrix(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def in_groups(kept: DataFrame, queries: DataFrame, forest: Forest, kind: str) -> DataFrame:
     """Rows and queries by the groups of leaves that hold and search them."""
     plan = forest.plan
@@ -333,12 +342,19 @@ def leaves_needed(kept: DataFrame, queries: DataFrame, forest: Forest, n: int, k
     return sorted(need)[max(0, ceil(plan.recall * len(need)) - 1)] if need else len(forest.roots)
 
 
-def cosine(x: Column, y: Column) -> Column:
-    """By sums in the order of the components, of vectors scaled to a greatest component of 1."""
-    total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, c: s + c)
-    scaled = lambda v: F.transform(v, lambda c: c / F.array_max(F.transform(v, F.abs)))
-    a, b = scaled(x), scaled(y)
-    return total(a, b) / (F.sqrt(total(a, a)) * F.sqrt(total(b, b)))
+def scored(pairs: DataFrame) -> DataFrame:
+    """query, vec_id and the cosine of ``q`` and ``v``, each by a sum over its own row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (matrix(b.column(i)) for i in (2, 3))
+                x, y = (v / np.abs(v).max(1, keepdims=True) for v in (x, y))
+                score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["query", "vec_id", "score"])
+
+    kind = pairs.schema["vec_id"].dataType.simpleString()
+    return pairs.select("query", "vec_id", "q", "v").mapInArrow(run, f"query {kind}, vec_id {kind}, score double")
 
 
 def search(table: DataFrame, is_query: Column, k: int = 5, plan: Plan | None = None, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -349,7 +365,7 @@ def search(table: DataFrame, is_query: Column, k: int = 5, plan: Plan | None = N
     plan = plan or Plan()
     rows = vectors(table, vec_id, vector)
     kept = cut_lineage(distinct_vectors(rows, k + 1))
-    queries = cut_lineage(rows.where(is_query).select("vec_id", direction(F.col("v")).alias("v"), F.col("v").alias("q")).dropDuplicates(["vec_id"]))
+    queries = cut_lineage(directions(rows.where(is_query)).select("vec_id", F.col("d").alias("v"), F.col("v").alias("q")).dropDuplicates(["vec_id"]))
     kind = rows.schema["vec_id"].dataType.simpleString()
     n = kept.count()
     if n == 0:
@@ -365,7 +381,7 @@ def search(table: DataFrame, is_query: Column, k: int = 5, plan: Plan | None = N
     # the k + 1 best directions hold the k best rows: the query's own is one row of one of them
     few = cut_lineage(best_of(both, k + 1 + plan.spare, kind).select("query", F.explode("ids").alias("vec_id")).where("vec_id <> query"))
     near = few.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query"), "q"), "query")
-    near = near.select("query", "vec_id", cosine(F.col("q"), F.col("v")).alias("score")).groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+    near = scored(near).groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 12).desc(), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
 
