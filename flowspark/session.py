@@ -11,6 +11,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_run_dirs: set[str] = set()
 _own_dirs: dict[str, str] = {}  # by application, where the cluster names no folder
 BATCH_BYTES = "4m"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -55,13 +56,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, as the cluster names it.
+    """This application's folder in the one that every executor can reach, as the cluster names it.
 
-    Where it names none, a local session gets one folder of its own, removed at its end.
+    It holds what a run writes for itself and is removed when the application ends. Where the cluster
+    names none, a local session gets one folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        sc = spark.sparkContext
+        base = f"{named.rstrip('/')}/run-{sc.applicationId}"
+        if base not in _run_dirs:
+            path = sc._jvm.org.apache.hadoop.fs.Path(base)
+            store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+            store.mkdirs(path)
+            store.deleteOnExit(path)
+            _run_dirs.add(base)
+        return base
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId

@@ -77,3 +77,18 @@ def test_entry_lets_other_missing_modules_through(tmp_path, monkeypatch):
     monkeypatch.syspath_prepend(str(tmp_path))
     with pytest.raises(ModuleNotFoundError):
         entry.optional("corpus_pipeline_broken")
+
+
+def test_a_run_removes_its_folder(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import os, sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from flowspark.session import cut_lineage
+print(cut_lineage(spark.range(5)).count(), *(n[:4] for n in os.listdir({str(tmp_path / "shared")!r}) if n.startswith("run-")))
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0 and run.stdout.split() == ["5", "run-"], run.stderr[-2000:]
+    assert not [n for n in os.listdir(tmp_path / "shared") if n.startswith("run-")]
