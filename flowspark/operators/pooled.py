@@ -7,7 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,26 @@ def fit_predict(samples: DataFrame, inputs: list[str], horizons: list[int], t_in
     return predict(d.where("NOT is_train"), weights, horizons)
 
 
+def fit_predict_trees(
+    samples: DataFrame, inputs: list[str], horizons: list[int], rounds: int = 10, depth: int = 4, step: float = 0.3, bins: int = 32, seed: int = 0
+) -> DataFrame:
+    """Boosted regression trees, one set per horizon, on the window arrays; rows (h, y, y_hat) of the test part.
+
+    Splits are chosen from histograms of at most ``bins`` values a feature, so a horizon takes about
+    rounds x depth passes over the training rows, written once, whatever their number.
+    """
+    d = cut_lineage(samples.select("is_train", F.concat(*inputs).alias("x"), _wanted(horizons).alias("y")))
+    d = d.withColumn("features", array_to_vector("x"))
+    out = None
+    for i, h in enumerate(horizons):
+        own = d.select("is_train", "features", F.col("y")[i].alias("target"))
+        trees = GBTRegressor(featuresCol="features", labelCol="target", maxIter=rounds, maxDepth=depth, maxBins=bins, stepSize=step, seed=seed)
+        model = trees.fit(own.where("is_train").select("features", "target"))
+        told = model.transform(own.where("NOT is_train")).select(F.lit(h).alias("h"), F.col("target").alias("y"), F.col("prediction").alias("y_hat"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 def transfer(
     source: DataFrame, source_city: str, target: DataFrame, keys: list[str], order: str, value: str, t_in: int, horizons: list[int]
 ) -> DataFrame:

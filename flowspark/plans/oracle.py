@@ -10,8 +10,8 @@ def cte(name: str, body: str, needs: list[str] | None = None) -> None:
     _CTES[name] = (needs or [], body.strip())
 
 
-def sql(needs: list[str], body: str) -> str:
-    """``WITH`` clause over the named fragments and what they need, then ``body``."""
+def sql(needs: list[str], body: str, once: bool = False) -> str:
+    """``WITH`` clause over the named fragments and what they need, then ``body``. ``once``: each fragment is computed once."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -22,7 +22,8 @@ def sql(needs: list[str], body: str) -> str:
 
     for n in needs:
         visit(n)
-    clause = ",\n".join(f"{n} AS ({_CTES[n][1]})" for n in order)
+    kept = " MATERIALIZED" if once else ""
+    clause = ",\n".join(f"{n} AS{kept} ({_CTES[n][1]})" for n in order)
     return f"WITH RECURSIVE {clause}\n{body.strip()}" if order else body.strip()
 
 

@@ -238,6 +238,17 @@ def pooled_regression(t: Tables) -> DataFrame:
     return d.groupBy("h").agg(*[c.alias(n) for n, c in mt._metric_columns(F.abs("y") > 0, F.col("y"), F.col("y_hat"), 1.0).items()])
 
 
+@query("pooled_trees")
+def pooled_trees(t: Tables) -> DataFrame:
+    """Mean absolute error per horizon of boosted trees beside that of the linear model (FC-05)."""
+    d = cut_lineage(samples(t))
+    inputs, horizons = ["x_inflow", "x_outflow"], [1, 3, 6, 12]
+    linear = pooled.fit_predict(d, inputs, horizons, 12).withColumn("model", F.lit("linear"))
+    both = linear.unionByName(pooled.fit_predict_trees(d, inputs, horizons).withColumn("model", F.lit("trees")))
+    mae = lambda m: F.avg(F.when((F.col("model") == m) & (F.abs("y") > 0), F.abs(F.col("y_hat") - F.col("y")))).alias(f"mae_{m}")
+    return both.groupBy("h").agg(mae("linear"), mae("trees"), F.count_if(F.col("model") == "trees").alias("n"))
+
+
 @query("pooled_graph_regression")
 def pooled_graph_regression(t: Tables) -> DataFrame:
     """Pooled regression with the neighbour-diffused history as a further input (FC-06)."""

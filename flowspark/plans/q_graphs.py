@@ -247,7 +247,7 @@ cte("ch2", "SELECT src AS grid_id, step, -2 * sum(weight * t1) AS t2 FROM spatia
 
 
 @query("cheb_features", sql(["ch2"], f"""
-SELECT grid_id, step, inflow AS t0, {rnd('t1', 't1')}, {rnd('t2 - inflow', 't2')} FROM flow JOIN ch1 USING (grid_id, step) JOIN ch2 USING (grid_id, step)"""))
+SELECT grid_id, step, inflow AS t0, {rnd('t1', 't1')}, {rnd('t2 - inflow', 't2')} FROM flow JOIN ch1 USING (grid_id, step) JOIN ch2 USING (grid_id, step)""", once=True))
 def cheb_features(t: Tables) -> DataFrame:
     e = gp.sym_normalised(gp.spatial_graph(occupied(t), G))
     d = gp.chebyshev(fx.flow(t), e, "inflow", 3)

@@ -221,7 +221,7 @@ def zscore_scale(t: Tables) -> DataFrame:
 
 @query("train_normalise", sql(["flow"], f"""
 SELECT grid_id, step, {rnd('(inflow - m) / (s + 1e-8::DOUBLE)', 'inflow')}, {rnd('(outflow - m) / (s + 1e-8::DOUBLE)', 'outflow')}
-FROM flow, (SELECT avg(x) AS m, stddev_pop(x) AS s FROM (SELECT unnest([inflow, outflow]) AS x FROM flow WHERE is_train))"""))
+FROM flow, (SELECT avg(x) AS m, stddev_pop(x) AS s FROM (SELECT unnest([inflow, outflow]) AS x FROM flow WHERE is_train))""", once=True))
 def train_normalise(t: Tables) -> DataFrame:
     d = fx.flow_split(t)
     stats = splits.channel_stats(d.where("is_train"), ["city"], ["inflow", "outflow"])

@@ -452,3 +452,16 @@ def test_distinct_sketches_are_within_their_error(spark):
         got = profile.distinct_within(sketches, ["cell"], "day", week).collect()
         assert len(got) == len(exact)
         assert all(abs(r.estimate / exact[r.cell, r["range"]] - 1) < 4 * 1.04 / 2**6 for r in got)
+
+
+def test_pooled_trees_find_a_rule_that_a_line_cannot(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-1, 1, (1200, 3))
+    y = np.stack([np.where(x[:, 0] * x[:, 1] > 0, 5.0, -5.0), np.abs(x[:, 2]) * 4], 1)
+    rows_ = [(bool(i < 900), a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows_, "is_train boolean, x_a array<double>, y array<double>")
+    error = lambda d: {r.h: r.e for r in d.groupBy("h").agg(F.avg(F.abs(F.col("y_hat") - F.col("y"))).alias("e")).collect()}
+    line, trees = error(pooled.fit_predict(df, ["x_a"], [1, 2], 3)), error(pooled.fit_predict_trees(df, ["x_a"], [1, 2]))
+    assert trees[1] < 0.4 * line[1] and trees[2] < 0.4 * line[2]
+    again = pooled.fit_predict_trees(df, ["x_a"], [1, 2])
+    assert error(again) == pytest.approx(trees, rel=1e-9)
