@@ -54,7 +54,7 @@ def label_components(flagged: DataFrame, by: list[str], g: GridSpec, tile: int =
     """Add ``label``, the smallest cell id of the component, to rows (by, grid_id).
 
     A group is one tile of one step, at most tile x tile cells. Components that cross tile
-    borders are merged afterwards on the few border links, of which a grid of one tile has none.
+    borders are merged afterwards on the few border links; a grid of one tile has no borders.
     """
     cells = flagged.select(*by, "grid_id").distinct()
     tiles = cells.groupBy(*by, _tile(F.col("grid_id"), g, tile).alias("_tile")).agg(
@@ -62,7 +62,8 @@ def label_components(flagged: DataFrame, by: list[str], g: GridSpec, tile: int =
     )
     pairs = F.explode(F.arrays_zip(F.col("_cells"), _local_labels(g)("_cells").alias("_labels")))
     local = tiles.select(*by, pairs.alias("_p")).select(*by, F.col("_p._cells").alias("grid_id"), F.col("_p._labels").alias("label"))
-    local = _merge_tiles(local, by, g, tile)
+    if max(g.rows, g.cols) > tile:
+        local = _merge_tiles(local, by, g, tile)
     return flagged.join(local, [*by, "grid_id"])
 
 

@@ -244,7 +244,7 @@ def pooled_trees(t: Tables) -> DataFrame:
     d = cut_lineage(samples(t))
     inputs, horizons = ["x_inflow", "x_outflow"], [1, 3, 6, 12]
     linear = pooled.fit_predict(d, inputs, horizons, 12).withColumn("model", F.lit("linear"))
-    both = linear.unionByName(pooled.fit_predict_trees(d, inputs, horizons).withColumn("model", F.lit("trees")))
+    both = linear.unionByName(pooled.fit_predict_trees(d, inputs, horizons, rounds=5, step=0.5).withColumn("model", F.lit("trees")))
     mae = lambda m: F.avg(F.when((F.col("model") == m) & (F.abs("y") > 0), F.abs(F.col("y_hat") - F.col("y")))).alias(f"mae_{m}")
     return both.groupBy("h").agg(mae("linear"), mae("trees"), F.count_if(F.col("model") == "trees").alias("n"))
 
