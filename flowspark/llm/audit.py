@@ -10,9 +10,8 @@ taken back for the earlier rows and made for the new ones. The sum of all change
 
 The state is a table of versions: a micro-batch meets, by the text's key, the versions of those before
 it and writes the texts that are new or changed, and its changes of the counters, under its own
-number. A batch that is run again after a loss replaces its rows and reads none of its own. (An operator state of
-the stream gives the same; at one call into Python and two into the store a text it cost 1.7 ms a
-text.) State, changes and checkpoint stay in the job's folder: a later call on it reads the files that are
+number. A batch that is run again after a loss replaces its rows and reads none of its own. (An operator state
+of the stream was tried first: with calls into Python and the store for every text it cost 1.7 ms a text.) State, changes and checkpoint stay in the job's folder: a later call on it reads the files that are
 new and comes to the same counters as one run over all of them.
 
 Hot texts: Spark adds up a task's rows of one id and text, and keeps the smallest id of a text, before
