@@ -284,3 +284,44 @@ def test_point_edges_and_boxes_match_brute_force(spark):
         p = pts.loc[i]
         hit = c[(c.lon_min <= p.lon) & (p.lon < c.lon_max) & (c.lat_min <= p.lat) & (p.lat < c.lat_max)].cell
         assert cell == (hit.min() if len(hit) else -1)
+
+
+def brute_boxes(x, y, boxes):
+    hit = (boxes[:, 0] <= x[:, None]) & (x[:, None] < boxes[:, 1]) & (boxes[:, 2] <= y[:, None]) & (y[:, None] < boxes[:, 3])
+    return np.where(hit.any(1), hit.argmax(1), len(boxes))
+
+
+@pytest.mark.parametrize("digits", [15, 1])
+def test_first_boxes(digits):
+    """Also on points and boxes that share their sides; 4 x 10^10 pairs are never looked at one by one."""
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (3, 40), (64, 20), (700, 300)):
+        x, y, lo, width = rng.uniform(0, 1, n), rng.uniform(0, 1, n), rng.uniform(-0.1, 1, (m, 2)), rng.uniform(0, 0.2, (m, 2))
+        boxes = np.round(np.stack([lo[:, 0], lo[:, 0] + width[:, 0], lo[:, 1], lo[:, 1] + width[:, 1]], 1), digits)
+        x, y = np.round(x, digits), np.round(y, digits)
+        assert gr.first_boxes(x, y, boxes).tolist() == brute_boxes(x, y, boxes).tolist()
+    n = 200_000
+    x, lo = rng.uniform(0, 1, n), rng.uniform(0, 0.1, n)
+    got = gr.first_boxes(x, x[::-1].copy(), np.stack([lo, lo + 0.9, lo, lo + 0.9], 1)[::-1])
+    assert (got < n).mean() > 0.8
+
+
+@pytest.mark.parametrize("group", [100_000, 30])
+def test_boxes_of_crowded_bins(spark, monkeypatch, group):
+    """Bins that boxes hold whole or cut, spread over groups or not; ids and cells that repeat or are null."""
+    monkeypatch.setattr(gr, "GROUP", group)
+    rng = np.random.default_rng(6)
+    n, m = 500, 200
+    pts = [(int(i) if i % 50 else None, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0, 1, (n, 2)))]
+    pts += [(7, 0.5, 0.5), (7, 5.0, 5.0), (n, 0.25, 0.25), (n + 1, None, 0.5), (n + 2, float("nan"), 0.5), (n + 3, 9.0, 9.0)]
+    lo, width = rng.uniform(-0.1, 1, (m, 2)), np.where(np.arange(m) % 40 == 39, 0.6, rng.uniform(0, 0.15, m))
+    cells = [(int(c) % 150 if c % 30 else None, *map(float, (a, a + w, b, b + w))) for c, ((a, b), w) in enumerate(zip(lo, width, strict=True))]
+    cells += [(500, 0.25, 0.5, 0.25, 0.5), (501, 0.9, 0.1, 0.0, 1.0)]
+    df = spark.createDataFrame(pts, "id long, lon double, lat double")
+    boxes = spark.createDataFrame(cells, "cell long, lon_min double, lon_max double, lat_min double, lat_max double")
+    first = {}
+    for i, x, y in pts:
+        held = [c for c, a, b, d, e in cells if i is not None and c is not None and x is not None and a <= x < b and d <= y < e]
+        first.setdefault(i, []).extend(held)
+    want = sorted(((i, min(first[i], default=-1)) for i, *_ in pts), key=str)
+    assert sorted(map(tuple, gr.cells_containing(df, boxes, "id", 0.25, salts=3).collect()), key=str) == want
