@@ -5,6 +5,7 @@ itself; once its rows have k neighbours there, angles tell which other blocks ca
 all members of a cluster lie within its angular radius of the pivot, so none is nearer to a row than
 the row's angle to the pivot less that radius. Only such pairs of blocks are multiplied, and a task
 keeps the best k per node, so pairs are never rows. The result is the same as over all block pairs.
+Blocks are written once and read by the tasks that pair them; no block is shuffled per pair.
 
 A correlation of series is a cosine as well, but of long vectors. A few Fourier coefficients of each
 series bound it from above, so the same search over these short vectors leaves few pairs, and only those
@@ -32,21 +33,31 @@ UNIT = 1e-7  # by which a unit vector's length may differ from 1
 SLACK = 1e-6  # by which bounds on weights are raised: rounding, and lengths that differ from 1
 PIVOTS = 1024  # at most: they and their radii travel to every task
 SAMPLE = 8  # rows per pivot that the pivots are chosen from
+SIDE_BYTES = 128_000_000  # of vectors that a task holds to pair its own blocks with
 _EDGE = "src long, dst long, weight double"
 
 
-def _best(sim: np.ndarray, src: np.ndarray, dst: np.ndarray, k: int | None, least: np.ndarray):
-    """Rows of the result for one block pair: of each row those of ``least`` or more, the top k if there is a k."""
-    sim = np.round(sim, DIGITS)
-    sim[src[:, None] == dst[None, :]] = -np.inf
-    r, c = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
-    w = sim[r, c]
-    if k is not None:
-        order = np.lexsort((dst[c], -w, r))
-        r, c, w = r[order], c[order], w[order]
-        nth = np.arange(len(r)) - np.searchsorted(r, r)
-        r, c, w = r[nth < k], c[nth < k], w[nth < k]
-    return pd.DataFrame({"src": src[r], "dst": dst[c], "weight": w})
+def _better(sim: np.ndarray, src: np.ndarray, dst: np.ndarray, least: np.ndarray):
+    """Row numbers, dst and weight of a block pair's edges: those of ``least`` or more."""
+    r, c = np.nonzero(sim >= least[:, None] - 10.0**-DIGITS)
+    w = np.round(sim[r, c], DIGITS)
+    kept = (w >= least[r]) & np.isfinite(w) & (src[r] != dst[c])
+    return r[kept], dst[c[kept]], w[kept]
+
+
+def _k_best(parts: list, k: int, least: np.ndarray):
+    """The k best of each row, and ``least`` raised to the k-th."""
+    r, dst, w = (np.concatenate(a) for a in zip(*parts, strict=True))
+    order = np.lexsort((dst, -w, r))
+    r, dst, w = r[order], dst[order], w[order]
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
+    last, least = nth == k - 1, least.copy()
+    least[r[last]] = np.maximum(least[r[last]], w[last])
+    return (r[nth < k], dst[nth < k], w[nth < k]), least
+
+
+def _edges(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(weight, pa.float64())], ["src", "dst", "weight"])
 
 
 def _top_k(edges: DataFrame, k: int | None) -> DataFrame:
@@ -62,15 +73,15 @@ class Blocks:
 
     ``rows`` has one row per block: b, c (cluster), ids, flat (the unit vectors one after the other)
     and least (per row: the weight that a neighbour must reach). ``radius`` is each cluster's angular
-    radius, ``first`` its first block. The last cluster has no pivot: it holds the rows that are no unit
-    vectors, which meet all others.
+    radius. The last cluster has no pivot: it holds the rows that are no unit vectors, which meet all
+    others. ``sides`` is the number of parts of the vectors that tasks can hold.
     """
 
     rows: DataFrame
     pivots: np.ndarray
     radius: np.ndarray
-    first: np.ndarray
     count: int
+    sides: int
 
 
 def _pivots(rows: DataFrame, wanted: int) -> np.ndarray:
@@ -111,7 +122,7 @@ def in_blocks(rows: DataFrame, block_rows: int) -> Blocks:
     n = rows.count()
     if n == 0:
         none = rows.select(F.lit(0).alias("b"), F.lit(0).alias("c"), F.array("id").alias("ids"), F.col("unit").alias("flat"), F.array("least").alias("least"))
-        return Blocks(none, np.zeros((0, 1)), np.zeros(0), np.zeros(2, int), 0)
+        return Blocks(none, np.zeros((0, 1)), np.zeros(0), 0, 1)
     spread = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
     wanted = max(1, math.ceil(n / block_rows), min(spread, n // 64))
     pivots = _pivots(rows, min(PIVOTS, wanted))
@@ -138,77 +149,94 @@ def in_blocks(rows: DataFrame, block_rows: int) -> Blocks:
     member = F.struct("id", "unit", "least")
     packed = placed.join(own, "c").groupBy(b.alias("b"), "c").agg(F.sort_array(F.collect_list(member)).alias("m"))
     packed = packed.select("b", "c", F.col("m.id").alias("ids"), F.flatten("m.unit").alias("flat"), F.col("m.least").alias("least"))
-    return Blocks(packed, pivots, radius[:-1], first, int(first[-1]))
+    return Blocks(packed, pivots, radius[:-1], int(first[-1]), math.ceil(n * pivots.shape[1] * 8 / SIDE_BYTES))
 
 
-def _rows_of(batches: Iterable[pd.DataFrame], *names: str):
-    """Blocks one by one: numpy ids, matrix and least of each name's columns."""
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            out = []
-            for s in names:
-                ids = np.asarray(getattr(r, f"ids{s}"), np.int64)
-                out.append((ids, np.asarray(getattr(r, f"flat{s}")).reshape(len(ids), -1), np.asarray(getattr(r, f"least{s}"), float)))
-            yield r, out
+def with_needs(blocks: Blocks, k: int | None) -> DataFrame:
+    """The same blocks, their vectors as bytes, and need: the clusters that may hold a neighbour of a row.
 
+    For the k best, ``least`` is first raised to the weight of each row's k-th neighbour in its own block.
+    """
+    pivots, radius = blocks.pivots, blocks.radius
 
-def within_blocks(blocks: Blocks, k: int) -> DataFrame:
-    """The same blocks, with ``least`` raised to the weight of each row's k-th neighbour in its own block."""
-
-    def run(batches):
-        for r, [(ids, x, least)] in _rows_of(batches, ""):
-            sim = np.round(x @ x.T, DIGITS)
-            sim[ids[:, None] == ids[None, :]] = -np.inf
-            if len(ids) >= k:
-                kth = np.partition(sim, len(ids) - k, axis=1)[:, len(ids) - k]
-                least = np.maximum(least, kth)
-            yield pd.DataFrame({"b": [r.b], "c": [r.c], "ids": [ids], "flat": [x.ravel()], "least": [least]})
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ids, least = np.asarray(r.ids, np.int64), np.asarray(r.least, float)
+                x = np.asarray(r.flat).reshape(len(ids), -1)
+                if k is not None and len(ids) >= k:
+                    sim = np.round(x @ x.T, DIGITS)
+                    sim[ids[:, None] == ids[None, :]] = -np.inf
+                    least = np.maximum(least, np.partition(sim, len(ids) - k, axis=1)[:, len(ids) - k])
+                most = np.ones((len(ids), len(pivots) + 1))
+                most[:, : len(pivots)] = np.cos(np.maximum(_angles(x, pivots) - radius - 1e-7, 0))
+                most[_short(x)] = 1
+                need = np.flatnonzero((most >= least[:, None] - SLACK).any(0))
+                yield pd.DataFrame({"b": [r.b], "c": [r.c], "ids": [ids], "flat": [x.tobytes()], "least": [least], "need": [need]})
 
-    return blocks.rows.mapInPandas(run, "b int, c int, ids array<long>, flat array<double>, least array<double>")
+    return blocks.rows.mapInPandas(run, "b int, c int, ids array<long>, flat binary, least array<double>, need array<int>")
 
 
 def needed_pairs(blocks: Blocks) -> DataFrame:
     """(i, j, there, back), i <= j: the pairs of blocks that must be multiplied, and for whose rows."""
-    pivots, radius, first = blocks.pivots, blocks.radius, blocks.first
-
-    def run(batches):
-        for r, [(ids, x, least)] in _rows_of(batches, ""):
-            most = np.ones((len(ids), len(first) - 1))
-            most[:, : len(pivots)] = np.cos(np.maximum(_angles(x, pivots) - radius - 1e-7, 0))
-            most[_short(x)] = 1
-            need = np.flatnonzero((most >= least[:, None] - SLACK).any(0))
-            j = np.concatenate([np.arange(first[c], first[c + 1]) for c in need] or [np.zeros(0, int)])
-            yield pd.DataFrame({"i": np.minimum(j, r.b), "j": np.maximum(j, r.b), "there": j >= r.b, "back": j <= r.b}).astype({"i": "int32", "j": "int32"})
-
-    found = blocks.rows.mapInPandas(run, "i int, j int, there boolean, back boolean")
-    return found.groupBy("i", "j").agg(F.max("there").alias("there"), F.max("back").alias("back"))
+    need = blocks.rows.select(F.col("b").alias("p"), F.explode("need").alias("c")).join(blocks.rows.select(F.col("b").alias("q"), "c"), "c")
+    there, back = F.col("p") <= F.col("q"), F.col("p") >= F.col("q")
+    return need.groupBy(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).agg(F.max(there).alias("there"), F.max(back).alias("back"))
 
 
-def multiplied(blocks: Blocks, pairs: DataFrame, k: int | None) -> DataFrame:
-    """Edges of the pairs of blocks: those of ``least`` or more, the k best of each row and block pair."""
-    side = lambda s: blocks.rows.select(F.col("b").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "flat", "least")])
-    many = min(blocks.count * (blocks.count + 1) // 2, max(64, 4 * blocks.count), 20_000)
-    joined = pairs.join(side("i"), "i").join(side("j"), "j").repartition(max(1, many), "i", "j")
+def multiplied(blocks: Blocks, k: int | None) -> DataFrame:
+    """Edges of the blocks and the blocks they need: those of ``least`` or more, of the k best at least those of a row and side.
 
-    def run(batches):
-        for r, [(a_ids, a, a_least), (b_ids, b, b_least)] in _rows_of(batches, "_i", "_j"):
-            sim = a @ b.T
-            if r.there:
-                yield _best(sim.copy(), a_ids, b_ids, k, a_least)
-            if r.back and r.i != r.j:
-                yield _best(sim.T.copy(), b_ids, a_ids, k, b_least)
-
-    return joined.mapInPandas(run, _EDGE)
+    A task goes through some of the blocks and, for each, through one side's blocks, so it can keep the
+    k best of a block's rows. Without a k a pair of blocks is multiplied once, for the rows of both.
+    """
+    cols = ("b", "c", "ids", "flat", "least", "need")
+    side = lambda s, some: blocks.rows.select(*[F.col(c).alias(f"{c}_{s}") for c in some])
+    meet = F.array_contains("need_i", F.col("c_j"))
+    if k is None:
+        meet = (F.col("b_i") <= F.col("b_j")) & (meet | F.array_contains("need_j", F.col("c_i")))
+    others = side("j", cols if k is None else cols[:4]).coalesce(blocks.sides)
+    asked = ["b_i", "ids_i", "flat_i", "least_i", "b_j", "ids_j", "flat_j"] + ["least_j"] * (k is None)
+    joined = side("i", cols).join(others, meet).select(*asked)
+
+    def numbers(column: pa.Array, r: int) -> np.ndarray:
+        return column[r].values.to_numpy(zero_copy_only=False)
+
+    def vectors(batch: pa.RecordBatch, r: int, s: str):
+        ids = numbers(batch.column(f"ids_{s}"), r)
+        return ids, np.frombuffer(batch.column(f"flat_{s}")[r].as_buffer()).reshape(len(ids), -1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, held = None, None, None
+        for batch in batches:
+            for r, (i, j) in enumerate(zip(batch.column("b_i").to_pylist(), batch.column("b_j").to_pylist(), strict=True)):
+                if i != now:
+                    if held is not None:
+                        yield _edges(ids[held[0]], *held[1:])
+                    now, held, least = i, None, numbers(batch.column("least_i"), r)
+                    ids, x = (a.copy() for a in vectors(batch, r, "i"))
+                other_ids, y = vectors(batch, r, "j")
+                sim = x @ y.T
+                found = _better(sim, ids, other_ids, least)
+                if k is not None:
+                    held, least = _k_best([found] if held is None else [held, found], k, least)
+                    continue
+                yield _edges(ids[found[0]], *found[1:])
+                if i != j:
+                    q, dst, w = _better(sim.T, other_ids, ids, numbers(batch.column("least_j"), r))
+                    yield _edges(other_ids[q], dst, w)
+        if held is not None:
+            yield _edges(ids[held[0]], *held[1:])
+
+    return joined.mapInArrow(run, _EDGE)
 
 
 def search(rows: DataFrame, k: int | None, block_rows: int) -> tuple[DataFrame, Blocks, DataFrame]:
     """Edges (src, dst, weight) of rows (id, unit, least), the blocks, and the pairs of blocks multiplied."""
     blocks = in_blocks(rows, block_rows)
-    if k is not None:
-        blocks.rows = within_blocks(blocks, k)
-    blocks.rows = cut_lineage(blocks.rows)
-    pairs = needed_pairs(blocks)
-    return _top_k(multiplied(blocks, pairs, k), k), blocks, pairs
+    files = min(blocks.count, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    blocks.rows = cut_lineage(with_needs(blocks, k).repartition(max(1, files)))
+    return _top_k(multiplied(blocks, k), k), blocks, needed_pairs(blocks)
 
 
 def unit_rows(vectors: DataFrame, least: float | None = None) -> DataFrame:
@@ -224,8 +252,8 @@ def unit_rows(vectors: DataFrame, least: float | None = None) -> DataFrame:
 def cosine_neighbours(vectors: DataFrame, k: int | None = 10, least: float | None = None, block_rows: int = 1024) -> DataFrame:
     """(src, dst, weight) by cosine of ``vec`` per ``id``: the k nearest, or all above ``least``.
 
-    Vectors are divided by their norm + 1e-8. Ties go to the smaller id. A task multiplies
-    one pair of blocks, and only pairs that the angles allow.
+    Vectors are divided by their norm + 1e-8. Ties go to the smaller id. Only pairs of blocks
+    that the angles allow are multiplied.
     """
     return search(unit_rows(vectors, least), k, block_rows)[0]
 

@@ -101,6 +101,40 @@ def test_cosine_skips_blocks_of_other_clusters(spark, k, least):
         assert len(got) == 2000 * k
 
 
+@pytest.mark.parametrize("k,least", [(5, None), (None, 0.4)])
+def test_cosine_blocks_are_not_shuffled_per_pair(spark, monkeypatch, k, least):
+    """Vectors without structure meet all others: no block is shuffled for that, and of the k best a row and side send k."""
+    n = 900
+    monkeypatch.setattr(sim, "SIDE_BYTES", n * 8 * 8 // 3 + 1)
+    x = np.random.default_rng(11).normal(size=(n, 8))
+    ids = np.arange(n)
+    ids[-20:] = ids[:20]  # some ids come twice
+    df = spark.createDataFrame(pd.DataFrame({"id": ids, "vec": x.tolist()}), "id long, vec array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        edges, blocks, _ = sim.search(sim.unit_rows(df, least), k, 32)
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        sent = sim.multiplied(blocks, k).count()
+        got = edges.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" in plan and plan.count("Exchange") == (0 if k is None else 1)
+    assert blocks.count >= 28 and blocks.sides == 3
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    m = np.round(u @ u.T, 9)
+    m[ids[:, None] == ids[None, :]] = -np.inf
+    if k is None:
+        r, c = np.nonzero(m > least)
+        assert sorted(zip(got.src, got.dst, strict=True)) == sorted(zip(ids[r], ids[c], strict=True)) and sent == len(got)
+        return
+    assert sent <= n * k * blocks.sides
+    for i in range(n - 20):
+        near = sorted((-m[r, c], ids[c]) for r in np.flatnonzero(ids == i) for c in range(n))[:k]
+        g = got[got.src == i].sort_values(["weight", "dst"], ascending=[False, True])
+        assert g.dst.tolist() == [d for _, d in near]
+        np.testing.assert_allclose(g.weight, [-w for w, _ in near], atol=2e-9)
+
+
 def test_cosine_of_few_none_and_opposite_vectors(spark):
     for x in ([], [[1.0, 0.0]], [[1.0, 0.0], [-1.0, 0.0], [0.0, 0.0]], [[0.0, 0.0]] * 3):
         df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id long, vec array<double>")
