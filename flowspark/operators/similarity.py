@@ -5,7 +5,8 @@ itself; once its rows have k neighbours there, angles tell which other blocks ca
 all members of a cluster lie within its angular radius of the pivot, so none is nearer to a row than
 the row's angle to the pivot less that radius. Only such pairs of blocks are multiplied, and a task
 keeps the best k per node, so pairs are never rows. The result is the same as over all block pairs.
-Blocks are written once and read by the tasks that pair them; no block is shuffled per pair.
+Blocks are written once and read by the tasks that pair them; no block is shuffled per pair, and a row
+sends k edges however many blocks it meets.
 
 A correlation of series is a cosine as well, but of long vectors. A few Fourier coefficients of each
 series bound it from above, so the same search over these short vectors leaves few pairs, and only those
@@ -185,19 +186,21 @@ def needed_pairs(blocks: Blocks) -> DataFrame:
 
 
 def multiplied(blocks: Blocks, k: int | None) -> DataFrame:
-    """Edges of the blocks and the blocks they need: those of ``least`` or more, of the k best at least those of a row and side.
+    """Edges of the blocks and the blocks they need: those of ``least`` or more, of the k best only those of a row.
 
-    A task goes through some of the blocks and, for each, through one side's blocks, so it can keep the
-    k best of a block's rows. Without a k a pair of blocks is multiplied once, for the rows of both.
+    For the k best, a task holds some of the blocks and goes through all others once, so each of its rows
+    sends k edges, however many blocks there are. Without a k, a task goes through some of the blocks and, for
+    each, through one side's blocks; a pair of blocks is multiplied once, for the rows of both.
     """
     cols = ("b", "c", "ids", "flat", "least", "need")
     side = lambda s, some: blocks.rows.select(*[F.col(c).alias(f"{c}_{s}") for c in some])
     meet = F.array_contains("need_i", F.col("c_j"))
     if k is None:
         meet = (F.col("b_i") <= F.col("b_j")) & (meet | F.array_contains("need_j", F.col("c_i")))
-    others = side("j", cols if k is None else cols[:4]).coalesce(blocks.sides)
-    asked = ["b_i", "ids_i", "flat_i", "least_i", "b_j", "ids_j", "flat_j"] + ["least_j"] * (k is None)
-    joined = side("i", cols).join(others, meet).select(*asked)
+        joined = side("i", cols).join(side("j", cols).coalesce(blocks.sides), meet)
+    else:  # the left side is read row by row, the right side's partitions are held
+        joined = side("j", cols[:4]).coalesce(1).join(side("i", cols).hint("shuffle_replicate_nl"), meet)
+    joined = joined.select("b_i", "ids_i", "flat_i", "least_i", "b_j", "ids_j", "flat_j", *["least_j"] * (k is None))
 
     def numbers(column: pa.Array, r: int) -> np.ndarray:
         return column[r].values.to_numpy(zero_copy_only=False)
@@ -206,35 +209,35 @@ def multiplied(blocks: Blocks, k: int | None) -> DataFrame:
         ids = numbers(batch.column(f"ids_{s}"), r)
         return ids, np.frombuffer(batch.column(f"flat_{s}")[r].as_buffer()).reshape(len(ids), -1)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, held = None, None, None
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}  # by block: its ids, what a row's edges must reach, and the k best so far
+        for batch in batches:
+            for r, i in enumerate(batch.column("b_i").to_pylist()):
+                (ids, x), (other_ids, y) = vectors(batch, r, "i"), vectors(batch, r, "j")
+                own_ids, least, parts = held.get(i) or (ids.copy(), numbers(batch.column("least_i"), r).copy(), [])
+                found, least = _k_best([*parts, _better(x @ y.T, ids, other_ids, least)], k, least)
+                held[i] = own_ids, least, [found]
+        for ids, _, parts in held.values():
+            yield _edges(ids[parts[0][0]], *parts[0][1:])
+
+    def above(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, (i, j) in enumerate(zip(batch.column("b_i").to_pylist(), batch.column("b_j").to_pylist(), strict=True)):
-                if i != now:
-                    if held is not None:
-                        yield _edges(ids[held[0]], *held[1:])
-                    now, held, least = i, None, numbers(batch.column("least_i"), r)
-                    ids, x = (a.copy() for a in vectors(batch, r, "i"))
-                other_ids, y = vectors(batch, r, "j")
+                (ids, x), (other_ids, y) = vectors(batch, r, "i"), vectors(batch, r, "j")
                 sim = x @ y.T
-                found = _better(sim, ids, other_ids, least)
-                if k is not None:
-                    held, least = _k_best([found] if held is None else [held, found], k, least)
-                    continue
-                yield _edges(ids[found[0]], *found[1:])
+                q, dst, w = _better(sim, ids, other_ids, numbers(batch.column("least_i"), r))
+                yield _edges(ids[q], dst, w)
                 if i != j:
                     q, dst, w = _better(sim.T, other_ids, ids, numbers(batch.column("least_j"), r))
                     yield _edges(other_ids[q], dst, w)
-        if held is not None:
-            yield _edges(ids[held[0]], *held[1:])
 
-    return joined.mapInArrow(run, _EDGE)
+    return joined.mapInArrow(above if k is None else best, _EDGE)
 
 
 def search(rows: DataFrame, k: int | None, block_rows: int) -> tuple[DataFrame, Blocks, DataFrame]:
     """Edges (src, dst, weight) of rows (id, unit, least), the blocks, and the pairs of blocks multiplied."""
     blocks = in_blocks(rows, block_rows)
-    files = min(blocks.count, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    files = min(blocks.count, max(4 * rows.sparkSession.sparkContext.defaultParallelism, blocks.sides))
     blocks.rows = cut_lineage(with_needs(blocks, k).repartition(max(1, files)))
     return _top_k(multiplied(blocks, k), k), blocks, needed_pairs(blocks)
 

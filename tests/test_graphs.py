@@ -135,6 +135,27 @@ def test_cosine_blocks_are_not_shuffled_per_pair(spark, monkeypatch, k, least):
         np.testing.assert_allclose(g.weight, [-w for w, _ in near], atol=2e-9)
 
 
+def test_cosine_rows_send_k_edges_however_many_sides(spark, monkeypatch):
+    """Over vectors of five sides, some of them copies, a row sends its k best once."""
+    n, k = 600, 5
+    monkeypatch.setattr(sim, "SIDE_BYTES", n * 8 * 8 // 5 + 1)
+    x = np.random.default_rng(12).normal(size=(n, 8))
+    x[:90] = x[0]
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "vec": x.tolist()}), "id long, vec array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        edges, blocks, _ = sim.search(sim.unit_rows(df), k, 32)
+        sent = sim.multiplied(blocks, k).count()
+        got = edges.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert blocks.sides == 5 and sent == len(got) == n * k
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    want = brute_top(u @ u.T, k)
+    for i, g in got.sort_values(["src", "weight", "dst"], ascending=[True, False, True]).groupby("src"):
+        assert g.dst.tolist() == want[i]
+
+
 def test_cosine_of_few_none_and_opposite_vectors(spark):
     for x in ([], [[1.0, 0.0]], [[1.0, 0.0], [-1.0, 0.0], [0.0, 0.0]], [[0.0, 0.0]] * 3):
         df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id long, vec array<double>")
