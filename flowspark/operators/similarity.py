@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ SLACK = 1e-6  # by which bounds on weights are raised: rounding, and lengths tha
 PIVOTS = 1024  # at most: they and their radii travel to every task
 SAMPLE = 8  # rows per pivot that the pivots are chosen from
 SIDE_BYTES = 128_000_000  # of vectors that a task holds to pair its own blocks with
+ROUNDS = 4  # tasks per partition of the blocks that look for the k best, so that the last ones are short
 _EDGE = "src long, dst long, weight double"
 
 
@@ -199,7 +201,8 @@ def multiplied(blocks: Blocks, k: int | None) -> DataFrame:
         meet = (F.col("b_i") <= F.col("b_j")) & (meet | F.array_contains("need_j", F.col("c_i")))
         joined = side("i", cols).join(side("j", cols).coalesce(blocks.sides), meet)
     else:  # the left side is read row by row, the right side's partitions are held
-        joined = side("j", cols[:4]).coalesce(1).join(side("i", cols).hint("shuffle_replicate_nl"), meet)
+        others, some = side("j", cols[:4]).coalesce(1), [side("i", cols).where(F.pmod("b_i", F.lit(ROUNDS)) == r) for r in range(ROUNDS)]
+        joined = reduce(DataFrame.union, [others.join(i.hint("shuffle_replicate_nl"), meet) for i in some])
     joined = joined.select("b_i", "ids_i", "flat_i", "least_i", "b_j", "ids_j", "flat_j", *["least_j"] * (k is None))
 
     def numbers(column: pa.Array, r: int) -> np.ndarray:
